@@ -9,19 +9,15 @@ from pyspark.sql import functions as F
 
 from ..config import Protocol
 from ..functions.cleaning import count_where, first_reason, holds, within
+from ..functions.shapes import stacked
 
 TOTAL = "__total__"
 
 
-def _long(df: DataFrame, keys: Sequence[str], entries: list[Column]) -> DataFrame:
-    """Turns a few wide aggregate rows into one row per entry struct."""
-    return df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
-
-
 def flag_counts(df: DataFrame, flags: dict[str, Column], by: str) -> DataFrame:
     """``(by, flag, n)``: each flag is counted on its own; flags with no rows stay."""
     wide = df.groupBy(by).agg(*[count_where(f).alias(n) for n, f in flags.items()])
-    return _long(wide, [by], [F.struct(F.lit(n).alias("flag"), F.col(n).alias("n")) for n in flags])
+    return stacked(wide, [by], ["flag", "n"], [(n, F.col(n)) for n in flags])
 
 
 def exclusion_waterfall(df: DataFrame, flags: dict[str, Column], by: str) -> DataFrame:
@@ -36,12 +32,12 @@ def exclusion_waterfall(df: DataFrame, flags: dict[str, Column], by: str) -> Dat
     )
     total = per_source.groupBy(F.lit(TOTAL).alias(by)).agg(*[F.sum(c).alias(c) for c in ["_all", *flags]])
     both = per_source.unionByName(total)
-    entries, left = [], F.col("_all")
-    entries.append(F.struct(F.lit("all_source_rows").alias("step"), F.lit(0).cast("long").alias("excluded"), left.alias("remaining")))
+    left = F.col("_all")
+    rows = [("all_source_rows", F.lit(0).cast("long"), left)]
     for name in flags:
         left = left - F.col(name)
-        entries.append(F.struct(F.lit(name).alias("step"), F.col(name).alias("excluded"), left.alias("remaining")))
-    return _long(both, [by], entries)
+        rows.append((name, F.col(name), left))
+    return stacked(both, [by], ["step", "excluded", "remaining"], rows)
 
 
 def cohort_membership(df: DataFrame, protocol: Protocol, day: str = "d") -> DataFrame:
@@ -71,11 +67,8 @@ def split_counts(df: DataFrame) -> DataFrame:
 def missing_by(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """``(keys, feature, n, missing, missing_share)`` from one aggregate."""
     wide = df.groupBy(*keys).agg(F.count("*").alias("n"), *[count_where(F.col(c).isNull()).alias(c) for c in features])
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.col("n"), F.col(c).alias("missing"), (F.col(c) / F.col("n")).alias("missing_share"))
-        for c in features
-    ]
-    return _long(wide, keys, entries)
+    share = {c: F.col(c) / F.col("n") for c in features}
+    return stacked(wide, keys, ["feature", "n", "missing", "missing_share"], [(c, F.col("n"), F.col(c), share[c]) for c in features])
 
 
 def sample_waterfall(df: DataFrame, protocol: Protocol, matched: Column) -> DataFrame:
@@ -99,8 +92,7 @@ def duplicate_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def level_outcomes(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``(feature, level, n, events, non_events)`` for every category level."""
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("level")) for c in features]
-    rows = df.select("Y", F.explode(F.array(*entries)).alias("_e")).select("Y", "_e.*")
+    rows = stacked(df, ["Y"], ["feature", "level"], [(c, F.col(c)) for c in features])
     return rows.groupBy("feature", "level").agg(
         F.count("*").alias("n"), F.sum("Y").alias("events"), F.sum(1 - F.col("Y")).alias("non_events")
     )
@@ -113,15 +105,14 @@ def separation_witnesses(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``(field, value, n)`` over several columns in one shuffle."""
-    entries = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields]
-    rows = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+    rows = stacked(df, [], ["field", "value"], [(c, F.col(c).cast("string")) for c in fields])
     return rows.groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
 def named_counts(df: DataFrame, conditions: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, check, n)``: every condition counted in the same pass."""
     wide = df.groupBy(*keys).agg(*[count_where(c).alias(n) for n, c in conditions.items()])
-    return _long(wide, keys, [F.struct(F.lit(n).alias("check"), F.col(n).alias("n")) for n in conditions])
+    return stacked(wide, keys, ["check", "n"], [(n, F.col(n)) for n in conditions])
 
 
 def integrity_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

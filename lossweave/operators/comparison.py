@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shapes import stacked
 from ..sources.files import finite_or_null
 from .linking import duplicate_keys, key_set_difference
 
@@ -26,8 +27,8 @@ def weighted_comparison(earlier: DataFrame, later: DataFrame, keys: Sequence[str
     wide = left.join(right, list(keys)).agg(F.count("*").alias("cells"), *[
         (F.sum(F.col(f"{s}{v}") * F.col(f"{s}{weight}")) / F.sum(f"{s}{weight}")).alias(f"{s}{v}") for v in values for s in ("_l_", "_r_")
     ])
-    rows = [F.struct(F.lit(v).alias("comparison"), F.col(f"_l_{v}").alias("earlier"), F.col(f"_r_{v}").alias("later")) for v in values]
-    return wide.select(F.explode(F.array(*rows)).alias("_e"), "cells").select("_e.*", "cells")
+    rows = [(v, F.col(f"_l_{v}"), F.col(f"_r_{v}")) for v in values]
+    return stacked(wide, ["cells"], ["comparison", "earlier", "later"], rows)
 
 
 def attempt_summary(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import GROUP_KEYS, LOAN_TYPES, Protocol
 from ..functions.cleaning import count_where, holds
+from ..functions.shapes import stacked
 from ..session import lookup_join
 
 VARIANTS = ("primary", "capped", "downturn")
@@ -25,9 +26,8 @@ def group_sums(
     combinations, never the loans, are multiplied by the number of groupings.
     """
     fine = df.groupBy(*keys, *groups).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    cells = [F.struct(F.lit("overall").alias("group_name"), F.lit("all").alias("group_value"))]
-    cells += [F.struct(F.lit(g), F.col(g)) for g in groups]
-    long = fine.withColumn("_g", F.explode(F.array(*cells))).select(*keys, "_g.*", *sums)
+    cells = [("overall", "all"), *[(g, F.col(g)) for g in groups]]
+    long = stacked(fine, [*keys, *sums], ["group_name", "group_value"], cells)
     return long.groupBy(*keys, "group_name", "group_value").agg(*[F.sum(n).alias(n) for n in sums])
 
 
@@ -53,9 +53,9 @@ def severity_table(train: DataFrame, protocol: Protocol) -> DataFrame:
         ]
     cells = events.groupBy("loan_type", "size_band").agg(*parts)
     fields = ("events", "n", "loss", "ead", "over")
-    long = cells.select("loan_type", "size_band", F.explode(F.array(*[
-        F.struct(F.lit(v).alias("variant"), *[F.col(f"{v}_{f}").alias(f) for f in fields]) for v in VARIANTS
-    ])).alias("_v")).select("loan_type", "size_band", "_v.*")
+    long = stacked(cells, ["loan_type", "size_band"], ["variant", *fields], [
+        (v, *[F.col(f"{v}_{f}") for f in fields]) for v in VARIANTS
+    ])
     axis = {"variant": VARIANTS, "loan_type": LOAN_TYPES, "size_band": protocol.size_labels}
     grid = train.sparkSession.range(1).withColumn("_impure", bad.scalar()).select("_impure")
     for name, values in axis.items():

@@ -9,6 +9,7 @@ of the key, a recomputed task puts every row where it was before.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,7 +52,9 @@ def with_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None)
     block = F.get("_cuts.blocks", F.col("_h"))
     inside = F.size(F.filter(block, lambda c: c <= key))
     bucket = F.when(F.col("_h") < 0, F.lit(0)).otherwise(F.col("_h") * width + inside)
-    return head.withColumn("_bucket", bucket).drop("_cuts", "_h")
+    # never NULL: otherwise joins on the bucket push a null check, with the whole search in it,
+    # below the aggregations that feed this operator
+    return head.withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_cuts", "_h")
 
 
 def running_totals(
@@ -59,8 +62,10 @@ def running_totals(
 ) -> DataFrame:
     """For each ``name: column`` adds ``name`` = inclusive running sum of ``column`` in ``order``.
 
-    ``order`` must identify rows. Sums of integers are exact.
+    ``order`` must identify rows; pass combined rows and only the columns needed. Sums of
+    integers are exact.
     """
+    df = staged(df)  # read three times below
     marked = with_bucket(df, order, buckets)
     inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,33 +85,45 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame
     return running_totals(df.withColumn("_one", F.lit(1)), order, {name: "_one"}).drop("_one")
 
 
-def lowest_fraction(df: DataFrame, order: Sequence[str], fraction: float, levels: int = 2) -> DataFrame:
-    """Exactly ``floor(fraction * n)`` rows, lowest in ``order`` first.
+def _literal(values: Sequence[object], order: Sequence[str]) -> Column:
+    return F.struct(*[F.lit(v).alias(c) for v, c in zip(values, order, strict=True)])
 
-    Only bucket counts are needed to place most rows; the bucket that holds the boundary is cut
-    again, so that just a sliver of the table is ever ranked and nothing but it is shuffled.
+
+def kth_key(df: DataFrame, order: Sequence[str], k: int, small: int = 10_000) -> tuple:
+    """The ``k``-th smallest key. Each round counts rows between splitters and keeps one interval.
+
+    The driver sees splitters, bucket counts and at last a short list, never the rows.
+    """
+    key, rest, buckets = F.struct(*order), df, 64
+    while True:
+        blocks = splitters(rest, order, buckets).first()[0].blocks
+        cuts = [c for block in blocks for c in block]
+        inside = F.size(F.filter(F.array(*[_literal(c, order) for c in cuts]), lambda c: c <= key))
+        counts = dict(rest.groupBy(inside.alias("b")).agg(F.count("*").alias("n")).collect())
+        bucket, below = 0, 0
+        while below + counts.get(bucket, 0) < k:
+            below += counts.get(bucket, 0)
+            bucket += 1
+        k -= below
+        if bucket:
+            rest = rest.where(key >= _literal(cuts[bucket - 1], order))
+        if bucket < len(cuts):
+            rest = rest.where(key < _literal(cuts[bucket], order))
+        if counts[bucket] <= small or len(cuts) < 2:
+            return tuple(rest.select(*order).orderBy(*order).limit(k).agg(F.max(key)).first()[0])
+
+
+def lowest_fraction(df: DataFrame, order: Sequence[str], fraction: float) -> DataFrame:
+    """Exactly ``floor(fraction * n)`` rows, lowest in ``order`` first; ``order`` must identify rows.
+
+    Once the boundary key is known, acceptance is a filter: no sort and no shuffle of the table.
     """
     df = staged(df)
-    wanted = df.agg(F.floor(F.lit(float(fraction)) * F.count("*")).alias("_k"))
-    kept, rest = None, df
-    for _ in range(levels):
-        marked = with_bucket(rest, order)
-        below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-        counts = marked.groupBy("_bucket").count()
-        edges = counts.select(
-            "_bucket",
-            F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_low"),
-            F.sum("count").over(upto).alias("_high"),
-        ).withColumn("_k", wanted.scalar())
-        full = edges.where("_high <= _k").select("_bucket")
-        split = edges.where("_low <= _k and _high > _k").select("_bucket", (F.col("_k") - F.col("_low")).alias("_need"))
-        whole = marked.join(F.broadcast(full), "_bucket", "left_semi").select(*df.columns)
-        kept = whole if kept is None else kept.unionByName(whole)
-        rest = marked.join(F.broadcast(split.select("_bucket")), "_bucket", "left_semi").select(*df.columns)
-        wanted = split.agg(F.coalesce(F.max("_need"), F.lit(0)).alias("_k"))
-    tail = ranked(rest, order, "_rank").withColumn("_k", wanted.scalar()).where("_rank <= _k")
-    return kept.unionByName(tail.select(*df.columns))
+    k = math.floor(fraction * df.count())
+    if k == 0:
+        return df.where(F.lit(False))
+    last = kth_key(df, order, k)
+    return df.where((F.col(order[0]) <= F.lit(last[0])) & (F.struct(*order) <= _literal(last, order)))
 
 
 def exact_quantiles(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DATE_SOURCE, LEGAL_STATUS, Protocol
 from ..functions.cleaning import CANCELLED, holds, to_day, to_number
+from ..functions.shapes import stacked
 
 
 def quality_counters(protocol: Protocol) -> dict[str, Column]:
@@ -67,11 +68,10 @@ def source_profile(text: DataFrame, protocol: Protocol) -> DataFrame:
         F.count("*").alias("rows"), *[F.sum(c).alias(n) for n, c in quality.items()],
         *[F.min(f"_{c}").alias(f"first_{c}") for c in DATE_SOURCE], *[F.max(f"_{c}").alias(f"last_{c}") for c in DATE_SOURCE],
     )
-    cells = [F.struct(F.lit("rows").alias("section"), F.lit("all").alias("item"), F.col("rows").cast("string").alias("value"))]
-    cells += [F.struct(F.lit("quality"), F.lit(n), F.col(n).cast("string")) for n in quality]
-    for end in ("first", "last"):
-        cells += [F.struct(F.lit(f"{end}_date"), F.lit(c), F.col(f"{end}_{c}").cast("string")) for c in DATE_SOURCE]
-    facts = wide.select("source_file", F.explode(F.array(*cells)).alias("_e")).select("source_file", "_e.*")
+    cells = [("rows", "all", F.col("rows").cast("string"))]
+    cells += [("quality", n, F.col(n).cast("string")) for n in quality]
+    cells += [(f"{end}_date", c, F.col(f"{end}_{c}").cast("string")) for end in ("first", "last") for c in DATE_SOURCE]
+    facts = stacked(wide, ["source_file"], ["section", "item", "value"], cells)
     return counts.unionByName(facts.where("value is not null"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import count_where, holds, strip, to_number
+from ..functions.shapes import stacked
 from .linking import attach_source_text
 from .ordered import exact_quantiles
 
@@ -47,12 +48,8 @@ def timing_rows(loans: DataFrame, raw: DataFrame) -> DataFrame:
 
 def _scopes(rows: DataFrame) -> DataFrame:
     fine = F.concat_ws("|", F.coalesce(F.col("approval_year").cast("string"), F.lit("<NA>")), "loan_type", "LoanStatus")
-    scopes = F.array(
-        F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("group_key")),
-        F.struct(F.lit("status"), F.col("LoanStatus")),
-        F.struct(F.lit("approval_year_loan_type_status"), fine),
-    )
-    return rows.withColumn("_s", F.explode(scopes)).select("*", "_s.*").drop("_s")
+    scopes = [("overall", "all"), ("status", F.col("LoanStatus")), ("approval_year_loan_type_status", fine)]
+    return stacked(rows, rows.columns, ["scope", "group_key"], scopes)
 
 
 def verdict(charge_valid: Column, charge_match: Column, verified: bool = False) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning
 from ..operators import linking, panel
+from ..session import staged
 from .bindings import TEST, monthly_series, quarterly_series, snapshot
 
 
@@ -19,19 +20,22 @@ def typed_loans(spark: SparkSession, sf: str) -> DataFrame:
 
 @cache
 def loans(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.eligible(typed_loans(spark, sf), TEST)
+    """The eligible panel: parsed from text once per session, landed by role, then only read."""
+    return staged(cleaning.eligible(typed_loans(spark, sf), TEST), by="role")
 
 
 def with_quarter(hpi: DataFrame) -> DataFrame:
     return hpi.withColumn("quarter", F.col("year") * 4 + F.col("q") - 1)
 
 
+@cache
 def macro(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.macro_panel(monthly_series(spark, sf), with_quarter(quarterly_series(spark, sf)), TEST)
+    return staged(panel.macro_panel(monthly_series(spark, sf), with_quarter(quarterly_series(spark, sf)), TEST))
 
 
+@cache
 def scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.scenario_paths(monthly_series(spark, sf), with_quarter(quarterly_series(spark, sf)), TEST)
+    return staged(panel.scenario_paths(monthly_series(spark, sf), with_quarter(quarterly_series(spark, sf)), TEST))
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:

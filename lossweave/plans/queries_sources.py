@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import SOURCE_COLUMNS
+from ..functions import cleaning
 from ..operators import linking
 from ..sources import files
 from ..session import scratch_path
-from .bindings import monthly_series, quarterly_series, snapshot, table
+from .bindings import TEST, monthly_series, quarterly_series, snapshot, table
 from .catalog import query
-from .inputs import loans
+from .inputs import loans, typed_loans
 from .oracle_base import with_tables
 
 _COLS = ", ".join(SOURCE_COLUMNS)
@@ -42,7 +43,7 @@ def snapshot_scan(spark, sf):
 )
 def panel_parquet(spark, sf):
     path = scratch_path(spark, "panel")
-    files.write_panel(loans(spark, sf), path)
+    files.write_panel(cleaning.eligible(typed_loans(spark, sf), TEST), path)
     kept = files.read_panel(spark, path).where(F.col("year").between(1996, 1999))
     return kept.groupBy("year").agg(
         F.count("*").alias("n"), F.sum("Y").alias("events"), F.min("d").alias("first_d"), F.max("w").alias("last_w")

@@ -1,6 +1,6 @@
 """Imports every query module so that the catalogue is complete."""
 
-from . import queries_rows, queries_sources  # noqa: F401
+from . import queries_design, queries_panels, queries_rows, queries_sources  # noqa: F401
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

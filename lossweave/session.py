@@ -48,10 +48,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table: it outlives executors, keeps column pruning, and knows its size."""
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut the lineage with a written table: it outlives executors, keeps column pruning, and knows its size.
+
+    ``by`` lays the table out in directories for partition pruning, without a shuffle.
+    """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
