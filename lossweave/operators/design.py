@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import NOT_FITTED, POOLED
+from ..config import MISSING, NOT_FITTED, POOLED
 from ..functions.cleaning import count_where, holds, missing_token
 from ..functions.shapes import stacked
 from ..session import staged
@@ -73,6 +73,14 @@ def apply_pooling(df: DataFrame, mapping: DataFrame, features: Sequence[str], su
     return out.withColumns(pooled).drop("_maps")
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _finite_sql(c: str) -> str:
+    return f"case when not isnan({c}) and abs({c}) <> double('Infinity') then cast({c} as double) end"
+
+
 @dataclass
 class Design:
     """Frozen columns of a fitted design: everything scoring needs, none of the training rows."""
@@ -90,38 +98,42 @@ class Design:
     def columns(self) -> list[str]:
         return [self.names[i] for i in self.keep]
 
-    def pooled(self, c: str) -> Column:
-        level = missing_token(F.col(c).cast("string"))
-        fallback = POOLED if POOLED in self.levels[c] else NOT_FITTED
-        return F.when(level.isin(*self.levels[c]), level).otherwise(fallback)
+    def pooled(self, c: str) -> str:
+        own = ", ".join(_text(v) for v in self.levels[c])
+        fallback = _text(POOLED if POOLED in self.levels[c] else NOT_FITTED)
+        level = f"coalesce(nullif(cast({c} as string), ''), {_text(MISSING)})"
+        return f"case when {level} in ({own}) then {level} else {fallback} end"
 
-    def parts(self) -> dict[str, Column]:
-        """Every full-design column by name, as a native expression."""
-        cols: dict[str, Column] = {"intercept": F.lit(1.0)}
+    def parts(self) -> dict[str, str]:
+        """Every full-design column by name, as SQL text over the numeric inputs and ``_pool_<feature>``."""
+        cols = {"intercept": "1.0D"}
         for c in self.numeric:
-            cols[c] = (F.coalesce(finite(F.col(c)), F.lit(self.median[c])) - self.mean[c]) / self.scale[c]
+            cols[c] = f"((coalesce({_finite_sql(c)}, {self.median[c]!r}D) - {self.mean[c]!r}D) / {self.scale[c]!r}D)"
         for c in self.numeric:
-            cols[c + "__missing"] = finite(F.col(c)).isNull().cast("double")
+            cols[c + "__missing"] = f"(case when {_finite_sql(c)} is null then 1.0D else 0.0D end)"
         for c in self.categorical:
             for level in self.levels[c][1:]:
-                cols[f"{c}_{level}"] = (F.col(f"_pool_{c}") == level).cast("double")
+                cols[f"{c}_{level}"] = f"(case when _pool_{c} = {_text(level)} then 1.0D else 0.0D end)"
         return cols
 
+    def _with_pools(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_pool_{c}": F.expr(self.pooled(c)) for c in self.categorical}) if self.categorical else df
+
     def rows(self, df: DataFrame, keep: Sequence[str], reduced: bool = True) -> DataFrame:
         """The kept columns plus ``x``, the design row as an array of doubles."""
         parts = self.parts()
         chosen = self.columns if reduced else self.names
-        pooled = df.withColumns({f"_pool_{c}": self.pooled(c) for c in self.categorical}) if self.categorical else df
-        return pooled.select(*keep, F.array(*[parts[n] for n in chosen]).alias("x"))
+        return self._with_pools(df).select(*keep, F.expr(f"array({', '.join(parts[n] for n in chosen)})").alias("x"))
 
-    def linear(self, df: DataFrame, beta: Sequence[float], name: str = "eta") -> DataFrame:
-        """Adds the linear predictor as one native expression: zero coefficients cost nothing."""
+    def predictor(self, beta: Sequence[float]) -> str:
+        """The linear predictor as SQL text."""
         parts = self.parts()
-        pooled = df.withColumns({f"_pool_{c}": self.pooled(c) for c in self.categorical}) if self.categorical else df
-        total = F.lit(0.0)
-        for n, b in zip(self.columns, beta, strict=True):
-            total = total + float(b) * parts[n]
-        return pooled.withColumn(name, total).drop(*[f"_pool_{c}" for c in self.categorical])
+        return " + ".join(f"({float(b)!r}D) * {parts[n]}" for n, b in zip(self.columns, beta, strict=True))
+
+    def linear(self, df: DataFrame, beta: Sequence[float], name: str = "eta") -> DataFrame:
+        """Adds the linear predictor as one native expression."""
+        scored = self._with_pools(df).withColumn(name, F.expr(self.predictor(beta)))
+        return scored.drop(*[f"_pool_{c}" for c in self.categorical])
 
 
 def summed(partials: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -193,7 +205,7 @@ def fit_design(
 def design_long(df: DataFrame, design: Design, key: Sequence[str]) -> DataFrame:
     """Sparse long form ``(key, column, value)`` of non-zero entries."""
     rows = design.rows(df, key)
-    names = F.array(*[F.lit(n) for n in design.columns])
+    names = F.expr(f"array({', '.join(_text(n) for n in design.columns)})")
     return rows.select(*key, F.explode(F.arrays_zip(names.alias("column"), F.col("x").alias("value"))).alias("_e")).select(
         *key, F.col("_e.column").alias("column"), F.col("_e.value").alias("value")
     ).where("value <> 0")

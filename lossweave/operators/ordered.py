@@ -144,20 +144,17 @@ def exact_quantiles(
     else:
         whole = sizes.select(F.struct("_size", "_start").alias("s"))
         rows = placed.withColumn("_w", whole.scalar()).select(*placed.columns, "_w._size", "_w._start")
-    last = F.col("_cum") - F.col("_start")
-    first = last - F.col("_n")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position < last), F.col("_v")))
-
-    picks: list[Column] = []
+    # one aggregate picks, per probability, the two neighbouring order statistics (0-based rank k
+    # lies in the value whose running count first exceeds k)
+    pick = "max(case when _cum - _start - _n <= {rank} and {rank} < _cum - _start then _v end)"
+    picks, blends = [], []
     for i, q in enumerate(probabilities):
-        spot = F.lit(float(q)) * (F.col("_size") - 1)
-        picks += [at(F.floor(spot)).alias(f"_lo{i}"), at(F.ceil(spot)).alias(f"_hi{i}"),
-                  F.max(spot - F.floor(spot)).alias(f"_f{i}")]
+        spot = f"({float(q)!r}D * (_size - 1))"
+        picks += [F.expr(pick.format(rank=f"floor({spot})") + f" as _lo{i}"), F.expr(pick.format(rank=f"ceil({spot})") + f" as _hi{i}"),
+                  F.expr(f"max({spot} - floor({spot})) as _f{i}")]
+        blends.append(f"_lo{i} + (_hi{i} - _lo{i}) * _f{i}")
     found = rows.groupBy(*by).agg(*picks)
-    blend = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(probabilities))]
-    return found.select(*by, F.array(*blend).alias(name))
+    return found.select(*by, F.expr(f"array({', '.join(blends)})").alias(name))
 
 
 def inner_cuts(quantiles: Column) -> Column:
