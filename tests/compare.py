@@ -43,8 +43,11 @@ def table_of(names, rows):
 
 
 def compare(spark, con, query, sql, sf_dir):
+    start = time.time()
     df = query(spark, sf_dir)
+    built = time.time() - start
     got = table_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES[:] = [built, time.time() - start]
     if sql is None:
         return f"rows={len(got[1])}" if got[1] else "EMPTY", dict(df.dtypes), {}
     cur = con.execute(sql)
@@ -60,6 +63,7 @@ def compare(spark, con, query, sql, sf_dir):
     return f"ok {len(got[1])}" if got[1] else "EMPTY", dict(df.dtypes), types
 
 
+TIMES = [0.0, 0.0]
 SAME = {
     "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
 }
@@ -85,7 +89,7 @@ def main(argv):
             status, mine, theirs = f"ERROR {type(e).__name__} {str(e)[:900]}", {}, {}
         failed += not (status.startswith("ok") or status.startswith("rows="))
         odd = {c: (mine[c], theirs[c]) for c in theirs if c in mine and SAME.get(mine[c], mine[c]) != theirs[c]}
-        print(f"{name:38s} {time.time() - start:6.2f}s {status}" + (f"  TYPES {odd}" if odd else ""), flush=True)
+        print(f"{name:38s} build {TIMES[0]:5.1f} spark {TIMES[1]:6.2f} all {time.time() - start:6.2f}s {status}" + (f"  TYPES {odd}" if odd else ""), flush=True)
     print("failed:", failed)
 
 
