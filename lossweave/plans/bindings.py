@@ -45,7 +45,7 @@ TEST = Protocol(
 
 _STATUS = (
     "case when l_partkey % 23 = 0 then 'CANCLD' when l_partkey % 89 = 0 then 'BAD' "
-    "when l_returnflag = 'R' or l_linestatus = 'F' and l_returnflag <> 'A' then 'CHGOFF' "
+    "when l_returnflag = 'R' and l_linestatus = 'F' then 'CHGOFF' "
     "when l_returnflag = 'A' then 'P I F' else 'EXEMPT' end"
 )
 _SHIP = "cast(l_shipdate as date)"

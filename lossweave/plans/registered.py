@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     queries_design,
     queries_models,
     queries_panels,
+    queries_registry,
     queries_results,
     queries_rows,
     queries_sources,
