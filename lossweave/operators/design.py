@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -141,23 +141,29 @@ def summed(partials: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     return partials.groupBy(*keys).agg(Summarizer.sum(array_to_vector(F.col(value))).alias(value))
 
 
-def stack(batch: pd.Series) -> np.ndarray:
-    return np.stack(batch.to_numpy())
+def matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
+    """A column of equally long arrays as a matrix, without touching single rows."""
+    values = batch.column(column)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
+def array_batch(values: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(values)
 
 
 def gram_matrix(design_rows: DataFrame, columns: int) -> np.ndarray:
     """X'X / n. Each partition adds up its own p x p matrix; only those are shuffled."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((columns, columns)), 0
         for batch in batches:
-            if len(batch):
-                x = stack(batch["x"])
+            if batch.num_rows:
+                x = matrix(batch)
                 total += x.T @ x
                 n += len(x)
-        yield pd.DataFrame({"s": [np.r_[total.ravel(), n].tolist()]})
+        yield array_batch({"s": [np.r_[total.ravel(), float(n)].tolist()]})
 
-    sums = summed(design_rows.select("x").mapInPandas(partial, "s array<double>"), "s").first()[0].toArray()
+    sums = summed(design_rows.select("x").mapInArrow(partial, "s array<double>"), "s").first()[0].toArray()
     return sums[:-1].reshape(columns, columns) / max(sums[-1], 1)
 
 

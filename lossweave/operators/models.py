@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
@@ -24,7 +25,7 @@ from ..config import GROUP_KEYS, Protocol
 from ..functions.shapes import stacked
 from ..session import staged
 from . import bootstrap, loss
-from .design import Design, fit_design, stack, summed
+from .design import Design, array_batch, fit_design, matrix, summed
 from .linking import apply_scenarios
 
 # Numerical settings of the penalised fits.
@@ -65,13 +66,15 @@ class LogitData:
     """Design rows ``(state, Y, x)`` of one model, staged once, with the passes over them."""
 
     def __init__(self, rows: DataFrame, columns: int):
-        self.rows = staged(rows.select(F.col("state"), F.col("Y").cast("double"), "x"))
-        self.columns = columns
-        counts = self.rows.groupBy("state").agg(F.count("*").alias("n"), F.sum("Y").alias("y"))
+        slim = staged(rows.select("state", F.col("Y").cast("double"), "x"))
+        counts = slim.groupBy("state").agg(F.count("*").alias("n"), F.sum("Y").alias("y"))
         self.levels = bootstrap.cluster_levels(counts)
         table = {r["state"]: (r["n"], r["y"]) for r in counts.collect()}
         self.n = np.array([table[s][0] for s in self.levels], dtype=float)
         self.events = np.array([table[s][1] for s in self.levels], dtype=float)
+        self.columns = columns
+        codes = F.array(*[F.lit(s) for s in self.levels])
+        self.rows = slim.select((F.array_position(codes, F.col("state")) - 1).alias("code"), "Y", "x")
 
     def weights(self, raw: np.ndarray | None) -> np.ndarray:
         """State weights per fit, scaled to add up to the number of rows; ones without a schedule."""
@@ -82,20 +85,18 @@ class LogitData:
         return raw * (self.n.sum() / (raw @ self.n))[:, None]
 
     def _pass(self, kernel, keys: Sequence[int]) -> dict[int, np.ndarray]:
-        index = {s: i for i, s in enumerate(self.levels)}
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals: dict[int, np.ndarray] = {}
             for batch in batches:
-                if len(batch):
-                    x, y, code = stack(batch["x"]), batch["Y"].to_numpy(), batch["state"].map(index).to_numpy()
+                if batch.num_rows:
+                    x, y, code = matrix(batch), batch.column("Y").to_numpy(), batch.column("code").to_numpy()
                     for k in keys:
                         part = kernel(k, x, y, code)
                         totals[k] = part if k not in totals else totals[k] + part
-            for k, v in totals.items():
-                yield pd.DataFrame({"k": [int(k)], "v": [v.tolist()]})
+            if totals:
+                yield array_batch({"k": [int(k) for k in totals], "v": [v.tolist() for v in totals.values()]})
 
-        out = summed(self.rows.mapInPandas(partial, "k int, v array<double>"), "v", ["k"])
+        out = summed(self.rows.mapInArrow(partial, "k long, v array<double>"), "v", ["k"])
         return {r["k"]: r["v"].toArray() for r in out.collect()}
 
     def information(self, betas: dict[int, np.ndarray], weights: dict[int, np.ndarray]):
@@ -123,6 +124,19 @@ class LogitData:
 
         return self._pass(kernel, list(betas))
 
+    def score_and_information(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Unweighted log-likelihood, score and information at one point, in a single pass."""
+        p = self.columns
+
+        def kernel(_, x, y, code):
+            eta = x @ beta
+            q = _logistic(eta)
+            info = (x * (q * (1 - q))[:, None]).T @ x
+            return np.r_[np.dot(y, eta) - np.logaddexp(0, eta).sum(), x.T @ (y - q), info.ravel()]
+
+        v = self._pass(kernel, [0])[0]
+        return float(v[0]), v[1:p + 1], v[p + 1:].reshape(p, p)
+
     def state_scores(self, beta: np.ndarray) -> np.ndarray:
         """Sum of score contributions per state: states x columns."""
         size, p = len(self.levels), self.columns
@@ -221,13 +235,12 @@ def fit_clustered(data: LogitData, max_iterations: int = 50, tolerance: float =
     Under separation the likelihood has no maximum: the coefficients run away, the fit is reported
     as not converged and the covariance is NaN.
     """
-    p, ones = data.columns, {0: np.ones(len(data.levels))}
+    p = data.columns
     fit = Fit(0, np.zeros(p))
     info = np.eye(p)
     for iteration in range(1, max_iterations + 1):
-        score = data.gradient({0: fit.beta}, ones)[0]
-        loglik, info = data.information({0: fit.beta}, ones)[0]
-        fit.iterations, fit.objective, fit.score_max = iteration, float(loglik), float(np.abs(score).max())
+        loglik, score, info = data.score_and_information(fit.beta)
+        fit.iterations, fit.objective, fit.score_max = iteration, loglik, float(np.abs(score).max())
         fit.condition = float(np.linalg.cond(info))
         if not fit.condition <= CONDITION_LIMIT or np.abs(fit.beta).max() > 50:
             fit.message = "no finite maximum: separation or a singular design"
@@ -406,40 +419,50 @@ def drawwise_projection(portfolio: DataFrame, scenarios: DataFrame, design: Desi
     """The scenario projection for every coefficient draw: ``draw`` joins the long metrics.
 
     Rows are never multiplied by draws. A partition turns its rows into one vector of length
-    ``draws`` per sum and group combination, and only those combinations are shuffled.
+    ``draws`` per sum and group, a product of a group indicator with the score matrix, and only
+    those vectors are shuffled.
     """
     inputs = apply_scenarios(portfolio, scenarios)
     with_lgd = loss.assign_severity(inputs, severity)
     lgd = [f"lgd_{v}" for v in loss.VARIANTS]
     rows = design.rows(with_lgd, ["scenario", *groups, "guarantee_share", "GrossApproval", *lgd])
-    keys = ["scenario", *groups]
     names = ["pd_sum", *[f"{v}_{part}" for v in loss.VARIANTS for part in ("total", "sponsor", "lender")]]
+    keys = ["scenario", "group_name", "group_value"]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            share, ead = batch["guarantee_share"].to_numpy(dtype=float), batch["GrossApproval"].to_numpy(dtype=float)
+            flat = batch.drop_columns(["x"]).to_pandas()
+            share, ead = flat["guarantee_share"].to_numpy(dtype=float), flat["GrossApproval"].to_numpy(dtype=float)
             ok = np.isfinite(share)
             g, exposure = np.where(ok, share, 0.0), np.where(ok, ead, 0.0)
-            scale = [np.ones(len(batch))]
+            scale = [np.ones(len(flat))]
             for c in lgd:
-                el = batch[c].to_numpy(dtype=float) * exposure
+                el = flat[c].to_numpy(dtype=float) * exposure
                 scale += [el, el * g, el * (1 - g)]
-            p = _logistic(stack(batch["x"]) @ betas.T)
-            counts = np.stack([np.ones(len(batch)), ok.astype(float), exposure], axis=1)
-            for key, at in batch.groupby(keys, sort=False, dropna=False).indices.items():
-                part = np.r_[(np.stack([s[at] for s in scale]) @ p[at]).ravel(), counts[at].sum(axis=0)]
-                totals[key] = part if key not in totals else totals[key] + part
-        for key, v in totals.items():
-            yield pd.DataFrame([[*key, v.tolist()]], columns=[*keys, "v"])
+            p = _logistic(matrix(batch) @ betas.T)
+            counts = np.stack([scale[0], ok.astype(float), exposure], axis=1)
+            labels, members = [], []
+            for name in ("overall", *groups):
+                value = "all" if name == "overall" else flat[name]
+                pair = pd.DataFrame({"s": flat["scenario"], "v": value})
+                code, found = pd.factorize(pd.MultiIndex.from_frame(pair))
+                members.append(code + len(labels))
+                labels += [(s, name, v) for s, v in found]
+            inside = np.zeros((len(labels), len(flat)))
+            for code in members:
+                inside[code, np.arange(len(flat))] = 1.0
+            sums = np.concatenate([(inside * s) @ p for s in scale] + [inside @ counts], axis=1)
+            for label, part in zip(labels, sums):
+                totals[label] = part if label not in totals else totals[label] + part
+        if totals:
+            cols = {k: [t[i] for t in totals] for i, k in enumerate(keys)}
+            yield array_batch({**cols, "v": [v.tolist() for v in totals.values()]})
 
     schema = ", ".join(f"{k} string" for k in keys) + ", v array<double>"
-    fine = summed(rows.mapInPandas(partial, schema), "v", keys)
-    cells = [("overall", "all"), *[(g, F.col(g)) for g in groups]]
-    grouped = summed(stacked(fine.withColumn("v", vector_to_array("v")), ["scenario", "v"], ["group_name", "group_value"], cells),
-                     "v", ["scenario", "group_name", "group_value"]).withColumn("v", vector_to_array("v"))
+    grouped = summed(rows.mapInArrow(partial, schema), "v", keys).withColumn("v", vector_to_array("v"))
     draws = len(betas)
     per_draw = grouped.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     tail = len(names) * draws

@@ -138,8 +138,10 @@ def result_sink(spark, sf):
 
 @query("a08_verify_files")
 def verify_files(spark, sf):
+    path = scratch_path(spark, "manifest")
     inventory = files.file_inventory(spark, sf, "*.parquet")
-    return files.verify_files(inventory, inventory)
+    files.save_result(inventory, path)
+    return files.verify_files(inventory, files.load_result(spark, path, inventory.schema))
 
 
 @query(
