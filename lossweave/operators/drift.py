@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import UNSEEN
 from ..functions.cleaning import count_where, holds, missing_token
 from ..functions.shapes import stacked
-from ..session import lookup_join
+from ..session import lookup_join, staged
 from .design import finite
 from .linking import apply_scenarios
 from .ordered import bin_index, exact_quantiles, inner_cuts
@@ -44,7 +44,8 @@ def numeric_psi(train: DataFrame, target: DataFrame, features: Sequence[str], co
     base = stacked(train, [], ["feature", "value"], pairs)
     other = stacked(target, [cohort], ["feature", "value"], pairs)
     spots = [i / cells for i in range(cells + 1)]
-    cuts = exact_quantiles(base, "value", spots, by=["feature"]).select("feature", inner_cuts(F.col("quantiles")).alias("cuts"))
+    quantiles = exact_quantiles(base, "value", spots, by=["feature"])
+    cuts = staged(quantiles.select("feature", inner_cuts(F.col("quantiles")).alias("cuts")))  # one row per feature, read three times
     bin_of = F.when(F.col("value").isNull(), -1).otherwise(bin_index(F.col("value"), F.col("cuts")))
     left = lookup_join(base, cuts, ["feature"]).groupBy("feature", bin_of.alias("bin")).agg(F.count("*").alias("a"))
     right = lookup_join(other, cuts, ["feature"]).groupBy(cohort, "feature", bin_of.alias("bin")).agg(F.count("*").alias("b"))

@@ -65,4 +65,4 @@ def stressed(spark: SparkSession, sf: str) -> DataFrame:
         "-1.9D + 0.9D * coalesce(guarantee_share, 0.5D) - 0.12D * coalesce(InitialInterestRate, 4D) + 0.25D * (log_approval - 10) "
         "+ 0.08D * coalesce(u0, 0D) + 0.1D * coalesce(du, 0D) - 0.004D * coalesce(dh, 0D)"
     )
-    return rows.withColumn("p", F.expr(f"round(1 / (1 + exp(-({linear}))), 6)"))
+    return rows.withColumn("p", F.expr(f"1 / (1 + exp(-({linear})))"))

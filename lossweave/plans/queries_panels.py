@@ -28,12 +28,12 @@ def _r(*columns):
 @query(
     "c01_panel_join",
     with_tables("matched") + """select ProjectState as state, month, count(*) as n, count(u0) as with_u, count(du) as with_du, count(peak_du) as with_peak,
-    round(min(du), 6) as du, round(max(dh), 6) as dh from matched group by 1, 2""",
+    min(du) as du, round(max(dh), 6) as dh from matched group by 1, 2""",
 )
 def panel_join(spark, sf):
     return matched(spark, sf).groupBy(F.col("ProjectState").alias("state"), "month").agg(
         F.count("*").alias("n"), F.count("u0").alias("with_u"), F.count("du").alias("with_du"), F.count("peak_du").alias("with_peak"),
-        F.round(F.min("du"), 6).alias("du"), F.round(F.max("dh"), 6).alias("dh"),
+        F.min("du").alias("du"), F.round(F.max("dh"), 6).alias("dh"),
     )
 
 

@@ -159,8 +159,8 @@ def acceptance_diagnostic(spark, sf):
 
 
 STRESS_SQL = (
-    "st as (select e.*, s.scenario, round(1 / (1 + exp(-(-1.9e0 + 0.9e0 * coalesce(e.guarantee_share, 0.5e0) - 0.12e0 * coalesce(e.InitialInterestRate, 4e0) "
-    "+ 0.25e0 * (e.log_approval - 10) + 0.08e0 * coalesce(s.u0, 0) + 0.1e0 * coalesce(s.du, 0) - 0.004e0 * coalesce(s.dh, 0)))), 6) as ps "
+    "st as (select e.*, s.scenario, 1 / (1 + exp(-(-1.9e0 + 0.9e0 * coalesce(e.guarantee_share, 0.5e0) - 0.12e0 * coalesce(e.InitialInterestRate, 4e0) "
+    "+ 0.25e0 * (e.log_approval - 10) + 0.08e0 * coalesce(s.u0, 0) + 0.1e0 * coalesce(s.du, 0) - 0.004e0 * coalesce(s.dh, 0)))) as ps "
     "from elig e join scenario s using (ProjectState) where e.role = 'reference')"
 )
 _SUMS = "avg(ps) as pd, count(*) as pd_n, count(guarantee_share) as loss_n, sum(GrossApproval) filter (guarantee_share is not null) as exposure" + "".join(
