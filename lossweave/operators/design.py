@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +136,10 @@ class Design:
 
 
 def summed(partials: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Element-wise sum of equally long arrays, combined map-side on the JVM."""
-    return partials.groupBy(*keys).agg(Summarizer.sum(array_to_vector(F.col(value))).alias(value))
+    """Element-wise sum of equally long arrays: positions are summed map-side, then put in order."""
+    cells = partials.select(*keys, F.posexplode(value).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
+    rows = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_a"))
+    return rows.select(*keys, array_to_vector(F.col("_a._x")).alias(value))
 
 
 def matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:

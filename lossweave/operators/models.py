@@ -444,16 +444,17 @@ def drawwise_projection(portfolio: DataFrame, scenarios: DataFrame, design: Desi
                 scale += [el, el * g, el * (1 - g)]
             p = _logistic(matrix(batch) @ betas.T)
             counts = np.stack([scale[0], ok.astype(float), exposure], axis=1)
-            labels, members = [], []
+            labels: list[tuple] = []
+            rows_of: list[np.ndarray] = []
             for name in ("overall", *groups):
-                value = "all" if name == "overall" else flat[name]
-                pair = pd.DataFrame({"s": flat["scenario"], "v": value})
-                code, found = pd.factorize(pd.MultiIndex.from_frame(pair))
-                members.append(code + len(labels))
-                labels += [(s, name, v) for s, v in found]
+                by = ["scenario"] if name == "overall" else ["scenario", name]
+                for key, at in flat.groupby(by, sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    labels.append((key[0], name, "all" if name == "overall" else key[1]))
+                    rows_of.append(at)
             inside = np.zeros((len(labels), len(flat)))
-            for code in members:
-                inside[code, np.arange(len(flat))] = 1.0
+            for i, at in enumerate(rows_of):
+                inside[i, at] = 1.0
             sums = np.concatenate([(inside * s) @ p for s in scale] + [inside @ counts], axis=1)
             for label, part in zip(labels, sums):
                 totals[label] = part if label not in totals else totals[label] + part
