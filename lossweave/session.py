@@ -34,12 +34,18 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a throw-away one only where the session names none (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the directory set on the context.
+
+    A session whose executors are threads of the driver may go without and gets a throw-away folder; any
+    other session must name one, since executors would write to their own disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
