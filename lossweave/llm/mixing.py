@@ -3,7 +3,7 @@
 Every source gets a target in words, at most ``MOST_PASSES`` times its size; what a capped source leaves
 is shared again by weight. A source's documents are dealt into hash blocks; each pass over the source takes
 the blocks in an order of its own. Whole passes take all blocks; the last one takes blocks while they fit, and
-from the next block the documents that fit. The block quotas of the sources are split among the output
+from the next block the documents that fill the rest. The block quotas of the sources are split among the output
 shards by a binary tree: a node hands its left half a multivariate-hypergeometric draw from what it holds,
 seeded by the node, so any shard can work out its own counts again. Shards then draw consecutive, disjoint runs
 of the permuted blocks and shuffle locally.
@@ -125,7 +125,9 @@ def plan(digest: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS,
     full = F.col("_pass") < F.col("_passes")
     draws = ranked.withColumn("_room", F.col("_rest") - (F.col("_upto") - F.col("_words"))).where(full | (F.col("_room") > 0))
     draws = draws.withColumn("_whole", full | (F.col("_words") <= F.col("_room")))
-    draws = staged(draws.withColumn("_item", F.col("_pass") * F.col("_blocks") + F.col("_rank")).select(SOURCE, "_block", "_pass", "_item", "_room", "_whole"))
+    # numbered over what there is: a hash block may be empty
+    item = F.row_number().over(Window.partitionBy(SOURCE).orderBy("_pass", "_rank")).cast("long") - 1
+    draws = staged(draws.withColumn("_item", item).select(SOURCE, "_block", "_pass", "_item", "_room", "_whole"))
 
     quota = {r[SOURCE]: r.n for r in draws.groupBy(SOURCE).agg(F.count("*").alias("n")).collect()}
     names = sorted(quota)
@@ -143,24 +145,44 @@ def plan(digest: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS,
     return rows, draws.join(items, [SOURCE, "_item"])
 
 
-def fitting(draws: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents taken from the one block of each source that is not drawn whole: in hash order, each that still fits.
+def fill(size: np.ndarray, order: np.ndarray, room: float, open_end: int = 16) -> np.ndarray:
+    """Which sizes to take so that their sum comes close to, and not above, ``room``.
 
-    A block is a bounded group. Afterwards the smallest document left over is added if that brings the sum nearer.
+    Sizes are taken in the given order while they fit; then the last few of them are given back and the room is
+    filled as well as the sizes not taken can: the reachable sums are the bits of one integer.
     """
+    taken, left = np.zeros(len(size), bool), int(room)
+    fits = []
+    for i in order:
+        if 0 < size[i] <= left:
+            taken[i], left = True, left - int(size[i])
+            fits.append(i)
+    for i in fits[-open_end:]:
+        taken[i], left = False, left + int(size[i])
+    reach, mask, last = 1, (1 << left + 1) - 1, {}
+    for i in order:
+        if taken[i] or not 0 < size[i] <= left or reach >> left & 1:
+            continue
+        fresh = (reach << int(size[i])) & mask & ~reach
+        reach |= fresh
+        while fresh:
+            bit = fresh & -fresh
+            last[bit.bit_length() - 1] = i
+            fresh ^= bit
+    total = reach.bit_length() - 1
+    while total:
+        i = last[total]
+        taken[i], total = True, total - int(size[i])
+    return taken
+
+
+def fitting(draws: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents taken from the one block of each source that is not drawn whole. A block is a bounded group."""
     part = rows.join(draws.where("not _whole").select(SOURCE, "_block", "_room"), [SOURCE, "_block"])
 
     def choose(table: pa.Table) -> pa.Table:
-        size, room = table.column("size").to_numpy(), table.column("_room")[0].as_py()
-        taken, last = np.zeros(len(size), bool), None
-        for i in np.lexsort((table.column("_key").to_numpy(),)):
-            if size[i] <= room:
-                taken[i] = size[i] > 0
-                room -= size[i]
-            elif last is None or size[i] < size[last]:
-                last = i
-        if last is not None and size[last] - room < room:
-            taken[last] = True
+        size, key = table.column("size").to_numpy(), table.column("_key").to_numpy()
+        taken = fill(size, np.lexsort((size, key)), table.column("_room")[0].as_py())
         return pa.table({"_row": table.column("_row").filter(pa.array(taken))})
 
     keyed = part.select("_row", "size", "_room", SOURCE, "_block", F.xxhash64(F.lit("fit"), "doc_id", "size").alias("_key"))
