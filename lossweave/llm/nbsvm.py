@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossweave.session import staged
+from lossweave.session import lookup_join, staged
 
 from .common import arrow_pass, remainder, utf8
 
 COLUMNS_LOG2 = 18
 FIT_ROWS = 20_000
+LABEL_ROWS = 2_000_000  # some 60 MB as a hash table
 SMOOTHING, COST, BLEND, EPOCHS, SEED = 1.0, 0.1, 0.25, 30, 17
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -138,9 +139,13 @@ def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost:
 
 
 def training(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Texts of labelled rows whose id is not held out."""
+    """Texts of labelled rows whose id is not held out.
+
+    Labels are two numbers a row: up to ``LABEL_ROWS`` of them, counted first, travel to the texts; more are
+    joined by a shuffle of both sides.
+    """
     marked = labels.where(F.col(label).isin(0, 1) & (remainder(3) != 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(marked, "doc_id")
+    return lookup_join(docs.select("doc_id", "text"), marked, ["doc_id"], "inner", LABEL_ROWS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, columns_log2: int = COLUMNS_LOG2) -> Model:
