@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossweave.session import staged
+from lossweave.session import lookup_join, staged
 
 from .common import arrow_pass
 from .packing import CACHE_WORDS, VOCABULARY, load_encoding
@@ -148,7 +148,7 @@ def judged(docs: DataFrame, spread: float = SPREAD, **paths: str) -> DataFrame:
         .when(F.col("fallback_share") > outer[2], "byte_fallback")
         .when((F.col("token_entropy") < outer[3]) | (F.col("entropy_share") < F.col("_flat")), "low_entropy")
     )
-    out = m.join(bands, "_band", "left").withColumn("rejected_by", rejected)
+    out = lookup_join(m, bands, ["_band"]).withColumn("rejected_by", rejected)
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_band", "_few", "_many", "_flat")
 
 
