@@ -32,8 +32,9 @@ def weighted_comparison(earlier: DataFrame, later: DataFrame, keys: Sequence[str
 
 
 def attempt_summary(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attempted, successful, failed, and a map from failure message to count."""
-    fine = attempts.groupBy(*keys, "message").agg(F.count("*").alias("_n"), F.count_if("successful").alias("_ok"))
+    """Attempted, successful, failed, and a map from failure message to count; a failure without a message counts under the empty one."""
+    fine = attempts.withColumn("message", F.coalesce("message", F.lit("")))
+    fine = fine.groupBy(*keys, "message").agg(F.count("*").alias("_n"), F.count_if("successful").alias("_ok"))
     failed = F.when(F.col("_n") > F.col("_ok"), F.struct("message", (F.col("_n") - F.col("_ok")).alias("n")))
     return fine.groupBy(*keys).agg(
         F.sum("_n").alias("attempted"), F.sum("_ok").alias("successful"), F.sum(F.col("_n") - F.col("_ok")).alias("failed"),

@@ -188,7 +188,7 @@ def fit_design(
 ) -> Design:
     """Contract, maps and independent columns from training rows only."""
     train = staged(train.select("role", *numeric, *categorical))
-    if train.where("role <> 'train'").limit(1).count():
+    if train.where("not (role <=> 'train')").limit(1).count():
         raise ValueError("preprocessing may only be fitted on training rows")
     numbers = {r["feature"]: r for r in numeric_contract(train, numeric).collect()} if numeric else {}
     levels: dict[str, set[str]] = {c: set() for c in categorical}

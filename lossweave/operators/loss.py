@@ -38,7 +38,7 @@ def severity_table(train: DataFrame, protocol: Protocol) -> DataFrame:
     aggregate yields at most 12 rows; all pooling happens on those.
     """
     loss, ead = F.col("GrossChargeOffAmount"), F.col("GrossApproval")
-    bad = train.where("role <> 'train'").select(F.count("*").alias("n"))
+    bad = train.where("not (role <=> 'train')").select(F.count("*").alias("n"))
     events = train.where("Y = 1")
     ok = holds(loss >= 0)
     chosen = {"primary": F.lit(True), "capped": F.lit(True), "downturn": F.col("year").isin(*protocol.downturn_years)}

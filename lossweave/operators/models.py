@@ -390,14 +390,12 @@ def finite_change(df: DataFrame, design: Design, beta: Sequence[float], feature:
     return sums.select("group_name", "group_value", "n", (F.col("_s") / F.col("n")).alias("value"))
 
 
-def linear_attribution(df: DataFrame, design: Design, beta: Sequence[float], seed: int, sample: int = 5000) -> DataFrame:
-    """Mean absolute contribution of numeric inputs on a seeded sample of at most ``sample`` rows."""
+def linear_attribution(df: DataFrame, design: Design, beta: Sequence[float]) -> DataFrame:
+    """Mean absolute contribution of numeric inputs over all rows, in one aggregation."""
     weights = dict(zip(design.columns, map(float, beta), strict=True))
-    key = F.md5(F.concat_ws(":", "row_id", F.lit(str(seed))))
-    rows = df.select("row_id", *design.numeric).orderBy(key, "row_id").limit(sample)
     parts = design.parts()
     used = [c for c in design.numeric if c in weights]
-    wide = rows.agg(F.count("*").alias("n"), *[F.expr(f"avg(abs({weights[c]!r}D * {parts[c]})) as _{c}") for c in used])
+    wide = df.agg(F.count("*").alias("n"), *[F.expr(f"avg(abs({weights[c]!r}D * {parts[c]})) as _{c}") for c in used])
     return stacked(wide, ["n"], ["feature", "value"], [(c, F.col(f"_{c}")) for c in used])
 
 

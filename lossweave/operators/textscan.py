@@ -42,6 +42,7 @@ def assertion_scan(texts: DataFrame, key: str, text: str, patterns: Sequence[str
 
 def credential_scan(texts: DataFrame, text: str, patterns: dict[str, str] = CREDENTIALS) -> DataFrame:
     """``(pattern, texts, hits)``; patterns that match nothing stay with zero."""
-    wide = texts.agg(*[x for n, p in patterns.items() for x in (
-        count_where(F.col(text).rlike(p)).alias(f"t_{n}"), F.coalesce(F.sum(F.regexp_count(text, F.lit(p))), F.lit(0)).cast("long").alias(f"h_{n}"))])
+    counted = texts.select(*[F.regexp_count(text, F.lit(p)).alias(f"_h_{n}") for n, p in patterns.items()])
+    wide = counted.agg(*[x for n in patterns for x in (
+        count_where(F.col(f"_h_{n}") > 0).alias(f"t_{n}"), F.coalesce(F.sum(f"_h_{n}"), F.lit(0)).cast("long").alias(f"h_{n}"))])
     return stacked(wide, [], ["pattern", "texts", "hits"], [(n, F.col(f"t_{n}"), F.col(f"h_{n}")) for n in patterns])

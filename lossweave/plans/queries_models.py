@@ -147,11 +147,11 @@ def finite_change(spark, sf):
 
 @query(
     "g11_linear_attribution",
-    with_tables("elig") + """, smp as (select * from elig where role = 'oot' order by md5(row_id || ':20261008'), row_id limit 5000)
+    with_tables("elig") + """, smp as (select * from elig where role = 'oot')
     select 'log_approval' as feature, count(*) as n, round(avg(abs(0.2 * (coalesce(log_approval, 10) - 10) / 0.5)), 6) as value from smp
     union all select 'log_jobs', count(*), round(avg(abs(-0.15 * (coalesce(log_jobs, 3) - 3) / 0.8)), 6) from smp
     union all select 'InitialInterestRate', count(*), round(avg(abs(0.12 * (coalesce(InitialInterestRate, 4) - 4) / 2.5)), 6) from smp""",
 )
 def linear_attribution(spark, sf):
-    out = models.linear_attribution(loans(spark, sf).where("role = 'oot'"), CARD, BETA, TEST.seed)
+    out = models.linear_attribution(loans(spark, sf).where("role = 'oot'"), CARD, BETA)
     return out.withColumn("value", F.round("value", 6))

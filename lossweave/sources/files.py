@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -134,12 +135,15 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``(file, sha256, bytes)``. Only names are listed by Spark; each task streams its files in blocks."""
+    """``(file, sha256, bytes)``, files named by their path below ``path``. Only names are listed by Spark; each task streams its files in blocks."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     names = listing.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
     spread = names.repartition(F.col("path")).select("path")
     digests = spread.mapInPandas(_digests, "path string, sha256 string, bytes long")
-    return digests.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256", "bytes")
+    root = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path.rstrip("/"))
+    below = F.substring("path", F.instr("path", root) + len(root) + 1, F.length("path"))
+    name = F.when((F.instr("path", root) > 0) & (below != ""), below).otherwise(F.element_at(F.split("path", "/"), -1))
+    return digests.select(name.alias("file"), "sha256", "bytes")
 
 
 def verify_files(inventory: DataFrame, manifest: DataFrame) -> DataFrame:

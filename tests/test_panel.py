@@ -131,3 +131,14 @@ def test_csv_scan_keeps_blanks_and_named_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="expected 51"):
         (tmp_path / "c.txt").write_text("| LAUST01 | AL |\nnoise\n")
         files.read_crosswalk(spark, str(tmp_path / "c.txt"), expected=51)
+
+
+def test_files_of_equal_name_in_different_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "f.bin").write_bytes(folder.encode())
+    found = files.file_inventory(spark, str(tmp_path))
+    frozen = spark.createDataFrame(found.collect())
+    assert {r.file for r in frozen.collect()} == {"a/f.bin", "b/f.bin"}
+    checks = files.verify_files(found, frozen)
+    assert checks.count() == 2 and checks.where("passed").count() == 2

@@ -171,3 +171,9 @@ def test_purity_report_names_leaks(spark):
     assert {(r.role, r.outside_train, r.not_allowed) for r in report.collect()} == {("train", 0, "ChargeOffDate"), ("tune", 1, "ChargeOffDate")}
     with pytest.raises(ValueError, match="not pure"):
         linking.require_pure(report)
+
+
+def test_failed_attempt_without_a_message_is_counted(spark):
+    attempts = spark.createDataFrame([("a", True, None), ("a", False, None), ("a", False, "limit")], "variant string, successful boolean, message string")
+    got = comparison.attempt_summary(attempts, ["variant"]).first()
+    assert (got.attempted, got.successful, got.failed, got.failures) == (3, 1, 2, {"": 1, "limit": 1})
