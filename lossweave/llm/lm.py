@@ -34,7 +34,7 @@ from .common import arrow_pass, remainder, utf8
 
 KNOWN_WORDS = 100_000  # most words that travel to every task
 FLUSH_WORDS = 400_000
-TRAIN_SHARE, ROUNDS = 2, 3  # one in so many training texts, spread over so many rounds
+TRAIN_SHARE, ROUNDS = 3, 3  # one in so many training texts, spread over so many rounds
 SUMMING_TASKS = 8
 BUFFER_TOKENS = 3_000_000
 SEED = 5
