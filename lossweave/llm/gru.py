@@ -4,9 +4,10 @@ Symbols: 0 is the end of a text, 1 to ``HEAD`` - 1 are frequent words in classes
 for each class of rare words. The output is factored: a softmax over classes, then one inside a class of
 frequent words. What a rare word adds inside its class does not depend on the state and is added elsewhere.
 
-Texts are dealt to lanes, longest first to the shortest lane, and a lane reads its texts one after the other.
-Scoring carries the state through all windows of a text, so the whole text is read; training carries it too
-but stops gradients at the edge of a window.
+For scoring, texts are dealt to lanes, longest first to the shortest lane, and a lane reads its texts one after the
+other; the state is carried through all windows of a text, so the whole text is read. For training, all texts make one
+stream, in an order drawn from a seed, that is cut into equal lanes: every token is learned from once, lanes are busy to
+the end however long one text is, and the state is carried too, but gradients stop at the edge of a window.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ SHAPES = {
     "to_word": (CLASSES, UNITS, WIDTH), "word_bias": (CLASSES, WIDTH),
 }
 LOG10 = 1 / np.log(10.0)
+LEAST_RUN = 64  # a training lane is not cut shorter
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -80,31 +82,64 @@ def lanes(texts: list[np.ndarray], most: int) -> Lanes:
     return out
 
 
+def stream(texts: list[np.ndarray], most: int, seed: int = 0) -> Lanes:
+    """All texts and their ends as lanes of one length; only the last lane may be shorter."""
+    order = np.random.default_rng(seed).permutation(len(texts))
+    size = np.array([len(texts[i]) + 1 for i in order])
+    total = int(size.sum())
+    steps = -(-total // max(1, min(most, total // LEAST_RUN)))
+    n = -(-total // steps)
+    target = np.zeros(n * steps, np.int32)
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    for at, i in zip(begin, order):
+        target[at : at + len(texts[i])] = texts[i]
+    symbol, start, text = np.zeros_like(target), np.zeros(len(target), bool), np.full(len(target), -1, np.int32)
+    symbol[1:] = target[:-1]  # before the first symbol of a text comes the end of another, and both are 0
+    start[begin] = start[::steps] = True
+    text[:total] = 0
+    cells = [np.ascontiguousarray(x.reshape(n, steps).T) for x in (symbol, target, text, start)]
+    length = np.full(n, steps)
+    return Lanes(*cells, length)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def recur(p: dict, symbol: np.ndarray, start: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window, and the last one."""
-    inward, across, u = p["inward"], p["across"], UNITS
+def recur(p: dict, symbol: np.ndarray, start: np.ndarray, h: np.ndarray, trace: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States after each step of a window, and the last one; ``trace`` is filled with what gradients need."""
+    across, u = p["across"], UNITS
+    given = p["inward"][symbol]
     states = np.empty((*symbol.shape, u), np.float32)
+    if trace is not None:
+        trace |= {k: np.empty_like(states) for k in ("before", "fresh", "inner")} | {"gate": np.empty((*symbol.shape, 2 * u), np.float32)}
+    cleared = start.any(axis=1)
     for t in range(len(symbol)):
-        if start[t].any():
+        if cleared[t]:
             h = np.where(start[t][:, None], np.float32(0), h)
-        a, b = inward[symbol[t]], h @ across
+        a, b = given[t], h @ across
         gate = _sigmoid(a[:, : 2 * u] + b[:, : 2 * u])
         z, r = gate[:, :u], gate[:, u:]
         fresh = np.tanh(a[:, 2 * u :] + r * b[:, 2 * u :])
-        after = fresh + z * (h - fresh)
         if trace is not None:
-            trace.append((h, z, r, fresh, b[:, 2 * u :]))
-        h = states[t] = after
+            trace["before"][t], trace["fresh"][t], trace["inner"][t], trace["gate"][t] = h, fresh, b[:, 2 * u :], gate
+        states[t] = fresh + z * (h - fresh)
+        h = states[t]
     return states, h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _picked(x: np.ndarray, at: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The log softmax of each row at one place and, if asked for, its gradient with the sign of a loss. Overwrites ``x``."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    if not gradient:
+        return own - np.log(total), None
+    x /= total[:, None]
+    x[rows, at] -= 1
+    return own - np.log(total), x
 
 
 def class_of(target: np.ndarray) -> np.ndarray:
@@ -114,34 +149,41 @@ def class_of(target: np.ndarray) -> np.ndarray:
 def emit(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural-log probability of each target given its state; with ``grad``, also the loss gradient by state."""
     which = class_of(target)
-    every = np.arange(len(target))
-    logs = _log_softmax(h @ p["to_class"] + p["class_bias"])
-    out = logs[every, which].astype(np.float64)
-    back = None
+    order = np.argsort(which, kind="stable")
+    which, sorted_h, column = which[order], h[order], target[order] % WIDTH
+    logs, d = _picked(sorted_h @ p["to_class"] + p["class_bias"], which, grad is not None)
     if grad is not None:
-        d = np.exp(logs)
-        d[every, which] -= 1
-        grad["to_class"] += h.T @ d
+        grad["to_class"] += sorted_h.T @ d
         grad["class_bias"] += d.sum(axis=0)
-        back = d @ p["to_class"].T
-    order = np.argsort(which, kind="stable")
-    edges = np.searchsorted(which[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[edges[c] : edges[c + 1]]
-        if not len(at):
+        d = d @ p["to_class"].T
+    edges = np.searchsorted(which, np.arange(CLASSES + 1))
+    for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        if lo == hi:
             continue
-        inner = _log_softmax(h[at] @ p["to_word"][c] + p["word_bias"][c])
-        row, col = np.arange(len(at)), target[at] % WIDTH
-        out[at] += inner[row, col]
+        own = sorted_h[lo:hi]
+        inner, e = _picked(own @ p["to_word"][c] + p["word_bias"][c], column[lo:hi], grad is not None)
+        logs[lo:hi] += inner
         if grad is not None:
-            d = np.exp(inner)
-            d[row, col] -= 1
-            grad["to_word"][c] += h[at].T @ d
-            grad["word_bias"][c] += d.sum(axis=0)
-            back[at] += d @ p["to_word"][c].T
+            grad["to_word"][c] += own.T @ e
+            grad["word_bias"][c] += e.sum(axis=0)
+            d[lo:hi] += e @ p["to_word"][c].T
+    out = np.empty(len(target))
+    out[order] = logs
+    back = None
+    if grad is not None:
+        back = np.empty_like(d)
+        back[order] = d
     return out, back
 
 
+def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``into[at] += rows`` with repeats in ``at``: rows of one place are summed next to each other first."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def score(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 512, window: int = 32) -> np.ndarray:
     """log10 probability of each text's symbols and its end."""
     p, total = unpacked(flat), np.zeros(len(texts))
@@ -160,20 +202,19 @@ def score(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 512, wind
     return total * LOG10
 
 
-def train(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 64, window: int = 16, rate: float = 0.08) -> np.ndarray:
+def train(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 128, window: int = 16, rate: float = 0.3) -> np.ndarray:
     """One pass of truncated backpropagation over the texts with Adagrad steps; returns new parameters."""
     flat = flat.copy()
     if not texts:
         return flat
-    p, lane = unpacked(flat), lanes(texts, most_lanes)
+    p, lane = unpacked(flat), stream(texts, most_lanes)
     square = np.full(len(flat), 1e-2, np.float32)
     h = np.zeros((len(lane.length), UNITS), np.float32)
     u = UNITS
     for lo in range(0, len(lane.symbol), window):
-        busy = int(np.searchsorted(-lane.length, -lo, "left"))
-        cut = (slice(lo, lo + window), slice(0, busy))
-        symbol, start, trace = lane.symbol[cut], lane.start[cut], []
-        states, h = recur(p, symbol, start, h[:busy], trace)
+        cut = slice(lo, lo + window)
+        symbol, start, trace = lane.symbol[cut], lane.start[cut], {}
+        states, h = recur(p, symbol, start, h, trace)
         real = lane.text[cut].ravel() >= 0
         gradient = np.zeros(len(flat), np.float32)
         grad = unpacked(gradient)
@@ -181,23 +222,31 @@ def train(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 64, windo
         outward = np.zeros((len(real), u), np.float32)
         outward[real] = back
         outward = outward.reshape(*symbol.shape, u)
-        dh = np.zeros((busy, u), np.float32)
+        before, fresh, inner, z, r = trace["before"], trace["fresh"], trace["inner"], trace["gate"][..., :u], trace["gate"][..., u:]
+        by_fresh, by_z, by_r = (1 - z) * (1 - fresh * fresh), (before - fresh) * z * (1 - z), inner * r * (1 - r)
         inward = np.empty((*symbol.shape, 3 * u), np.float32)
+        through = np.empty_like(inward)
+        back_across, cleared = np.ascontiguousarray(p["across"].T), start.any(axis=1)
+        dh = np.zeros_like(h)
         for t in reversed(range(len(symbol))):
-            before, z, r, fresh, b = trace[t]
             dh = dh + outward[t]
-            d_fresh = dh * (1 - z) * (1 - fresh * fresh)
-            d_z = dh * (before - fresh) * z * (1 - z)
-            d_r = d_fresh * b * r * (1 - r)
-            inward[t] = np.concatenate((d_z, d_r, d_fresh), axis=1)
-            through = np.concatenate((d_z, d_r, d_fresh * r), axis=1)
-            grad["across"] += before.T @ through
-            dh = np.where(start[t][:, None], np.float32(0), dh * z + through @ p["across"].T)
-        np.add.at(grad["inward"], symbol.ravel(), inward.reshape(-1, 3 * u))
+            d = inward[t]
+            d[:, :u] = dh * by_z[t]
+            d[:, 2 * u :] = dh * by_fresh[t]
+            d[:, u : 2 * u] = d[:, 2 * u :] * by_r[t]
+            through[t] = d
+            through[t, :, 2 * u :] *= r[t]
+            dh = dh * z[t] + through[t] @ back_across
+            if cleared[t]:
+                dh = np.where(start[t][:, None], np.float32(0), dh)
+        grad["across"] += before.reshape(-1, u).T @ through.reshape(-1, 3 * u)
+        _add_rows(grad["inward"], symbol.ravel(), inward.reshape(-1, 3 * u))
         gradient /= max(int(real.sum()), 1)
-        norm = float(np.sqrt((gradient.astype(np.float64) ** 2).sum()))
+        norm = float(np.sqrt(gradient @ gradient))
         if norm > 1:
             gradient /= norm
         square += gradient * gradient
-        flat -= rate * gradient / np.sqrt(square)
+        gradient /= np.sqrt(square)
+        gradient *= rate
+        flat -= gradient
     return flat

@@ -2,9 +2,9 @@
 
 Counting: words of all training texts, summed per task and then by one shuffle. The most frequent words (a bounded
 list) are known to every task; the counts of all others meet the texts in a join on the word, which
-no frequent word enters. Training: ``TRAIN_SHARE`` of the training texts, picked by hash, so it grows with the
-input; each round every partition runs truncated backpropagation on its own texts and the parameters
-are averaged by tokens. Scoring: whole texts, states carried across windows.
+no frequent word enters. Training: every training text once, dealt to ``ROUNDS`` rounds by hash; in each round
+every partition runs truncated backpropagation on its own texts and the parameters are averaged by tokens.
+Scoring: whole texts, states carried across windows.
 
 A word outside the model's own list is its class, predicted from the state, times its add-one share of the
 training tokens of the class; one slot of each class is for words never seen. So all texts have a probability.
@@ -34,7 +34,7 @@ from .common import arrow_pass, remainder, utf8
 
 KNOWN_WORDS = 100_000  # most words that travel to every task
 FLUSH_WORDS = 400_000
-TRAIN_SHARE, ROUNDS = 3, 3  # one in so many training texts, spread over so many rounds
+ROUNDS = 3  # a training text takes part in one of them
 SUMMING_TASKS = 8
 BUFFER_TOKENS = 3_000_000
 SEED = 5
@@ -143,8 +143,8 @@ class Reader:
 def trained(texts: DataFrame, v: Vocabulary) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds. ``texts``: doc_id and text of training rows."""
     flat = gru.initial(v.symbol_counts, SEED)
-    turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(TRAIN_SHARE * ROUNDS)).cast("int").alias("turn")
-    picked = texts.select("doc_id", "text", turn).where(F.col("turn") < ROUNDS).select("turn", "text")
+    turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(ROUNDS)).cast("int").alias("turn")
+    dealt = texts.select(turn, "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(v)
@@ -152,7 +152,7 @@ def trained(texts: DataFrame, v: Vocabulary) -> np.ndarray:
             symbols = [reader.read(t)[2] for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("turn"), pa.array(symbols, pa.list_(pa.int32()))], names=["turn", "symbols"])
 
-    rows = staged(arrow_pass(picked, encoded, "turn int, symbols array<int>"))
+    rows = staged(arrow_pass(dealt, encoded, "turn int, symbols array<int>"))
     for k in range(ROUNDS):
         flat = _round(rows.where(F.col("turn") == k), flat)
     return flat

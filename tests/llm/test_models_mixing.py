@@ -174,6 +174,18 @@ def test_gru_gradient_is_that_of_the_loss():
     assert agree >= 24
 
 
+def test_training_stream_holds_every_token_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, gru.SYMBOLS, n).astype(np.int32) for n in (0, 1, 700, 5, 90, 0, 64)]
+    want = Counter((0 if i == 0 else int(t[i - 1]), 0 if i == len(t) else int(t[i])) for t in texts for i in range(len(t) + 1))
+    for most in (1, 3, 128):
+        lane = gru.stream(texts, most)
+        real = lane.text.T.ravel() == 0
+        symbol, target, start = (x.T.ravel()[real] for x in (lane.symbol, lane.target, lane.start))
+        assert Counter(zip(symbol.tolist(), target.tolist())) == want
+        assert np.all(start[1:][target[:-1] == 0]) and start[0] and start.sum() <= len(texts) + len(lane.length)
+
+
 def tokens(text):
     return [w.decode() for w in (text or "").encode().lower().split()] + [""]
 
