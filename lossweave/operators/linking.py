@@ -23,13 +23,16 @@ def apply_scenarios(portfolio: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Replaces observed macro columns by each scenario's values.
 
     All scenarios of a state arrive as one lookup row, so the portfolio is read and joined once
-    and every loan keeps its identity in every scenario.
+    and every loan keeps its identity in every scenario. A loan whose state lacks a scenario fails the job.
     """
     values = [c for c in scenarios.columns if c != "ProjectState"]
-    by_state = scenarios.groupBy("ProjectState").agg(F.sort_array(F.collect_list(F.struct(*values))).alias("_s"))
+    names = scenarios.agg(F.count_distinct("scenario")).scalar()
+    by_state = scenarios.groupBy("ProjectState").agg(F.sort_array(F.collect_list(F.struct(*values))).alias("_s")).where(F.size("_s") == names)
     bare = portfolio.drop(*[c for c in values if c in portfolio.columns])
     joined = lookup_join(bare, by_state, ["ProjectState"])
-    return joined.withColumn("_s", F.explode_outer("_s")).select("*", "_s.*").drop("_s")
+    state = F.coalesce(F.col("ProjectState").cast("string"), F.lit("NULL"))
+    found = F.when(F.col("_s").isNotNull(), F.col("_s")).otherwise(F.raise_error(F.concat(F.lit("not every scenario covers state "), state)))
+    return joined.withColumn("_s", F.explode(found)).select("*", "_s.*").drop("_s")
 
 
 def complete_cases(matched: DataFrame, columns: Sequence[str] = MACRO) -> DataFrame:

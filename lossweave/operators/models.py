@@ -21,12 +21,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import GROUP_KEYS, Protocol
+from ..config import GROUP_KEYS, MACRO, Protocol
 from ..functions.shapes import stacked
 from ..session import staged
 from . import bootstrap, loss
 from .design import Design, array_batch, fit_design, matrix, summed
 from .linking import apply_scenarios
+from .panel import complete_scenarios
 
 # Numerical settings of the penalised fits.
 MAX_ITERATIONS = 100
@@ -314,16 +315,18 @@ def labelled(design: Design, df: DataFrame) -> DataFrame:
 
 def boosted_trees(train: DataFrame, numeric: Sequence[str], seed: int, categorical: Sequence[str] = ("loan_type", "size_band", "age_group"),
                   rounds: int = 20, depth: int = 4):
-    """A boosted-tree benchmark with fixed settings; inputs missing from the table are left out."""
-    present = [c for c in numeric if c in train.columns]
+    """A boosted-tree benchmark with fixed settings; a table that lacks an input is refused."""
+    lacking = sorted({*numeric, *categorical} - set(train.columns))
+    if lacking:
+        raise ValueError(f"training rows lack {', '.join(lacking)}")
     stages = [
-        Imputer(inputCols=present, outputCols=[f"_n_{c}" for c in present], strategy="median"),
+        Imputer(inputCols=list(numeric), outputCols=[f"_n_{c}" for c in numeric], strategy="median"),
         StringIndexer(inputCols=list(categorical), outputCols=[f"_c_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=[f"_n_{c}" for c in present] + [f"_c_{c}" for c in categorical], outputCol="features"),
+        VectorAssembler(inputCols=[f"_n_{c}" for c in numeric] + [f"_c_{c}" for c in categorical], outputCol="features"),
         GBTClassifier(labelCol="label", maxDepth=depth, maxIter=rounds, stepSize=0.1, minInstancesPerNode=50, subsamplingRate=0.8,
                       featureSubsetStrategy="all", seed=seed),
     ]
-    rows = staged(train.select(F.col("Y").cast("double").alias("label"), *present, *categorical))
+    rows = staged(train.select(F.col("Y").cast("double").alias("label"), *numeric, *categorical))
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -472,17 +475,27 @@ def drawwise_projection(portfolio: DataFrame, scenarios: DataFrame, design: Desi
     return loss.projection_metrics(totals, ["draw"])
 
 
-def drawwise_example(loans: DataFrame, scenarios: DataFrame, protocol: Protocol) -> DataFrame:
-    """Clustered fit on training rows, normal coefficient draws, projection and percentile intervals."""
+def drawwise_example(train: DataFrame, loans: DataFrame, scenarios: DataFrame, protocol: Protocol) -> DataFrame:
+    """Clustered fit with macro inputs, normal coefficient draws, projection and percentile intervals.
+
+    ``train`` holds the rows to fit on, complete in the macro inputs; severity comes from all training loans.
+    ``status`` is ``ok``, or why the fit failed; the values and bounds of a failed fit are NULL.
+    """
     from .comparison import percentile_interval
 
-    train = loans.where("role = 'train'")
-    design = fit_design(train, ["log_approval", "guarantee_share", "log_jobs"], ["loan_type", "size_band"], protocol.pooling_threshold)
+    design = fit_design(train, ["log_approval", "guarantee_share", "log_jobs", *MACRO], ["loan_type", "size_band"], protocol.pooling_threshold)
     data = LogitData(design.rows(train, [F.col("ProjectState").alias("state"), "Y"]), len(design.columns))
     clustered = fit_clustered(data)
-    betas = np.vstack([clustered.fit.coefficients(), normal_draws(clustered.fit.beta, clustered.covariance, protocol.refit_attempts, protocol.seed)])
-    severity = loss.severity_table(train, protocol)
+    fit = clustered.fit
+    if fit.converged:
+        betas, scenarios = np.vstack([fit.beta, normal_draws(fit.beta, clustered.covariance, protocol.refit_attempts, protocol.seed)]), complete_scenarios(scenarios)
+    else:
+        betas = np.zeros((2, len(design.columns)))
+    severity = loss.severity_table(loans.where("role = 'train'"), protocol)
     rows = staged(drawwise_projection(loans.where("role = 'reference'"), scenarios, design, betas, severity))
     keys = ["scenario", "lgd_variant", "group_name", "group_value", "metric"]
     point = rows.where("draw = 0").drop("draw")
-    return point.join(percentile_interval(rows.where("draw > 0"), keys), keys)
+    out = point.join(percentile_interval(rows.where("draw > 0"), keys), keys).withColumn("status", F.lit("ok" if fit.converged else fit.message))
+    if fit.converged:
+        return out
+    return out.withColumns({c: F.lit(None).cast("double") for c in ("value", "lower", "upper")} | {"effective_draws": F.lit(0).cast("long")})

@@ -42,6 +42,11 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
     return linking.attach_panel(loans(spark, sf), macro(spark, sf))
 
 
+def complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Loans whose macro inputs were all observed: what models with macro inputs are fitted on."""
+    return linking.complete_cases(matched(spark, sf))
+
+
 def score() -> Column:
     """Fixed-coefficient scorecard probability, rounded so that ties are the same on every engine."""
     linear = (
@@ -59,10 +64,10 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stressed(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference portfolio under every scenario with its fixed-coefficient score as ``p``."""
-    rows = linking.apply_scenarios(loans(spark, sf).where("role = 'reference'"), scenarios(spark, sf))
+    """The reference portfolio under every scenario with its fixed-coefficient score as ``p``; an incomplete scenario fails the job."""
+    rows = linking.apply_scenarios(loans(spark, sf).where("role = 'reference'"), panel.complete_scenarios(scenarios(spark, sf)))
     linear = (
         "-1.9D + 0.9D * coalesce(guarantee_share, 0.5D) - 0.12D * coalesce(InitialInterestRate, 4D) + 0.25D * (log_approval - 10) "
-        "+ 0.08D * coalesce(u0, 0D) + 0.1D * coalesce(du, 0D) - 0.004D * coalesce(dh, 0D)"
+        "+ 0.08D * u0 + 0.1D * du - 0.004D * dh"
     )
     return rows.withColumn("p", F.expr(f"1 / (1 + exp(-({linear})))"))

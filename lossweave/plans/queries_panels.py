@@ -41,7 +41,7 @@ def panel_join(spark, sf):
     "c02_scenario_application",
     with_tables("elig", "scenario") + """select s.scenario, e.ProjectState as state, count(*) as n, round(sum(e.GrossApproval), 2) as exposure,
     round(min(s.u0), 6) as u0, round(max(s.peak_du), 6) as peak_du
-    from elig e join scenario s using (ProjectState) where e.role = 'reference' group by 1, 2""",
+    from elig e left join scenario s using (ProjectState) where e.role = 'reference' group by 1, 2""",
 )
 def scenario_application(spark, sf):
     rows = linking.apply_scenarios(loans(spark, sf).where("role = 'reference'"), scenarios(spark, sf))

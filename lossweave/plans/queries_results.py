@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, comparison, linking, loss, metrics, models, ordered
+from ..operators import bootstrap, comparison, linking, loss, metrics, models, ordered, panel
 from ..operators.ordered import bin_index
 from ..session import staged
 from .bindings import TEST
 from .catalog import query
-from .inputs import loans, scenarios, scored, stressed
+from .inputs import complete, loans, scenarios, scored, stressed
 from .oracle_base import with_tables
 from .queries_design import CUTS_SQL, LATER
 from .queries_panels import _DRAW_RATES, DRAW_SQL, draw_means, draw_schedule
@@ -160,8 +160,8 @@ def acceptance_diagnostic(spark, sf):
 
 STRESS_SQL = (
     "st as (select e.*, s.scenario, 1 / (1 + exp(-(-1.9e0 + 0.9e0 * coalesce(e.guarantee_share, 0.5e0) - 0.12e0 * coalesce(e.InitialInterestRate, 4e0) "
-    "+ 0.25e0 * (e.log_approval - 10) + 0.08e0 * coalesce(s.u0, 0) + 0.1e0 * coalesce(s.du, 0) - 0.004e0 * coalesce(s.dh, 0)))) as ps "
-    "from elig e join scenario s using (ProjectState) where e.role = 'reference')"
+    "+ 0.25e0 * (e.log_approval - 10) + 0.08e0 * s.u0 + 0.1e0 * s.du - 0.004e0 * s.dh))) as ps "
+    "from elig e left join scenario s using (ProjectState) where e.role = 'reference')"
 )
 _SUMS = "avg(ps) as pd, count(*) as pd_n, count(guarantee_share) as loss_n, sum(GrossApproval) filter (guarantee_share is not null) as exposure" + "".join(
     f", sum(ps * lgd_{v} * GrossApproval) filter (guarantee_share is not null) as {v}_total, sum(ps * lgd_{v} * GrossApproval * guarantee_share) as {v}_sponsor, "
@@ -207,15 +207,15 @@ def scenario_difference(spark, sf):
 
 @query("h15_drawwise_projection")
 def drawwise_projection(spark, sf):
-    return models.drawwise_example(loans(spark, sf), scenarios(spark, sf), TEST)
+    return models.drawwise_example(complete(spark, sf).where("role = 'train'"), loans(spark, sf), scenarios(spark, sf), TEST)
 
 
 @query("h16_tree_projection")
 def tree_projection(spark, sf):
     rows = loans(spark, sf)
     severity = loss.severity_table(rows.where("role = 'train'"), TEST)
-    model = models.boosted_trees(rows.where("role = 'train'"), models.TREE_FEATURES, TEST.seed)
-    inputs = linking.apply_scenarios(rows.where("role = 'reference'"), scenarios(spark, sf))
+    model = models.boosted_trees(complete(spark, sf).where("role = 'train'"), models.TREE_FEATURES, TEST.seed)
+    inputs = linking.apply_scenarios(rows.where("role = 'reference'"), panel.complete_scenarios(scenarios(spark, sf)))
     scored_trees = models.tree_scores(model, inputs)
     return loss.projection_metrics(loss.projection_totals(scored_trees, severity))
 

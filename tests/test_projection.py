@@ -1,14 +1,15 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lossweave.operators import loss, models
-from lossweave.plans import inputs
+from lossweave.plans import inputs, registered
 from lossweave.plans.bindings import TEST
 from lossweave.plans.queries_models import BETA, CARD
 from lossweave.operators.linking import apply_scenarios
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR, WHOLE_DIR = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_drawwise_projection_equals_one_projection_per_draw(spark):
@@ -35,3 +36,28 @@ def test_grid_selects_the_lowest_loss_among_converged_fits(spark):
     fits = table.collect()
     best = min((f for f in fits if f.converged), key=lambda f: f.validation_log_loss)
     assert [f for f in fits if f.selected] == [best] and model is not None
+
+
+@pytest.mark.parametrize("name", ["h15_drawwise_projection", "h16_tree_projection"])
+def test_fitted_projections_react_to_the_scenario(spark, name):
+    rows = registered.QUERIES[name](spark, WHOLE_DIR).where("group_name = 'overall' and metric = 'pd' and lgd_variant = 'primary'").collect()
+    pd = {r.scenario: r.value for r in rows}
+    assert set(pd) == {"baseline", "adverse"} and abs(pd["adverse"] - pd["baseline"]) > 1e-4
+    assert all(r.asDict().get("status", "ok") == "ok" for r in rows)
+
+
+def test_incomplete_scenarios_are_refused(spark):
+    portfolio, scenarios = inputs.loans(spark, SF_DIR).where("role = 'reference'"), inputs.scenarios(spark, SF_DIR)
+    state = portfolio.first().ProjectState
+    for lacking in (F.col("ProjectState") != state, (F.col("ProjectState") != state) | (F.col("scenario") != "adverse")):
+        with pytest.raises(PySparkException, match="not every scenario covers"):
+            apply_scenarios(portfolio, scenarios.where(lacking)).write.format("noop").mode("overwrite").save()
+    with pytest.raises(PySparkException, match="incomplete scenario"):
+        registered.QUERIES["h13_scenario_projection"](spark, SF_DIR).collect()
+    out = registered.QUERIES["h15_drawwise_projection"](spark, SF_DIR)
+    assert "status" in out.columns
+
+
+def test_trees_refuse_a_table_without_an_input(spark):
+    with pytest.raises(ValueError, match="lack u0"):
+        models.boosted_trees(inputs.loans(spark, SF_DIR), ["log_approval", "u0"], 1)
