@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,16 +29,22 @@ SERIES_DOCUMENT = T.StructType([
 ])
 
 
-def read_snapshot(spark: SparkSession, path: str | list[str], columns: Sequence[str] = SOURCE_COLUMNS) -> DataFrame:
-    """Named columns of wide CSV files as strings, blanks kept as ``''``, with the file of origin."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+def read_snapshot(spark: SparkSession, path: str | list[str], columns: Sequence[str] = SOURCE_COLUMNS, multi_line: bool = False) -> DataFrame:
+    """Named columns of wide CSV files as strings, blanks kept as ``''``, with the file of origin.
+
+    Each path of a list has a header of its own, whose columns may come in any order. Files below one path must
+    share their header, else the job fails: Spark would read them by position. Doubled quotes are one quote.
+    ``multi_line`` allows line breaks inside quotes; such files cannot be split among tasks.
+    """
+    reader = spark.read.options(header=True, inferSchema=False, enforceSchema=False, escape='"', multiLine=multi_line)
     blanks = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]
-    return raw.select(*blanks, F.col("_metadata.file_name").alias("source_file"))
+    found = [reader.csv(p).select(*blanks, F.col("_metadata.file_name").alias("source_file")) for p in ([path] if isinstance(path, str) else path)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def write_text_table(df: DataFrame, path: str, header: bool = True) -> None:
     """CSV that keeps leading and trailing blanks of values."""
-    writer = df.write.option("header", header).option("emptyValue", "")
+    writer = df.write.option("header", header).option("emptyValue", "").option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
