@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lossweave.session import lookup_join, staged
 
 from .common import arrow_pass
-from .packing import CACHE_WORDS, VOCABULARY, load_encoding
+from .packing import CACHE_WORDS, LONGEST_KEPT, VOCABULARY, load_encoding
 
 PIECES = "piece_bpe_32k.model"
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -56,7 +56,9 @@ class Vocabulary:
     def learn(self, word: bytes) -> bytes:
         if len(self.ids) >= CACHE_WORDS:
             self.ids.clear()
-        found = self.ids[word] = array("I", self.bpe.encode_ordinary(" " + word.decode())).tobytes()
+        found = array("I", self.bpe.encode_ordinary(" " + word.decode())).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            self.ids[word] = found
         return found
 
     def tokens(self, words: list[bytes]) -> np.ndarray:

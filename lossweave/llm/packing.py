@@ -33,7 +33,7 @@ OPEN_BINS = 512
 GROUP_TOKENS = 16_000_000
 END = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json; a test holds the ids of both together
-CACHE_WORDS = 400_000
+CACHE_WORDS, LONGEST_KEPT = 400_000, 64  # words remembered, and the longest of them: together they bound the memory
 
 
 def load_encoding(path: str) -> tiktoken.Encoding:
@@ -58,7 +58,8 @@ class WordIds(dict):
         if len(self) >= self.room:
             self.clear()
         ids = None if not word or word[0].isspace() else self.plain(" " + word)
-        self[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
         return ids
 
     def plain(self, text: str) -> bytes:

@@ -38,10 +38,12 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier
 # The shapes of weak parts.
 NAMED_ID = re.compile(r"""(?:user(?:_?name)?|login|client_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.IGNORECASE | re.ASCII)
 ID_NAMES = ("user", "login", "client", "account", "access")
-MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+MAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 MIXED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+")
-HOST_PORT = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+:[0-9]{2,5}(?![0-9])")
+URL_TAIL = re.compile(r"[^\s\"'<>]+")
+PORT = re.compile(r":[0-9]{2,5}(?![0-9])")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+MAIL_CHARS, SCHEME_CHARS, HOST_CHARS = ALNUM | set("._%+-"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-"), ALNUM | set(".-")
 LEAST_ENTROPY = 3.5
 
 
@@ -61,17 +63,61 @@ def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
+def _run_before(text: str, end: int, least: int, chars: frozenset[str]) -> int:
+    """Where the run of ``chars`` that stops at ``end`` begins, not before ``least``."""
+    at = end
+    while at > least and text[at - 1] in chars:
+        at -= 1
+    return at
+
+
+def mails(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses. Found from their domains backwards: a search from the left rereads a long run at each of its characters."""
+    free = 0
+    for m in MAIL_END.finditer(text):
+        start = _run_before(text, m.start(), free, MAIL_CHARS)
+        if start < m.start():
+            yield start, m.end()
+            free = m.end()
+
+
+def urls(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a scheme that starts with a letter."""
+    free, at = 0, text.find("://")
+    while at >= 0:
+        start = _run_before(text, at, free, SCHEME_CHARS)
+        while start < at and not "a" <= text[start] <= "z":
+            start += 1
+        tail = URL_TAIL.match(text, at + 3) if start < at else None
+        if tail:
+            free = tail.end()
+            yield start, free
+        at = text.find("://", max(free, at + 1))
+
+
+def hosts(text: str) -> Iterator[tuple[int, int]]:
+    """Dotted host names with a port: labels joined by single dots, as far back as they reach."""
+    free = 0
+    for m in PORT.finditer(text):
+        run = text[_run_before(text, m.start(), free, HOST_CHARS) : m.start()]
+        name = run[run.rfind("..") + 2 :] if ".." in run else run
+        name = name.removeprefix(".")
+        if "." in name and not name.endswith("."):
+            yield m.start() - len(name), m.end()
+            free = m.end()
+
+
 def weak(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of weak parts that no certain secret, and no weak part before them, overlaps."""
     found = []
     if any(k in text.lower() for k in ID_NAMES):
         found += [(m.start(1), 3, m.end(1)) for m in NAMED_ID.finditer(text)]
     if "@" in text:
-        found += [(m.start(), 3, m.end()) for m in MAIL.finditer(text)]
+        found += [(start, 3, end) for start, end in mails(text)]
     if "://" in text:
-        found += [(m.start(), 5, m.end()) for m in URL.finditer(text)]
+        found += [(start, 5, end) for start, end in urls(text)]
     if ":" in text:
-        found += [(m.start(), 5, m.end()) for m in HOST_PORT.finditer(text)]
+        found += [(start, 5, end) for start, end in hosts(text)]
     for m in MIXED.finditer(text):
         s = m.group()
         if any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s) and entropy(s) >= LEAST_ENTROPY:

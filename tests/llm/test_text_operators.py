@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lossweave.llm import bottomk, components, fertility, licenses, queries, secrets, simhash
@@ -203,6 +205,24 @@ def test_secret_base_spans(spark, rows):
         assert set(base.split(",")) <= set(r.spans.split(",")) and (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(k) for k in ("assign", "access", "hex"))
 
 
+# the shapes of weak parts as plain patterns, which reread long runs
+MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+")
+HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+:[0-9]{2,5}(?![0-9])")
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "-", ".", "9", "80", ":", "://", "@", "_", " ", '"', "é", "a.b", "a@b.c"]), max_size=24).map("".join))
+def test_weak_shapes_equal_the_patterns(text):
+    for found, pattern in ((secrets.mails, MAIL), (secrets.urls, URL), (secrets.hosts, HOST)):
+        assert list(found(text)) == [m.span() for m in pattern.finditer(text)]
+
+
+def test_long_runs_are_searched_in_linear_time():
+    for run in ("aB3" * 300_000, "a." * 400_000, "://" * 300_000, ":80" * 300_000, "a@" * 400_000):
+        assert secrets.weak(run + " user: abc me@x.org http://h.org:80/", []) != []
+
+
 def test_weak_parts_are_reported_only_together(spark, odd, empty):
     strong, mixed = "TOKEN: 'abc123def'", "Zx9Kq2Lm8Rt4Vb7Nc1Wd"
     far = " filler" * 60
