@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from ..session import staged
 from .ordered import exact_quantiles
 
 CONSTANT_SCALE = 1e-12
+DIRECT_PARTITIONS = 16  # square root of the partitions from which arrays are added in two rounds
 RANK_TOLERANCE = 1e-10
 
 
@@ -142,6 +144,30 @@ def summed(partials: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     return rows.select(*keys, array_to_vector(F.col("_a._x")).alias(value))
 
 
+def array_totals(partials: DataFrame, partitions: int) -> dict[int, np.ndarray]:
+    """Sums of arrays by ``k``. ``partials`` holds (part, k, v), where ``v`` is an array as the bytes of its doubles.
+
+    Arrays stay whole on the way: one task adds those of a ``k`` one after the other. Where very many partitions
+    send some, a round over about the square root of their number goes first. The driver gets one array for each ``k``.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist()):
+                values = np.frombuffer(blob)
+                totals[k] = totals[k] + values if k in totals else values
+        if totals:
+            yield array_batch({"part": [0] * len(totals), "k": list(totals), "v": [v.tobytes() for v in totals.values()]})
+
+    schema = "part long, k long, v binary"
+    root = math.isqrt(partitions)
+    if root > DIRECT_PARTITIONS:
+        partials = partials.repartition(root, F.pmod("part", F.lit(root)), "k").mapInArrow(add, schema)
+    summed_up = partials.repartition("k").mapInArrow(add, schema)
+    return {r["k"]: np.frombuffer(r["v"]) for r in summed_up.collect()}
+
+
 def matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
     """A column of equally long arrays as a matrix, without touching single rows."""
     values = batch.column(column)
@@ -189,7 +215,7 @@ def fit_design(
     """Contract, maps and independent columns from training rows only."""
     train = staged(train.select("role", *numeric, *categorical))
     if train.where("not (role <=> 'train')").limit(1).count():
-        raise ValueError("preprocessing may only be fitted on training rows")
+        raise ValueError("a design is learned from rows with the role train and no others")
     numbers = {r["feature"]: r for r in numeric_contract(train, numeric).collect()} if numeric else {}
     levels: dict[str, set[str]] = {c: set() for c in categorical}
     if categorical:
@@ -205,7 +231,7 @@ def fit_design(
     gram = gram_matrix(design.rows(train, [], reduced=False), len(design.names))
     design.keep = independent_columns(gram, [0, *states])
     if not set(states) <= set(design.keep):
-        raise ValueError("a supported state effect was lost")
+        raise ValueError(f"no independent column is left for: {sorted(set(design.names[i] for i in set(states) - set(design.keep)))}")
     return design
 
 

@@ -1,8 +1,8 @@
 """Logistic models as iterative Spark jobs: every pass sums small matrices, never moves rows.
 
 A fit holds its design rows as a written table. Each iteration sends the current coefficients of
-all active fits to the partitions and gets back one array per partition and fit, added up on the
-JVM. Many reweighted fits therefore share each pass over the data.
+all active fits to the partitions and gets back one array per partition and fit, added up whole
+in tasks. Many reweighted fits therefore share each pass over the data.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
@@ -25,7 +26,7 @@ from ..config import GROUP_KEYS, MACRO, Protocol
 from ..functions.shapes import stacked
 from ..session import staged
 from . import bootstrap, loss
-from .design import Design, array_batch, fit_design, matrix, summed
+from .design import Design, array_batch, array_totals, fit_design, matrix, summed
 from .linking import apply_scenarios
 from .panel import complete_scenarios
 
@@ -38,16 +39,17 @@ ACCEPTED_DROP = 1e-8
 CONDITION_LIMIT = 1e14
 FIT_BATCH = 64
 TREE_FEATURES = ("log_approval", "guarantee_share", "log_jobs", "u0", "du", "h0", "dh")
+OUT_OF_ROUNDS = "iteration limit"
 
 
 @dataclass
 class Fit:
-    """One attempt; a failed fit keeps its message and may never score."""
+    """What an attempt came to. Only a converged one hands out its coefficients; ``message`` says why another did not."""
 
     attempt: int
     beta: np.ndarray
     converged: bool = False
-    message: str = "iteration limit"
+    message: str = OUT_OF_ROUNDS
     iterations: int = 0
     objective: float = np.nan
     score_max: float = np.inf
@@ -55,7 +57,7 @@ class Fit:
 
     def coefficients(self) -> np.ndarray:
         if not self.converged:
-            raise ValueError("a failed fit cannot supply predictions")
+            raise ValueError(f"attempt {self.attempt} has no coefficients: {self.message}")
         return self.beta
 
 
@@ -76,13 +78,14 @@ class LogitData:
         self.columns = columns
         codes = F.array(*[F.lit(s) for s in self.levels])
         self.rows = slim.select((F.array_position(codes, F.col("state")) - 1).alias("code"), "Y", "x")
+        self.partitions = slim.rdd.getNumPartitions()
 
     def weights(self, raw: np.ndarray | None) -> np.ndarray:
         """State weights per fit, scaled to add up to the number of rows; ones without a schedule."""
         if raw is None:
             return np.ones((1, len(self.levels)))
         if not (np.isfinite(raw).all() and (raw > 0).all()):
-            raise ValueError("all case weights must be finite and positive")
+            raise ValueError("a state weight is zero, negative or not a number")
         return raw * (self.n.sum() / (raw @ self.n))[:, None]
 
     def _pass(self, kernel, keys: Sequence[int]) -> dict[int, np.ndarray]:
@@ -95,48 +98,60 @@ class LogitData:
                         part = kernel(k, x, y, code)
                         totals[k] = part if k not in totals else totals[k] + part
             if totals:
-                yield array_batch({"k": [int(k) for k in totals], "v": [v.tolist() for v in totals.values()]})
+                own = TaskContext.get().partitionId()
+                yield array_batch({"part": [own] * len(totals), "k": [int(k) for k in totals], "v": [v.tobytes() for v in totals.values()]})
 
-        out = summed(self.rows.mapInArrow(partial, "k long, v array<double>"), "v", ["k"])
-        return {r["k"]: r["v"].toArray() for r in out.collect()}
+        return array_totals(self.rows.mapInArrow(partial, "part long, k long, v binary"), self.partitions)
 
-    def information(self, betas: dict[int, np.ndarray], weights: dict[int, np.ndarray]):
-        """Weighted log-likelihood and expected information per fit."""
-        p = self.columns
+    def _answers(self, asked: dict[int, tuple], weights: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """One pass that serves every fit with what it asked for.
+
+        ``(beta, None)`` asks for the weighted log-likelihood and the upper triangle of the expected information,
+        ``(beta, inverse)`` for the score with the bias-reducing leverage term, ``(beta, False)`` for the plain score.
+        """
+        upper = np.triu_indices(self.columns)
 
         def kernel(k, x, y, code):
-            eta = x @ betas[k]
+            beta, inverse = asked[k]
+            eta = x @ beta
             q, w = _logistic(eta), weights[k][code]
             v = w * q * (1 - q)
-            return np.r_[np.dot(w, y * eta - np.logaddexp(0, eta)), ((x * v[:, None]).T @ x).ravel()]
+            if inverse is None:
+                return np.r_[np.dot(w, y * eta - np.logaddexp(0, eta)), ((x * v[:, None]).T @ x)[upper]]
+            residual = w * (y - q)
+            if inverse is not False:
+                residual = residual + v * ((x @ inverse) * x).sum(axis=1) * (0.5 - q)
+            return x.T @ residual
 
-        return {k: (v[0], v[1:].reshape(p, p)) for k, v in self._pass(kernel, list(betas)).items()}
+        return self._pass(kernel, list(asked))
 
-    def gradient(self, betas: dict[int, np.ndarray], weights: dict[int, np.ndarray], inverses: dict[int, np.ndarray] | None = None):
-        """Score per fit; with ``inverses`` the bias-reducing leverage term is added."""
+    def square(self, triangle: np.ndarray) -> np.ndarray:
+        """The symmetric matrix with this upper triangle."""
+        full = np.zeros((self.columns, self.columns))
+        full[np.triu_indices(self.columns)] = triangle
+        return full + np.triu(full, 1).T
 
-        def kernel(k, x, y, code):
-            q, w = _logistic(x @ betas[k]), weights[k][code]
-            residual = w * (y - q)
-            if inverses is not None:
-                leverage = w * q * (1 - q) * ((x @ inverses[k]) * x).sum(axis=1)
-                residual = residual + leverage * (0.5 - q)
-            return x.T @ residual
+    def information(self, betas: dict[int, np.ndarray], weights: dict[int, np.ndarray]):
+        """Weighted log-likelihood and expected information per fit."""
+        found = self._answers({k: (b, None) for k, b in betas.items()}, weights)
+        return {k: (float(v[0]), self.square(v[1:])) for k, v in found.items()}
 
-        return self._pass(kernel, list(betas))
+    def gradient(self, betas: dict[int, np.ndarray], weights: dict[int, np.ndarray], inverses: dict[int, np.ndarray] | None = None):
+        """Score per fit; with ``inverses`` the bias-reducing leverage term is added."""
+        return self._answers({k: (b, inverses[k] if inverses else False) for k, b in betas.items()}, weights)
 
     def score_and_information(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Unweighted log-likelihood, score and information at one point, in a single pass."""
-        p = self.columns
+        p, upper = self.columns, np.triu_indices(self.columns)
 
         def kernel(_, x, y, code):
             eta = x @ beta
             q = _logistic(eta)
             info = (x * (q * (1 - q))[:, None]).T @ x
-            return np.r_[np.dot(y, eta) - np.logaddexp(0, eta).sum(), x.T @ (y - q), info.ravel()]
+            return np.r_[np.dot(y, eta) - np.logaddexp(0, eta).sum(), x.T @ (y - q), info[upper]]
 
         v = self._pass(kernel, [0])[0]
-        return float(v[0]), v[1:p + 1], v[p + 1:].reshape(p, p)
+        return float(v[0]), v[1:p + 1], self.square(v[p + 1:])
 
     def state_scores(self, beta: np.ndarray) -> np.ndarray:
         """Sum of score contributions per state: states x columns."""
@@ -150,78 +165,93 @@ class LogitData:
         return self._pass(kernel, [0])[0].reshape(size, p)
 
 
+class Climb:
+    """The ascent of one fit as questions and answers, so that fits in different phases share a pass.
+
+    Firth's estimate is the mode of the likelihood times the square root of the information determinant (Jeffreys'
+    prior). ``question`` is what the fit waits for: the height of a trial point, or the slope where it stands.
+    A slope leads to a trial one scoring step up, at most ``MAX_STEP`` in any coordinate; a trial that lies lower
+    comes back at half the distance. A fit is done when slope, last move and last gain are all within ``TOLERANCE``.
+    """
+
+    def __init__(self, attempt: int, beta: np.ndarray, rounds: int):
+        self.fit, self.rounds, self.open = Fit(attempt, beta), rounds, rounds > 0
+        self.height = -np.inf
+        self.step, self.halved = np.zeros_like(beta), 0
+        self.moved = self.gained = np.inf
+        self.inverse: np.ndarray | None = None
+
+    @property
+    def question(self) -> tuple[np.ndarray, np.ndarray | None]:
+        return self.fit.beta + self.step, self.inverse
+
+    def close(self, message: str, converged: bool = False) -> None:
+        self.fit.message, self.fit.converged, self.open = message, converged, False
+
+    def hear_height(self, loglik: float, info: np.ndarray) -> None:
+        sign, logdet = np.linalg.slogdet(info)
+        height = loglik + 0.5 * logdet if sign > 0 else np.nan
+        started = np.isfinite(self.height)
+        if np.isfinite(height) and height >= self.height - ACCEPTED_DROP:
+            if started:
+                self.moved, self.gained = float(np.abs(self.step).max()), abs(height - self.height)
+            self.fit.beta, self.height = self.fit.beta + self.step, height
+            self.step, self.halved = np.zeros_like(self.step), 0
+            self.fit.condition = float(np.linalg.cond(info))
+            if self.fit.condition <= CONDITION_LIMIT:
+                self.inverse = np.linalg.inv(info)
+            else:
+                self.close("near-singular information")
+        elif not started:
+            self.close("singular information at the start")
+        elif self.halved == MAX_HALVINGS:
+            self.close("no higher point along the step")
+        else:
+            self.step, self.halved = self.step / 2, self.halved + 1
+
+    def hear_slope(self, slope: np.ndarray) -> None:
+        fit = self.fit
+        fit.iterations, fit.objective, fit.score_max = fit.iterations + 1, self.height, float(np.abs(slope).max())
+        if max(fit.score_max, self.moved, self.gained) <= TOLERANCE:
+            self.close("converged", True)
+        elif fit.iterations >= self.rounds:
+            self.close(OUT_OF_ROUNDS)
+        else:
+            step = self.inverse @ slope
+            longest = float(np.abs(step).max())
+            self.step, self.inverse = step * (MAX_STEP / longest if longest > MAX_STEP else 1.0), None
+
+
 def fit_penalised(data: LogitData, attempts: Sequence[int] = (0,), raw_weights: np.ndarray | None = None,
                   max_iterations: int = MAX_ITERATIONS) -> list[Fit]:
-    """Jeffreys-penalised weighted logits by Fisher scoring; one Fit per attempt, failures recorded.
+    """Bias-reduced weighted logits, one Fit for each attempt; what fails is recorded and keeps its number.
 
-    The objective is the weighted log-likelihood plus half the log determinant of the information.
-    Case weights enter both; the leverage term is not weighted a second time.
+    State weights count in the likelihood and in the information, hence in the leverages. Up to ``FIT_BATCH``
+    climbs are under way together; all of them get their next answer from one pass over the data.
     """
     scaled = data.weights(raw_weights)
-    fits: list[Fit] = []
-    for start in range(0, len(attempts), FIT_BATCH):
-        chunk = range(start, min(start + FIT_BATCH, len(attempts)))
-        fits += _fit_batch(data, {i: scaled[i] for i in chunk}, {i: attempts[i] for i in chunk}, max_iterations)
-    return fits
-
-
-def _fit_batch(data: LogitData, weights: dict[int, np.ndarray], names: dict[int, int], max_iterations: int) -> list[Fit]:
-    fits = {}
-    for k, w in weights.items():
-        beta = np.zeros(data.columns)
-        rate = (w @ data.events + 0.5) / (w @ data.n + 1)
-        beta[0] = np.log(rate / (1 - rate))
-        fits[k] = Fit(names[k], beta)
-    active, state = set(fits), {}
-
-    def objective(value):
-        loglik, info = value
-        sign, logdet = np.linalg.slogdet(info)
-        total = loglik + 0.5 * logdet
-        return (total, info) if sign > 0 and np.isfinite(total) else None
-
-    def fail(k, message):
-        fits[k].message = message
-        active.discard(k)
-
-    for k, value in data.information({k: fits[k].beta for k in active}, weights).items():
-        state[k] = objective(value)
-        if state[k] is None:
-            fail(k, "information is not positive definite")
-    change = {k: (np.inf, np.inf) for k in fits}
-    for iteration in range(1, max_iterations + 1):
+    waiting = list(range(len(attempts)))[::-1]
+    climbs: dict[int, Climb] = {}
+    while waiting or any(c.open for c in climbs.values()):
+        active = [i for i, c in climbs.items() if c.open]
+        while waiting and len(active) < FIT_BATCH:
+            i = waiting.pop()
+            events = float(scaled[i] @ data.events + 0.5)
+            others = float(scaled[i] @ (data.n - data.events) + 0.5)
+            beta = np.zeros(data.columns)
+            beta[0] = np.log(events / others)
+            climbs[i] = Climb(attempts[i], beta, max_iterations)
+            if climbs[i].open:
+                active.append(i)
         if not active:
-            break
-        inverses = {k: np.linalg.inv(state[k][1]) for k in active}
-        scores = data.gradient({k: fits[k].beta for k in active}, weights, inverses)
-        steps = {}
-        for k in sorted(active):
-            fit = fits[k]
-            fit.iterations, fit.objective = iteration, state[k][0]
-            fit.condition = float(np.linalg.cond(state[k][1]))
-            fit.score_max = float(np.abs(scores[k]).max())
-            if not fit.condition <= CONDITION_LIMIT:
-                fail(k, "information condition exceeds the limit")
-            elif max(fit.score_max, *change[k]) <= TOLERANCE:
-                fit.converged, fit.message = bool(np.isfinite(fit.beta).all()), "all three criteria satisfied"
-                active.discard(k)
+            continue
+        found = data._answers({i: climbs[i].question for i in active}, {i: scaled[i] for i in active})
+        for i in active:
+            if climbs[i].inverse is None:
+                climbs[i].hear_height(float(found[i][0]), data.square(found[i][1:]))
             else:
-                step = inverses[k] @ scores[k]
-                steps[k] = step * min(1.0, MAX_STEP / max(float(np.abs(step).max()), 1e-30))
-        waiting = set(steps)
-        for halving in range(MAX_HALVINGS + 1):
-            if not waiting:
-                break
-            tried = {k: fits[k].beta + steps[k] / 2**halving for k in waiting}
-            for k, value in data.information(tried, weights).items():
-                found = objective(value)
-                if found is not None and found[0] >= state[k][0] - ACCEPTED_DROP:
-                    change[k] = (float(np.abs(tried[k] - fits[k].beta).max()), abs(found[0] - state[k][0]))
-                    fits[k].beta, state[k] = tried[k], found
-                    waiting.discard(k)
-        for k in waiting:
-            fail(k, "line-search exhaustion")
-    return [fits[k] for k in sorted(fits)]
+                climbs[i].hear_slope(found[i])
+    return [climbs[i].fit for i in range(len(attempts))]
 
 
 @dataclass
@@ -403,10 +433,10 @@ def linear_attribution(df: DataFrame, design: Design, beta: Sequence[float]) ->
 
 
 def eigen_root(covariance: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
-    """Square root of a covariance; a materially indefinite matrix is refused."""
+    """A matrix R with R R' the covariance; an eigenvalue below zero beyond rounding is refused."""
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     if values.min() < -tolerance * max(values.max(), 1e-30):
-        raise ValueError("covariance is not positive semidefinite")
+        raise ValueError(f"a covariance has the eigenvalue {values.min():.3g}")
     return vectors * np.sqrt(np.clip(values, 0, None))
 
 
