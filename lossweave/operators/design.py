@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +180,8 @@ def array_batch(values: dict[str, list]) -> pa.RecordBatch:
 
 
 def gram_matrix(design_rows: DataFrame, columns: int) -> np.ndarray:
-    """X'X / n. Each partition adds up its own p x p matrix; only those are shuffled."""
+    """X'X / n. Each partition adds up the upper triangle of its own product; only those are shuffled, as whole arrays."""
+    upper = np.triu_indices(columns)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((columns, columns)), 0
@@ -188,10 +190,16 @@ def gram_matrix(design_rows: DataFrame, columns: int) -> np.ndarray:
                 x = matrix(batch)
                 total += x.T @ x
                 n += len(x)
-        yield array_batch({"s": [np.r_[total.ravel(), float(n)].tolist()]})
-
-    sums = summed(design_rows.select("x").mapInArrow(partial, "s array<double>"), "s").first()[0].toArray()
-    return sums[:-1].reshape(columns, columns) / max(sums[-1], 1)
+        if n:
+            cells = np.append(total[upper], float(n))
+            yield array_batch({"part": [TaskContext.get().partitionId()], "k": [0], "v": [cells.tobytes()]})
+
+    partials = design_rows.select("x").mapInArrow(partial, "part long, k long, v binary")
+    gram = np.zeros((columns, columns))
+    sums = array_totals(partials, partials.rdd.getNumPartitions()).get(0)
+    if sums is not None:
+        gram[upper] = sums[:-1] / sums[-1]
+    return gram + np.triu(gram, 1).T
 
 
 def independent_columns(gram: np.ndarray, priority: Sequence[int], tolerance: float = RANK_TOLERANCE) -> list[int]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import count_where, holds
 from ..functions.shapes import stacked
 
-# Names that carry a unit, the units, and the interpretation labels.
+# Names that carry a unit.
 COUNT_COLUMNS = (
     "n", "events", "non_events", "eligible_n", "macro_excluded_n", "excluded", "remaining", "attempted_draws",
     "effective_draws", "undefined_draws", "draws", "states", "rank", "full_columns", "iterations", "flagged_loan_n", "pd_n", "loss_n",
@@ -23,6 +23,8 @@ FRACTION_COLUMNS = (
 FRACTION_METRICS = ("pd", "loss_rate", "loss_rate_change")
 UNITLESS_METRICS = ("auc", "average_precision", "brier", "calibration_intercept", "calibration_slope")
 OTHER_UNIT = "source-defined; see source column and protocol"
+
+# Labels in this library's own words; published tables may call the same things otherwise.
 ROLE_TERM = "With-term sensitivity; reported-term timing unverified"
 ROLE_PEAK = "Term-free peak-unemployment sensitivity"
 ROLE_PRIMARY = "Term-free primary specification"

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lossweave.operators import bootstrap, models
+from lossweave.operators import bootstrap, design, models
 
 
 def data_of(spark, x, y, state):
@@ -148,3 +148,23 @@ def test_normal_draws_refuse_an_indefinite_covariance():
     np.testing.assert_allclose(root @ root.T, [[2.0, 0.5], [0.5, 1.0]])
     with pytest.raises(ValueError):
         models.eigen_root(np.array([[1.0, 0.0], [0.0, -0.5]]))
+
+
+def test_gram_matrix_is_the_same_in_one_round_and_in_two(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(200, 3))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(9)
+    for direct in (design.DIRECT_PARTITIONS, 1):
+        monkeypatch.setattr(design, "DIRECT_PARTITIONS", direct)
+        np.testing.assert_allclose(design.gram_matrix(rows, 3), x.T @ x / 200, rtol=1e-12)
+    assert (design.gram_matrix(rows.where("false"), 3) == 0).all()
+
+
+def test_a_batch_smaller_than_the_attempts_gives_the_same_fits(spark, sample, monkeypatch):
+    x, y, state = sample
+    data = data_of(spark, x, y, state)
+    raw = np.random.default_rng(4).uniform(0.5, 2, size=(3, 6))
+    together = models.fit_penalised(data, range(3), raw)
+    monkeypatch.setattr(models, "FIT_BATCH", 2)
+    for a, b in zip(together, models.fit_penalised(data, range(3), raw), strict=True):
+        assert a.converged and b.converged and a.attempt == b.attempt and a.iterations == b.iterations
+        np.testing.assert_allclose(a.beta, b.beta, atol=1e-9)
