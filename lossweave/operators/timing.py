@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import count_where, holds, strip, to_number
 from ..functions.shapes import stacked
+from ..session import staged
 from .linking import attach_source_text
 from .ordered import exact_quantiles
 
@@ -20,6 +21,8 @@ UNVERIFIABLE = "Timing unverifiable."
 VERIFIED = "Verified as an approval-time value."
 PERCENTILES = {"min": 0.0, "p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "max": 1.0}
 
+SUMMARISED = ("approval_year", "loan_type", "LoanStatus", "difference_months", "date_status", "term_status", "valid", "match", "after_window")
+
 
 def _status(missing: Column, valid: Column) -> Column:
     return F.when(missing, "missing").when(holds(valid), "valid").otherwise("invalid")
@@ -82,7 +85,8 @@ def timing_counts(rows: DataFrame, verified: bool = False) -> DataFrame:
 
 
 def timing_summary(rows: DataFrame, verified: bool = False) -> DataFrame:
-    """The counts with nine exact percentiles of the difference."""
+    """The counts with nine exact percentiles of the difference. Rows are landed once, both parts read the columns they need."""
+    rows = staged(rows.select(*SUMMARISED))
     scoped = _scopes(rows.where("valid").select("approval_year", "loan_type", "LoanStatus", "difference_months"))
     quantiles = exact_quantiles(scoped, "difference_months", list(PERCENTILES.values()), by=["scope", "group_key"])
     named = [F.get("quantiles", F.lit(i)).alias(f"difference_{n}") for i, n in enumerate(PERCENTILES)]

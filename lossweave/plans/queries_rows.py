@@ -446,6 +446,7 @@ _VERDICT = (
     "e13_timing_summary",
     TIMING_SQL + " union all ".join(
         f"select '{scope}' as scope, {key} as group_key, count(*) as n, {_STATUS_COUNTS}, {_QUANTILES}, "
+        "count(*) filter (match)::double / nullif(count(*) filter (valid), 0) as match_share, "
         "round(avg(difference_months) filter (valid), 6) as difference_mean, round(stddev_samp(difference_months) filter (valid), 6) as difference_sd "
         f"from tv group by {by}"
         for scope, key, by in (
@@ -457,7 +458,7 @@ _VERDICT = (
 def timing_summary(spark, sf):
     out = timing.timing_summary(timing.timing_rows(loans(spark, sf), snapshot(spark, sf)))
     rounded = [c for c, t in out.dtypes if t == "double"]
-    return out.drop("verdict", "match_share").withColumns({c: F.round(c, 6) for c in rounded if c != "match_share"})
+    return out.drop("verdict").withColumns({c: F.round(c, 6) for c in rounded if c != "match_share"})
 
 
 @query(
