@@ -38,6 +38,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 0.5
 OUTER = {"latin": (1.2, 8.0, 0.05, 3.0), "other": (0.3, 6.0, 0.6, 3.0)}
 SPREAD, LEAST_DEVIATION, ENOUGH = 4.0, 0.02, 200
 ACCURACY = 10_000
+ENTROPY_WINDOW = 64  # tokens; the least words of a text make about as many
 
 METRICS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
@@ -90,6 +91,26 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(covered.sum())
 
 
+def window_share(ids: np.ndarray, width: int = ENTROPY_WINDOW) -> float:
+    """Mean entropy of consecutive windows of ``width`` tokens over the whole text, as a share of the most possible.
+
+    The last window ends with the text and may overlap the one before; a shorter text is one window.
+    """
+    n = len(ids)
+    width = min(n, width)
+    if width < 2:
+        return 1.0
+    whole = n // width
+    windows = ids[: whole * width].reshape(whole, width)
+    if n % width:
+        windows = np.vstack((windows, ids[-width:]))
+    windows = np.sort(windows, axis=1)
+    new = np.ones(windows.shape, bool)
+    new[:, 1:] = windows[:, 1:] != windows[:, :-1]
+    runs = np.diff(np.append(np.flatnonzero(new), windows.size))
+    return float(1 - (runs * np.log2(runs)).sum() / (windows.size * np.log2(width)))
+
+
 def measure(text: str, vocabulary: Vocabulary) -> tuple:
     data = text.encode()
     words = data.split()
@@ -102,7 +123,7 @@ def measure(text: str, vocabulary: Vocabulary) -> tuple:
         counts = np.unique(ids, return_counts=True)[1]
         p = counts / len(ids)
         entropy = float(-(p * np.log2(p)).sum())
-        share = entropy / np.log2(len(ids)) if len(ids) > 1 else 1.0
+        share = window_share(ids)
     size = len(data) - sum(map(text.count, SPACES))
     # code points below U+0250, by their lead bytes; the continuation bytes of the text are left out
     lead = np.frombuffer(data, np.uint8)

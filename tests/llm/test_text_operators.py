@@ -137,6 +137,36 @@ def test_fertility_rejects_what_leaves_its_band(spark, docs, odd, empty):
     assert fertility.judged(empty).count() == 0 and fertility.keep_good(odd).columns == odd.columns
 
 
+def test_long_clean_texts_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en'").limit(1400)
+    vocabulary = fertility.Vocabulary(fertility.public_tokenizers.path(fertility.VOCABULARY), fertility.public_tokenizers.path(fertility.PIECES))
+    clean = [r for r in fertility.judged(docs).where("kept").select("doc_id", "n_tokens").collect()]
+    picked, tokens = set(), 0
+    for r in sorted(clean):
+        if tokens < 1_000_000:
+            picked.add(r.doc_id)
+            tokens += r.n_tokens
+    assert tokens >= 1_000_000
+    text = "\n".join(r.text for r in docs.collect() if r.doc_id in picked)
+    found = fertility.measure(text, vocabulary)
+    assert found[5] >= 990_000
+    long = spark.createDataFrame([(-1, text, "en")], "doc_id long, text string, lang string")
+    got = fertility.judged(docs.select("doc_id", "text", "lang").union(long)).where("doc_id = -1").first()
+    assert got.kept and got.rejected_by is None
+
+
+def test_window_share_covers_the_whole_text():
+    ids = np.arange(1000, dtype=np.uint32)
+    assert fertility.window_share(ids) == pytest.approx(1.0) and fertility.window_share(ids[:1]) == 1.0
+    flat = np.concatenate((ids[:640], np.zeros(40, np.uint32)))  # only the overlapping last window sees the tail
+
+    def entropy(w):
+        return -sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w.tolist()).values()) / math.log2(len(w))
+
+    want = [entropy(flat[i : i + 64]) for i in range(0, 640, 64)] + [entropy(flat[-64:])]
+    assert fertility.window_share(flat) == pytest.approx(sum(want) / len(want))
+
+
 def test_characters_without_a_piece_are_spelled():
     v = fertility.Vocabulary(fertility.public_tokenizers.path(fertility.VOCABULARY), fertility.public_tokenizers.path(fertility.PIECES))
     for text in ("plain", "Straße ñandú", "𝒳 漢字 ꙮ 🂡 \x01 x", "가나다 ಠ_ಠ"):
