@@ -189,7 +189,9 @@ def score(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 512, wind
     p, total = unpacked(flat), np.zeros(len(texts))
     if not texts:
         return total
-    lane = lanes(texts, most_lanes)
+    # no more lanes than the longest text leaves room for: the tables stay within a few times the tokens
+    sizes = [len(t) + 1 for t in texts]
+    lane = lanes(texts, min(most_lanes, -(-sum(sizes) // max(sizes))))
     h = np.zeros((len(lane.length), UNITS), np.float32)
     for lo in range(0, len(lane.symbol), window):
         busy = int(np.searchsorted(-lane.length, -lo, "left"))

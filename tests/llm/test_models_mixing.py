@@ -153,6 +153,23 @@ def test_gru_score_equals_a_plain_loop():
         assert gru.score(flat, texts, most, window) == pytest.approx([plain(t) for t in texts], rel=1e-4, abs=1e-4)
 
 
+def test_gru_tables_grow_with_the_tokens_not_with_the_longest_text(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, gru.SYMBOLS, n).astype(np.int32) for n in (5000, *[3] * 511)]
+    cells, dealt = [], gru.lanes
+
+    def counted(*args):
+        lane = dealt(*args)
+        cells.append(lane.symbol.size)
+        return lane
+
+    monkeypatch.setattr(gru, "lanes", counted)
+    flat = gru.initial(np.ones(gru.SYMBOLS), 1)
+    got = gru.score(flat, texts)
+    assert cells[0] <= 4 * sum(len(t) + 1 for t in texts)
+    assert got == pytest.approx(np.concatenate([gru.score(flat, [t]) for t in texts]), rel=1e-4, abs=1e-4)
+
+
 def test_gru_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(2)
     text = [rng.integers(1, gru.SYMBOLS, 12).astype(np.int32)]
