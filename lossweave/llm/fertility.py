@@ -34,9 +34,10 @@ LEAST_WORDS, MOST_REPEATED = 50, 0.5
 # Parameters: outer bands by script: least and most code points per token, most byte-fallback share,
 # least bits of token entropy. Inside them each language has a band of its own, taken over all documents
 # that pass the base rules: median plus or minus SPREAD robust deviations, where a deviation counts as at
-# least LEAST_DEVIATION of the median. Languages with fewer than ENOUGH such documents have the outer band only.
+# least LEAST_DEVIATION of the median. At every size, median and deviation are shrunk towards the mean of the
+# languages of the script, which counts as PRIOR documents and adds the distance between languages to the deviation.
 OUTER = {"latin": (1.2, 8.0, 0.05, 3.0), "other": (0.3, 6.0, 0.6, 3.0)}
-SPREAD, LEAST_DEVIATION, ENOUGH = 4.0, 0.02, 200
+SPREAD, LEAST_DEVIATION, PRIOR = 4.0, 0.02, 10
 ACCURACY = 10_000
 ENTROPY_WINDOW = 64  # tokens; the least words of a text make about as many
 
@@ -151,19 +152,34 @@ def measured(docs: DataFrame, bpe: str | None = None, pieces: str | None = None)
     return arrow_pass(docs.select("doc_id", "lang", "text"), rows, ", ".join([*kinds, METRICS]))
 
 
+def language_bands(good: DataFrame, spread: float) -> DataFrame:
+    """_band with _few, _many and _flat: the least and most code points per token and the least entropy share."""
+    both = {"chars_per_token": "c", "entropy_share": "e"}
+    quarters = [F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(x) for c, x in both.items()]
+    own = good.groupBy("_band").agg(F.count("*").alias("_n"), (F.avg(F.col("latin").cast("int")) >= 0.5).alias("_latin"), *quarters)
+    own = own.withColumn("w", F.col("_n") / (F.col("_n") + PRIOR))
+    for x in both.values():
+        own = own.withColumn(f"m{x}", F.col(x)[1]).withColumn(f"d{x}", F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, LEAST_DEVIATION * F.col(x)[1]))
+    own = staged(own)
+    mean = lambda v: F.sum(F.col("w") * v) / F.sum("w")
+    parts = [(mean(F.col(f"m{x}")).alias(f"M{x}_"), mean(F.col(f"d{x}")).alias(f"D{x}_"), mean(F.col(f"m{x}") ** 2).alias(f"S{x}_")) for x in both.values()]
+    script = own.groupBy("_latin").agg(*[p for some in parts for p in some])
+
+    def limit(x: str, sign: int):
+        w, rest = F.col("w"), 1 - F.col("w")
+        apart = F.greatest(F.col(f"S{x}_") - F.col(f"M{x}_") ** 2, F.lit(0.0))
+        deviation = F.sqrt((w * F.col(f"d{x}") + rest * F.col(f"D{x}_")) ** 2 + rest**2 * apart)
+        return w * F.col(f"m{x}") + rest * F.col(f"M{x}_") + sign * spread * deviation
+
+    return own.join(script, "_latin").select("_band", limit("c", -1).alias("_few"), limit("c", 1).alias("_many"), limit("e", -1).alias("_flat"))
+
+
 def judged(docs: DataFrame, spread: float = SPREAD, **paths: str) -> DataFrame:
     """The measures with base_failed, the first limit a text breaks (``rejected_by``) and kept."""
     script = F.when(F.col("latin"), "latin").otherwise("other")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     m = staged(measured(docs, **paths).withColumn("base_failed", failed).withColumn("_band", F.coalesce("lang", script)))
-    centre = {c: F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(c) for c in ("chars_per_token", "entropy_share")}
-    taken = m.where("not base_failed").groupBy("_band").agg(F.count("*").alias("_n"), *centre.values()).where(F.col("_n") >= ENOUGH)
-
-    def limit(c: str, sign: int):
-        middle = F.col(c)[1]
-        return middle + sign * spread * F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, LEAST_DEVIATION * middle)
-
-    bands = taken.select("_band", limit("chars_per_token", -1).alias("_few"), limit("chars_per_token", 1).alias("_many"), limit("entropy_share", -1).alias("_flat"))
+    bands = language_bands(m.where("not base_failed"), spread)
     outer = [F.when(F.col("latin"), x).otherwise(y) for x, y in zip(OUTER["latin"], OUTER["other"])]
     rejected = (
         F.when(F.col("chars_per_token") < F.greatest("_few", outer[0]), "few_chars_per_token")

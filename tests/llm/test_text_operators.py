@@ -167,6 +167,20 @@ def test_window_share_covers_the_whole_text():
     assert fertility.window_share(flat) == pytest.approx(sum(want) / len(want))
 
 
+def test_small_languages_have_bands(spark, docs):
+    rng = np.random.default_rng(1)
+    flat = []
+    for k, lang in enumerate(["de", "fr", "es", "zz"]):  # the last is a language of one document
+        words = sorted({w for r in docs.where(f"lang = '{lang if lang != 'zz' else 'de'}'").collect() for w in r.text.split() if w.isalpha()})[:18]
+        flat.append((-1 - k, " ".join(rng.choice(words, 200)), lang))
+    frame = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(flat, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in fertility.judged(frame).where("not base_failed").collect()}
+    assert docs.groupBy("lang").count().agg(F.max("count")).first()[0] < 200
+    assert {got[d].rejected_by for d in (-1, -2, -3, -4)} <= {"low_entropy", "few_chars_per_token", "many_chars_per_token"}
+    clean = [r for d, r in got.items() if d >= 0]
+    assert sum(r.kept for r in clean) > 0.9 * len(clean)
+
+
 def test_characters_without_a_piece_are_spelled():
     v = fertility.Vocabulary(fertility.public_tokenizers.path(fertility.VOCABULARY), fertility.public_tokenizers.path(fertility.PIECES))
     for text in ("plain", "Straße ñandú", "𝒳 漢字 ꙮ 🂡 \x01 x", "가나다 ಠ_ಠ"):
