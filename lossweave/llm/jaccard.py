@@ -185,8 +185,10 @@ class Links:
         self.edges = self.tested = self.roots = None
 
     def add(self, edges: DataFrame) -> None:
-        self.edges = staged(edges if self.edges is None else self.edges.unionByName(edges))
-        self.roots = staged(connected(self.edges))
+        new = staged(edges)
+        if self.roots is None or not new.isEmpty():
+            self.edges = new if self.edges is None else self.edges.unionByName(new)
+            self.roots = connected(self.edges)
 
     def test(self, pairs: DataFrame) -> None:
         """``pairs`` may repeat pairs that were tested before; those are left out."""
@@ -194,7 +196,7 @@ class Links:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = staged(pairs)
-        self.tested = pairs if self.tested is None else staged(self.tested.unionByName(pairs))
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         self.add(verified(pairs, self.sets, self.rule))
 
     def mixed_groups(self, live: DataFrame) -> DataFrame:
