@@ -7,8 +7,8 @@ ones that one deletion makes equal. The signature of a set is its subset in a ha
 in common are candidates. Cost decides how a signature is used: one shared by few sets, as it is; one shared by so many that their pairs
 cost more than entries for the other half, together with that half and its one-deletion neighbours. Every link is verified on whole sets.
 
-Groups of sets under a signature are never expanded into pairs. Every set meets one leading set; a group that is one component
-is done, for nothing in it can be linked anew. Small groups of several components are compared. What is still large is recentred: with
+Small groups of sets under a signature are compared, large ones never expanded into pairs. Their sets meet a leading set; a group that is
+then one component is done, for nothing in it can be linked anew. What is still large is refined, and then recentred: with
 R the tokens of more than half the group, two sets differ exactly where their differences from R do. Sets
 close to R are linked to the closest one without a test; all other links need a common token in the differences. Such tokens
 make new groups, of at most half the size. So every link is found or already implied, however large a group of near copies is.
@@ -24,8 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
-from itertools import accumulate
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,7 @@ from .common import arrow_pass, utf8
 from .components import connected
 
 SEED = 42
+KEPT_WORDS, LONGEST_KEPT = 400_000, 64
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: a 64-bit mixer
 
 
@@ -48,17 +48,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; short words are remembered, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+HASHES = WordHashes()
+
+
 def ngrams(text: bytes, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of a text."""
-    words, digest = text.lower().split(), xxhash.xxh64_intdigest
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[:-width])]
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64))
+    """Sorted hashes of the distinct n-grams of a text: a chain over the hashes of its words."""
+    words = text.lower().split()
+    own = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    if not len(own):
+        return own
+    wide = min(width, len(own))
+    chain = np.full(len(own) - wide + 1, MIX_A ^ np.uint64(wide))
+    for k in range(wide):
+        chain = mixed(chain + own[k : k + len(chain)])
+    chain.sort()
+    return chain[np.concatenate(([True], chain[1:] != chain[:-1]))]
 
 
 @dataclass(frozen=True)
@@ -83,6 +99,7 @@ class Rule:
         """Up to this size pairs are cheaper: n(n - 1) / 2 against n entries of a half, itself and its neighbours."""
         return 2 * (2 + self.far // (2 * self.near))
 
+    @lru_cache(4096)  # noqa: B019
     def bands(self, size: int) -> list[tuple[int, int]]:
         """(band, pairs of segments) in which a set of this size needs signatures: its own and the one below, if partners can lie there."""
         found, low, band = [], 1, 0
@@ -259,21 +276,18 @@ def recentred(large: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame,
 
 def node_links(nodes: DataFrame, docs: DataFrame, rule: Rule, few: int) -> DataFrame | None:
     """(node, root) of all linked nodes. ``nodes``: node, content, digest and keys, each set once."""
-    live = sized(nodes.select("node", F.explode("keys").alias("key")))
+    live = sized(nodes.select("node", F.explode("keys").alias("key"))).withColumn("root", F.col("node"))
     if live.isEmpty():
         return None
     wanted = live.select("node").distinct()
     sets = staged(token_sets(docs, nodes.select("node", "content", "digest").join(wanted, "node", "left_semi"), rule))
     links, turn = Links(sets, rule), 0
     while not live.isEmpty():
-        lead = live.where("node <> leader")
-        links.test(lead.groupBy("node").agg(F.min("leader").alias("leader")).select(*pair("node", "leader")))
-        live = links.mixed_groups(live)
-        small, large = live.where(F.col("size") <= few), live.where(F.col("size") > few)
+        small, large = live.where(F.col("size") <= few), live.where((F.col("size") > few) & (F.col("node") != F.col("leader")))
         left, right = small.select("key", F.col("node").alias("x"), "root"), small.select("key", F.col("node").alias("y"), F.col("root").alias("other"))
         every = left.join(right, "key").where("x < y and root <> other").select(*pair("x", "y"))
-        links.test(every.unionByName(large.where("node <> leader").select(*pair("node", "leader"))))
-        large = links.mixed_groups(large)
+        links.test(every.unionByName(large.select(*pair("node", "leader"))))
+        large = links.mixed_groups(live.where(F.col("size") > few))
         if large.isEmpty():
             break
         if turn:

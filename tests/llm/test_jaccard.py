@@ -66,7 +66,7 @@ def test_query_equals_brute_force(spark, rows):
     assert sorted(map(tuple, queries.op13_jaccard_join(spark, SF).collect()), key=repr) == brute(rows)
 
 
-@pytest.mark.parametrize("few, rule", [(None, Rule()), (2, Rule()), (2, Rule(5, 80, 100))])
+@pytest.mark.parametrize("few, rule", [(None, Rule()), (4, Rule(5, 80, 100))])
 def test_families_around_the_threshold(spark, few, rule):
     rng = random.Random(3)
     texts = []
