@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lossweave.session import staged
 
+FEW_EDGES = 50_000  # counted edges up to this number are contracted in one task, without shuffles
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); all nodes of a component share one root.
@@ -17,15 +19,17 @@ def connected(edges: DataFrame) -> DataFrame:
     neighbours only meets equi-joins, which adaptive execution splits.
     """
     live = staged(edges.select("a", "b").where("a <> b").distinct())
+    whole = (lambda df: df.coalesce(1)) if live.count() <= FEW_EDGES else (lambda df: df)
+    live = whole(live)
     kind = live.schema["a"].dataType.simpleString()
     levels: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hook")).withColumn("hook", F.least("node", "hook")))
         levels.append(hook)
-        left, right = hook.toDF("a", "x"), hook.toDF("b", "y")
+        left, right = whole(hook).toDF("a", "x"), whole(hook).toDF("b", "y")
         moved = live.join(left, "a").join(right, "b").where("x <> y")
-        live = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        live = whole(staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     if not levels:
         return live.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     roots = levels[-1].withColumnRenamed("hook", "root")
