@@ -67,9 +67,9 @@ def combine(point: DataFrame, draws: DataFrame, keys: Sequence[str], attempted:
     """Point values with intervals; repeated keys or keys that some draw lacks fail the job."""
     keys = list(keys)
     if duplicate_keys(point, keys).limit(1).collect() or duplicate_keys(draws, [*keys, draw]).limit(1).collect():
-        raise ValueError("duplicate statistic identity")
+        raise ValueError(f"{keys} do not tell all point values, or all values of a draw, apart")
     if key_set_difference(point, draws, keys).limit(1).collect():
-        raise ValueError("draw and point statistics have different identities")
+        raise ValueError("some keys have only a point value or only draws")
     successful = draws.select(draw).distinct().count()
     uneven = draws.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") != successful)
     if uneven.limit(1).collect():

@@ -23,11 +23,13 @@ def apply_scenarios(portfolio: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Replaces observed macro columns by each scenario's values.
 
     All scenarios of a state arrive as one lookup row, so the portfolio is read and joined once
-    and every loan keeps its identity in every scenario. A loan whose state lacks a scenario fails the job.
+    and every loan keeps its identity in every scenario. A loan whose state lacks a scenario, or
+    has one twice, fails the job.
     """
     values = [c for c in scenarios.columns if c != "ProjectState"]
-    names = scenarios.agg(F.count_distinct("scenario")).scalar()
-    by_state = scenarios.groupBy("ProjectState").agg(F.sort_array(F.collect_list(F.struct(*values))).alias("_s")).where(F.size("_s") == names)
+    names = sorted(r.scenario for r in scenarios.select("scenario").distinct().collect())
+    each = F.array_sort(F.transform("_s", lambda s: s["scenario"])) == F.array(*[F.lit(n) for n in names])
+    by_state = scenarios.groupBy("ProjectState").agg(F.sort_array(F.collect_list(F.struct(*values))).alias("_s")).where(each)
     bare = portfolio.drop(*[c for c in values if c in portfolio.columns])
     joined = lookup_join(bare, by_state, ["ProjectState"])
     state = F.coalesce(F.col("ProjectState").cast("string"), F.lit("NULL"))

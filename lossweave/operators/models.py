@@ -223,11 +223,12 @@ class Climb:
 
 
 def fit_penalised(data: LogitData, attempts: Sequence[int] = (0,), raw_weights: np.ndarray | None = None,
-                  max_iterations: int = MAX_ITERATIONS) -> list[Fit]:
+                  max_iterations: int = MAX_ITERATIONS, start: np.ndarray | None = None) -> list[Fit]:
     """Bias-reduced weighted logits, one Fit for each attempt; what fails is recorded and keeps its number.
 
     State weights count in the likelihood and in the information, hence in the leverages. Up to ``FIT_BATCH``
-    climbs are under way together; all of them get their next answer from one pass over the data.
+    climbs are under way together; all of them get their next answer from one pass over the data. They start at ``start``,
+    or else at the intercept of the weighted event rate.
     """
     scaled = data.weights(raw_weights)
     waiting = list(range(len(attempts)))[::-1]
@@ -238,8 +239,9 @@ def fit_penalised(data: LogitData, attempts: Sequence[int] = (0,), raw_weights:
             i = waiting.pop()
             events = float(scaled[i] @ data.events + 0.5)
             others = float(scaled[i] @ (data.n - data.events) + 0.5)
-            beta = np.zeros(data.columns)
-            beta[0] = np.log(events / others)
+            beta = np.zeros(data.columns) if start is None else np.array(start, dtype=float)
+            if start is None:
+                beta[0] = np.log(events / others)
             climbs[i] = Climb(attempts[i], beta, max_iterations)
             if climbs[i].open:
                 active.append(i)
@@ -446,8 +448,8 @@ def normal_draws(beta: np.ndarray, covariance: np.ndarray, draws: int, seed: int
 
 
 def drawwise_projection(portfolio: DataFrame, scenarios: DataFrame, design: Design, betas: np.ndarray, severity: DataFrame,
-                        groups: Sequence[str] = GROUP_KEYS) -> DataFrame:
-    """The scenario projection for every coefficient draw: ``draw`` joins the long metrics.
+                        groups: Sequence[str] = GROUP_KEYS, draws: Sequence[int] | None = None) -> DataFrame:
+    """The scenario projection for every coefficient draw: ``draw`` joins the long metrics, numbered from 0 or as ``draws`` says.
 
     Rows are never multiplied by draws. A partition turns its rows into one vector of length
     ``draws`` per sum and group, a product of a group indicator with the score matrix, and only
@@ -495,11 +497,12 @@ def drawwise_projection(portfolio: DataFrame, scenarios: DataFrame, design: Desi
 
     schema = ", ".join(f"{k} string" for k in keys) + ", v array<double>"
     grouped = summed(rows.mapInArrow(partial, schema), "v", keys).withColumn("v", vector_to_array("v"))
-    draws = len(betas)
-    per_draw = grouped.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    tail = len(names) * draws
+    size = len(betas)
+    numbers = F.array(*[F.lit(int(d)) for d in (range(size) if draws is None else draws)])
+    per_draw = grouped.select("*", F.posexplode(numbers).alias("_at", "draw"))
+    tail = len(names) * size
     totals = per_draw.select(
-        "draw", "scenario", "group_name", "group_value", *[F.get("v", F.col("draw") + i * draws).alias(n) for i, n in enumerate(names)],
+        "draw", "scenario", "group_name", "group_value", *[F.get("v", F.col("_at") + i * size).alias(n) for i, n in enumerate(names)],
         F.get("v", F.lit(tail)).cast("long").alias("pd_n"), F.get("v", F.lit(tail + 1)).cast("long").alias("loss_n"), F.get("v", F.lit(tail + 2)).alias("exposure"),
     )
     return loss.projection_metrics(totals, ["draw"])

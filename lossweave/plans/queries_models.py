@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, models
+from ..operators import attempts, bootstrap, models
 from ..operators.design import Design, fit_design
+from ..session import scratch_path
 from .bindings import TEST
 from .catalog import query
 from .inputs import loans, scored
@@ -111,7 +112,11 @@ def multiplier_draws(spark, sf):
 def refit_bootstrap(spark, sf):
     design, data = _train_data(spark, sf)
     schedule = bootstrap.multiplier_draws(data.levels, TEST.refit_attempts, TEST.seed)
-    return models.fit_rows(spark, "layer1", design.columns, models.refit_attempts(data, schedule))
+    store = attempts.AttemptStore(spark, scratch_path(spark, "attempts"))
+    terms = attempts.contract(design, {"tolerance": models.TOLERANCE, "rounds": models.MAX_ITERATIONS}, data.rows)
+    point = models.fit_penalised(data)[0]
+    attempts.refit_stored(store, "layer1", data, design.columns, schedule, terms, point.beta if point.converged else None)
+    return store.rows("layer1").drop("contract", "weights")
 
 
 def _association_sql() -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, comparison, linking, loss, metrics, models, ordered, panel
+from ..operators import attempts, bootstrap, comparison, linking, loss, metrics, models, ordered, panel
+from ..operators.design import Design
 from ..operators.ordered import bin_index
 from ..session import staged
 from .bindings import TEST
@@ -210,6 +212,48 @@ def drawwise_projection(spark, sf):
     return models.drawwise_example(complete(spark, sf).where("role = 'train'"), loans(spark, sf), scenarios(spark, sf), TEST)
 
 
+# fixed refits of the stress scorecard, so that SQL can repeat them: (attempt, factor of all coefficients); attempt 2 failed
+_MACRO_CARD = ["guarantee_share", "InitialInterestRate", "log_approval", "u0", "du", "dh"]
+STRESS_CARD = Design(
+    _MACRO_CARD, [], {"guarantee_share": 0.5, "InitialInterestRate": 4.0, "log_approval": 10.0, "u0": 0.0, "du": 0.0, "dh": 0.0},
+    {"guarantee_share": 0.0, "InitialInterestRate": 0.0, "log_approval": 10.0, "u0": 0.0, "du": 0.0, "dh": 0.0}, dict.fromkeys(_MACRO_CARD, 1.0), {},
+)
+STRESS_CARD.names = list(STRESS_CARD.parts())
+STRESS_CARD.keep = [i for i, n in enumerate(STRESS_CARD.names) if not n.endswith("__missing")]
+STRESS_BETA = np.array([-1.9, 0.9, -0.12, 0.25, 0.08, 0.1, -0.004])
+REFITS = ((0, 0.9), (1, 1.05), (2, None), (3, 1.2), (5, 0.97), (8, 1.01))
+_REFIT_KEYS = "scenario, lgd_variant, group_name, group_value, metric"
+_DRAWN = "(values (-1, 1.0::double), " + ", ".join(f"({k}, {f}::double)" for k, f in REFITS if f) + ") as drawn(draw, factor)"
+_REFIT_SQL = (
+    PROJECTION_SQL.replace("select e.*, s.scenario, 1 / (1 + exp(-(-1.9e0", "select e.*, s.scenario, drawn.draw, 1 / (1 + exp(-drawn.factor * (-1.9e0")
+    .replace("from elig e left join scenario s using (ProjectState) where", f"from elig e left join scenario s using (ProjectState) cross join {_DRAWN} where")
+    .replace(grouped_sql("sl", _SUMS, keys="scenario"), grouped_sql("sl", _SUMS, keys="draw, scenario"))
+    .replace("select scenario, group_name", "select draw, scenario, group_name")
+    + f", bound as (select {_REFIT_KEYS}, quantile_cont(value, 0.025) as lower, quantile_cont(value, 0.975) as upper from proj where draw >= 0 group by all)"
+    + f" select p.* exclude (draw), b.lower, b.upper from proj p join bound b using ({_REFIT_KEYS}) where draw = -1"
+)
+
+
+def _round_bounds(df):
+    small = F.col("metric").isin("pd", "loss_rate")
+    return _round_metric(df).withColumns({c: F.when(small, F.round(c, 6)).otherwise(F.round(c, 2)) for c in ("lower", "upper")})
+
+
+@query(
+    "h15b_refit_projection",
+    with_tables("elig", "scenario") + f""", {_REFIT_SQL.rsplit(" select p.*", 1)[0]}, whole as (select p.*{_REFIT_SQL.rsplit(" select p.*", 1)[1]})
+    select * replace ({_ROUND_SQL} as value, {_ROUND_SQL.replace('value', 'lower')} as lower, {_ROUND_SQL.replace('value', 'upper')} as upper, round(exposure, 2) as exposure),
+        5::bigint as effective_draws, 0::bigint as undefined_draws, 6 as attempted_draws, 5 as successful_draws from whole""",
+)
+def refit_projection(spark, sf):
+    rows = loans(spark, sf)
+    stored = [(k, f is not None, None if f is None else [float(b) for b in f * STRESS_BETA], STRESS_CARD.columns) for k, f in REFITS]
+    refits = spark.createDataFrame(stored, "attempt int, successful boolean, beta array<double>, columns array<string>")
+    severity = loss.severity_table(rows.where("role = 'train'"), TEST)
+    out = attempts.refit_projection(rows.where("role = 'reference'"), panel.complete_scenarios(scenarios(spark, sf)), STRESS_CARD, STRESS_BETA, refits, severity)
+    return _round_bounds(out)
+
+
 @query("h16_tree_projection")
 def tree_projection(spark, sf):
     rows = loans(spark, sf)
