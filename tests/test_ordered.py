@@ -132,7 +132,7 @@ def test_design_drops_constants_keeps_states_and_zeroes_unseen_levels(spark):
     later = spark.createDataFrame([(None, "ZZ", None, 2.0, None)], "kind string, ProjectState string, x double, constant double, copy double")
     row = dict(zip(fitted.columns, fitted.rows(later, []).first().x))
     assert row["ProjectState_NY"] == row["ProjectState_TX"] == 0.0 and row["intercept"] == 1.0
-    with pytest.raises(ValueError, match="training rows"):
+    with pytest.raises(ValueError, match="role train"):
         design.fit_design(train.withColumn("role", F.lit("oot")), ["x"], [])
 
 
