@@ -8,7 +8,7 @@ batch in vectorised kernels, summed across buckets by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,18 @@ def multiplier_draws(levels: list[str], draws: int, seed: int) -> np.ndarray:
     return raw
 
 
+def counter_multipliers(states: DataFrame, draws: int, seed: int, state: str = "state") -> DataFrame:
+    """``(draw, state, weight)`` with exponential weights that are a function of seed, draw and state alone.
+
+    52 bits of an MD5 digest make a uniform number inside (0, 1), its logarithm an exponential one. So no matrix is built on
+    the driver, draws can be made in any order or part, and SQL can repeat them.
+    """
+    name = F.concat_ws("/", F.lit(str(seed)), F.col("draw").cast("string"), F.col("state"))
+    bits = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double")
+    long = states.select(F.col(state).alias("state")).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "state")
+    return long.select("draw", "state", (-F.log((bits + 0.5) / F.lit(2.0**52))).alias("weight"))
+
+
 def draw_table(spark: SparkSession, levels: list[str], weights: np.ndarray) -> DataFrame:
     """``(draw, state, weight)``: draws x states, both fixed by the protocol."""
     rows = [(d, s, float(w)) for d, line in enumerate(weights) for s, w in zip(levels, line)]
@@ -158,7 +170,7 @@ def calibration_lines(
             safe = np.where(good, det, 1.0)
             step = np.stack([(h11 * g0 - h01 * g1) / safe, (h00 * g1 - h01 * g0) / safe], axis=1)
             size = np.abs(step).max(axis=1)
-            line[cohort][d[good]] += (step * np.minimum(1.0, 5.0 / np.maximum(size, 1e-30))[:, None])[good]
+            line[cohort][d[good]] += (step * np.minimum(1.0, 1.0 / np.maximum(size, 1e-30))[:, None])[good]
             finished = good & (size < tolerance)
             done[cohort][d[finished]] = True
             active[cohort] = d[good & ~finished]
@@ -167,20 +179,36 @@ def calibration_lines(
     return line
 
 
-def metric_draws(scored: DataFrame, cohort: str, state: str, weights: np.ndarray | None = None, score: str = "p",
+def metric_draws(scored: DataFrame, cohort: str, state: str, weights: np.ndarray | DataFrame | None = None, score: str = "p",
                  draws: int = 999, seed: int = 20261008) -> DataFrame:
     """``(cohort, metric, draw, value)``; draw -1 is the point estimate, NULL marks an undefined draw.
 
     The same draws serve every cohort and every model scored on these states (pairing).
     """
-    spark = scored.sparkSession
-    groups = staged(compacted(scored, cohort, state, score))
+    return group_draws(staged(compacted(scored, cohort, state, score)), weights, draws, seed)
+
+
+def supplied_weights(levels: list[str], schedule: DataFrame) -> np.ndarray:
+    """A draw table (draw, state, weight) as draws x levels. Draws are numbered from 0 without holes; every state needs a weight in each."""
+    wanted = schedule.where(F.col("state").isin(levels)).groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("state", "weight"))).alias("w"))
+    rows = wanted.orderBy("draw").collect()  # draws x states, both fixed by the protocol
+    if [r.draw for r in rows] != list(range(len(rows))) or any(set(r.w) != set(levels) or None in r.w.values() for r in rows):
+        raise ValueError("a draw table needs draws from 0 on and a weight for each of the states in each draw")
+    return np.array([[r.w[s] for s in levels] for r in rows], dtype=float).reshape(len(rows), len(levels))
+
+
+def group_draws(groups: DataFrame, weights: np.ndarray | DataFrame | None = None, draws: int = 999, seed: int = 20261008,
+                metrics: Sequence[str] = METRICS) -> DataFrame:
+    """``metric_draws`` of a written table of counts (cohort, p, state, pos, neg)."""
+    spark = groups.sparkSession
     levels = cluster_levels(groups)
     index = {s: i for i, s in enumerate(levels)}
+    if isinstance(weights, DataFrame):
+        weights = supplied_weights(levels, weights)
     drawn = multinomial_draws(levels, draws, seed) if weights is None else weights
     table = np.vstack([np.ones(len(levels)), drawn]).astype(float)
-    # equal scores share a bucket; cut on the cohort too so that every cohort is spread
-    bucketed = with_bucket(groups, ["cohort", "p"])
+    # equal scores share a bucket; cut on the cohort too so that every cohort is spread; written once, read twice
+    bucketed = staged(with_bucket(groups, ["cohort", "p"]))
     stats = staged(bucketed.groupBy("cohort", "_bucket").applyInPandas(
         _bucket_stats(index),
         "cohort string, bucket int, pos array<double>, neg array<double>, loss array<double>, pairs array<double>",
@@ -203,7 +231,8 @@ def metric_draws(scored: DataFrame, cohort: str, state: str, weights: np.ndarray
         bucketed.groupBy("cohort", "_bucket").applyInPandas(_precision_sums(index, above, table), "cohort string, v array<double>"), "v", ["cohort"]
     )
     steps = {r["cohort"]: r["v"].toArray() for r in precision.collect()}
-    lines = calibration_lines(groups, levels, table)
+    line = any(m.startswith("calibration") for m in metrics)
+    lines = calibration_lines(groups, levels, table) if line else {name: np.full((len(table), 2), np.nan) for name in totals}
     rows = []
     for name, (pos, neg, loss, pairs) in totals.items():
         p, n = table @ pos, table @ neg
@@ -213,7 +242,7 @@ def metric_draws(scored: DataFrame, cohort: str, state: str, weights: np.ndarray
                 "auc": np.einsum("ds,st,dt->d", table, pairs, table) / (p * n), "average_precision": steps[name] / p,
                 "brier": (table @ loss) / (p + n), "calibration_intercept": lines[name][:, 0], "calibration_slope": lines[name][:, 1],
             }
-        for metric, v in values.items():
+        for metric, v in ((m, values[m]) for m in metrics):
             rows += [(name, metric, d - 1, float(x) if ok and np.isfinite(x) else None) for d, (x, ok) in enumerate(zip(v, defined))]
     return spark.createDataFrame(rows, "cohort string, metric string, draw int, value double")
 

@@ -108,6 +108,19 @@ def multiplier_draws(spark, sf):
     return bootstrap.normalized_weights(schedule, counts)
 
 
+@query(
+    "g07b_counter_multipliers",
+    with_tables("elig") + """, c as (select ProjectState as state, count(*) as n from elig where role = 'train' group by 1),
+    d as (select cast(g as int) as draw, state, n, -ln((cast('0x' || substr(md5('%d/' || g || '/' || state), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0::double) as w
+        from c cross join (select unnest(range(0, %d)) as g))
+    select draw, state, n, round(w * (sum(n) over (partition by draw)) / (sum(w * n) over (partition by draw)), 9) as weight from d""" % (TEST.seed, TEST.refit_attempts),
+)
+def counter_multipliers(spark, sf):
+    counts = loans(spark, sf).where("role = 'train'").groupBy(F.col("ProjectState").alias("state")).agg(F.count("*").alias("n"))
+    out = bootstrap.normalized_weights(bootstrap.counter_multipliers(counts, TEST.refit_attempts, TEST.seed), counts)
+    return out.withColumn("weight", F.round("weight", 9))
+
+
 @query("g08_refit_bootstrap")
 def refit_bootstrap(spark, sf):
     design, data = _train_data(spark, sf)

@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import attempts, bootstrap, comparison, linking, loss, metrics, models, ordered, panel
+from ..operators import attempts, bootstrap, comparison, linking, loss, metrics, models, ordered, paired, panel
 from ..operators.design import Design
 from ..operators.ordered import bin_index
 from ..session import staged
@@ -101,6 +101,52 @@ def paired_differences(spark, sf):
     return _rounded(comparison.percentile_interval(gaps, ["role"], "difference"), 6, "lower", "upper")
 
 
+_SECOND = "(0.7e0 * p + 0.3e0 * coalesce(guarantee_share, 0.5e0))"
+_METRICS = ("auc", "average_precision", "brier")
+_MODEL_SQL = (
+    f", {DRAW_SQL}, dp as (select * from dw union all select distinct -1, state, 1 from dw), "
+    f"md as (select role, ProjectState as state, Y, 'first' as score, p from scored where {LATER} union all select role, ProjectState, Y, 'second', {_SECOND} from scored where {LATER}), "
+    "mg as (select role, score, draw, p, sum(w * Y)::double as pos, sum(w * (1 - Y))::double as neg from md join dp using (state) group by all), "
+    "mw as (select *, sum(neg) over up - neg as below, sum(pos) over down as cumpos, sum(pos + neg) over down as cumall from mg "
+    "window up as (partition by role, score, draw order by p), down as (partition by role, score, draw order by p desc)), "
+    "mt as (select role, score, draw, sum(pos) as tp, sum(neg) as tn, sum(pos * (below + 0.5 * neg)) as a, sum(coalesce(pos * cumpos / nullif(cumall, 0), 0)) as ap, "
+    "sum(pos * (1 - p) ** 2 + neg * p ** 2) as b from mw group by all), "
+    "mm as (" + " union all ".join(
+        f"select role, score, draw, '{m}' as metric, case when tp > 0 and tn > 0 then {e} end as v from mt"
+        for m, e in (("auc", "a / (tp * tn)"), ("average_precision", "ap / tp"), ("brier", "b / (tp + tn)"))
+    ) + ")"
+)
+_BOUNDS = "round(quantile_cont(v, 0.025), 6) as lower, round(quantile_cont(v, 0.975), 6) as upper, count(v) as effective_draws, count(*) - count(v) as undefined_draws"
+
+
+def _two_models(spark, sf):
+    rows = scored(spark, sf).where(LATER).withColumnsRenamed({"p": "first"}).withColumn("second", F.expr(_SECOND.replace("p +", "first +").replace("e0", "D")))
+    return paired.model_draws(rows, ["first", "second"], "role", "ProjectState", draw_schedule(spark, sf).withColumnRenamed("w", "weight"), metrics=_METRICS)
+
+
+@query(
+    "h06b_supplied_draws",
+    with_tables("scored") + _MODEL_SQL + f", iv as (select role as cohort, score, metric, {_BOUNDS} from mm where draw >= 0 group by all) "
+    "select iv.*, round(mm.v, 6) as value from iv join mm on mm.role = iv.cohort and mm.score = iv.score and mm.metric = iv.metric and mm.draw = -1",
+)
+def supplied_draws(spark, sf):
+    drawn = staged(_two_models(spark, sf))
+    keys = ["cohort", "score", "metric"]
+    out = drawn.where("draw = -1").select(*keys, "value").join(comparison.percentile_interval(drawn.where("draw >= 0"), keys), keys)
+    return _rounded(out, 6, "value", "lower", "upper")
+
+
+@query(
+    "h08b_metric_differences",
+    with_tables("scored") + _MODEL_SQL + ", df as (select a.role as cohort, a.metric, 'first' as \"left\", 'second' as \"right\", a.draw, a.v - b.v as v from mm a join mm b using (role, metric, draw) "
+    f"where a.score = 'first' and b.score = 'second'), iv as (select cohort, metric, \"left\", \"right\", {_BOUNDS} from df where draw >= 0 group by all) "
+    "select iv.*, round(df.v, 6) as value from iv join df using (cohort, metric) where df.draw = -1",
+)
+def metric_differences(spark, sf):
+    out = paired.difference_intervals(staged(paired.metric_differences(_two_models(spark, sf), [("first", "second")])))
+    return _rounded(out, 6, "value", "lower", "upper")
+
+
 @query(
     "h09_percentile_interval",
     """with dr as (select event_type, user_id % 30 as draw, case when user_id % 7 = 0 then null else avg(value) end as v from events group by 1, 2, user_id % 7)
