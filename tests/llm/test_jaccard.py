@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from lossweave.llm import jaccard, queries
 from lossweave.llm.jaccard import Rule
@@ -66,8 +65,7 @@ def test_query_equals_brute_force(spark, rows):
     assert sorted(map(tuple, queries.op13_jaccard_join(spark, SF).collect()), key=repr) == brute(rows)
 
 
-@pytest.mark.parametrize("few, rule", [(None, Rule()), (4, Rule(5, 80, 100))])
-def test_families_around_the_threshold(spark, few, rule):
+def test_families_around_the_threshold(spark):
     rng = random.Random(3)
     texts = []
     for words in (1, 2, 3, 4, 12, 13, 20, 21, 22, 45, 62, 100, 130, 300):
@@ -77,10 +75,19 @@ def test_families_around_the_threshold(spark, few, rule):
     texts += family(rng, 40, 100, 1, same=1) + family(rng, 40, 100, 1) + family(rng, 30, 150, 3)
     chain = [f"c{k}" for k in range(140)]
     texts += [" ".join(chain[k : k + 100]) for k in range(0, 40, 3)]
-    want = compared(spark, texts, rule, few)
+    want = compared(spark, texts)
     assert 100 < len({w[2] for w in want}) < len(texts)
 
 
+def test_large_groups_are_refined_and_recentred(spark, monkeypatch):
+    calls = []
+    for name in ("refined", "recentred"):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), n=name: calls.append(n) or f(*a))
+    rng = random.Random(8)
+    want = compared(spark, family(rng, 24, 100, 1) + family(rng, 12, 100, 1, same=1), few=6)
+    assert {"refined", "recentred"} <= set(calls) and len({w[2] for w in want}) == 2
+
+
 def test_bands_hold_every_linked_pair():
     rng = np.random.default_rng(5)
     for rule in (Rule(), Rule(5, 80, 100), Rule(3, 50, 100)):
