@@ -32,6 +32,7 @@ CAPACITY = 2048
 OPEN_BINS = 512
 GROUP_TOKENS = 16_000_000
 END = 0
+ADDED, ADDED_ID = "<|endoftext|>", 50256  # fixed values: the one added token of the vocabulary; its string in a text is that token
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json; a test holds the ids of both together
 CACHE_WORDS, LONGEST_KEPT = 400_000, 64  # words remembered, and the longest of them: together they bound the memory
 
@@ -66,6 +67,8 @@ class WordIds(dict):
         return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if ADDED in text:
+            return ADDED_ID.to_bytes(4, "little").join(self.encode(part) if part else b"" for part in text.split(ADDED))
         first, *rest = text.split(" ")
         found = [self[w] for w in rest]
         if not first or None in found:
@@ -152,7 +155,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     total = parts.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, math.ceil(total / group_tokens))
     kept = parts.drop("sequence_id", "offset", "_group")
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), *[kept[c] for c in ("doc_id", "piece")]), F.lit(groups)))
+    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), *[kept[c] for c in ("doc_id", "piece", "ids_crc32")]), F.lit(groups)))
 
     def stream(table: pa.Table) -> pa.Table:
         ids, crcs, lengths = (table.column(c) for c in ("doc_id", "ids_crc32", "length"))

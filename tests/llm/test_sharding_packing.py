@@ -79,9 +79,11 @@ def checked_packing(got, capacity):
 
 @pytest.mark.parametrize("source", ["table", "odd"])
 def test_pieces_equal_the_tokenizers_library(spark, docs, odd, source):
-    frame = docs if source == "table" else odd
+    frame = docs
+    if source == "odd":
+        texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", " <|endoftext|>\n", "<|endoftext|", "x <|endoftext|>y"]
+        frame = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 50)), "doc_id long, text string"))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = []
     for r in frame.select("doc_id", "text").collect():
         ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
