@@ -5,8 +5,8 @@ matrix has a one for each of its bytes, kept by hand in compressed rows. The row
 order, are the overlap links with the number of common bytes; links whose tokens end together are among them. Offsets
 where both tokenisations end cut the tokens into groups; products of token-group matrices are the shared-group links.
 
-Both tokenisers cut before a single space that follows a character that is no white space: no pre-token of A and no piece
-of B reaches across. So a text is aligned chunk by chunk, and a chunk once for all its occurrences in a task. Texts with
+Both tokenisers cut before a single space, or a single line break, that a word follows and that follows a word: no pre-token of A and no
+piece of B reaches across. So a text is aligned chunk by chunk, and a chunk once for all its occurrences in a task. Texts with
 other runs of white space are one chunk. Counts of linked id pairs are summed over all documents first. Two tokens that
 end together are suffixes of each other, so the pair table is bounded by the suffixes of two vocabularies (below a
 million rows), whatever the corpus: it may travel to all tasks.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_pass
 
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"  # the first: the ranks of byte_bpe_50k.json
-KEPT_CHUNKS, KEPT_BYTES = 200_000, 1 << 26  # what a task remembers
+KEPT_CHUNKS, KEPT_BYTES = 400_000, 1 << 27  # what a task remembers
 PRODUCTS = 1 << 22  # elementary products expanded at once
 LOW32 = np.int64(2**32 - 1)
 
@@ -106,10 +106,17 @@ def load_pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[b
     return own, text
 
 
+def apart(parts: list[str]) -> bool:
+    return all(p and not p[0].isspace() for p in parts)
+
+
 def chunks(text: str) -> list[str]:
-    """Parts of " " + text that both tokenisers treat apart, each with its leading space."""
+    """Parts of " " + text that both tokenisers treat apart, each with the single space or line break before it."""
+    lines = [line.split(" ") for line in text.split("\n")]
+    if all(map(apart, lines)):
+        return [("\n" if k and not i else " ") + p for k, line in enumerate(lines) for i, p in enumerate(line)]
     parts = text.split(" ")
-    return [" " + p for p in parts] if all(p and not p[0].isspace() for p in parts) else [" " + text]
+    return [" " + p for p in parts] if apart(parts) else [" " + text]
 
 
 class Aligner:
@@ -133,10 +140,15 @@ class Aligner:
     def full(self) -> bool:
         return len(self.place) >= KEPT_CHUNKS or self.size >= KEPT_BYTES
 
+    def pieces(self, new: list[str]) -> list[list[int]]:
+        """B puts a space before each text: that is a chunk's own, or before a line break a piece of its own to leave out."""
+        found = self.b.encode([c[c[0] == " " :] for c in new], num_threads=1)
+        return [y if c[0] == " " else y[1:] for c, y in zip(new, found)]
+
     def add(self, new: list[str]) -> None:
         raw = [c.encode() for c in new]
         a = [self.a.encode_ordinary(c) for c in new]
-        b = self.b.encode([c[1:] for c in new], num_threads=1)
+        b = self.pieces(new)
         good = np.array([b"".join([self.a_text[i] for i in x]) == b"".join([self.b_text[i] for i in y]) == r for x, y, r in zip(a, b, raw)], bool)
         a, b = ([x if ok else [] for x, ok in zip(side, good)] for side in (a, b))
         width = sum(len(r) for r, ok in zip(raw, good) if ok)
@@ -151,9 +163,11 @@ class Aligner:
         i, j = np.concatenate(rows), np.concatenate(columns)
         code = (a_ids[i] << 32) | b_ids[j]
         common = np.intersect1d(a_end, b_end, assume_unique=True)
-        in_a, in_b = (membership(np.searchsorted(common, end), len(common)).transposed() for end in (a_end, b_end))
-        a_name, b_name = (list(map(str, ids.tolist())) for ids in (a_ids, b_ids))
-        text = [f"{','.join(a_name[p:q])}|{','.join(b_name[r:s])}" for p, q, r, s in zip(in_a.row, in_a.row[1:], in_b.row, in_b.row[1:])]
+        text = [""] * len(common)
+        if self.pairs is not None:  # counting needs no groups
+            in_a, in_b = (membership(np.searchsorted(common, end), len(common)).transposed() for end in (a_end, b_end))
+            a_name, b_name = (list(map(str, ids.tolist())) for ids in (a_ids, b_ids))
+            text = [f"{','.join(a_name[p:q])}|{','.join(b_name[r:s])}" for p, q, r, s in zip(in_a.row, in_a.row[1:], in_b.row, in_b.row[1:])]
         link_from, group_from = np.searchsorted(i, a_from), np.searchsorted(common, np.concatenate(([0], a_end))[a_from], "right")
         group_from[0] = 0
         stats = np.zeros((len(new), 6), np.int64)
