@@ -79,7 +79,7 @@ def test_combine_refuses_unequal_identities(spark):
     draws = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 3.0), ("b", 0, 2.0), ("b", 1, 2.0)], "k string, draw int, value double")
     out = {r.k: r for r in comparison.combine(point, draws, ["k"], attempted=3).collect()}
     assert (out["a"].successful_draws, out["a"].attempted_draws) == (2, 3)
-    with pytest.raises(ValueError, match="identities"):
+    with pytest.raises(ValueError, match="only a point value"):
         comparison.combine(point, draws.where("k = 'a'"), ["k"], 3)
     with pytest.raises(ValueError, match="missing from some draws"):
         comparison.combine(point, draws.where("not (k = 'b' and draw = 1)"), ["k"], 3)
