@@ -102,42 +102,59 @@ def stream(texts: list[np.ndarray], most: int, seed: int = 0) -> Lanes:
     return Lanes(*cells, length)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def by_unit(x: np.ndarray) -> np.ndarray:
+    """(step, lane, unit) as (step, unit, lane): gates are then slices without gaps."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def by_row(x: np.ndarray) -> np.ndarray:
+    """(step, unit, lane) as one row of units for each step and lane."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
 def recur(p: dict, symbol: np.ndarray, start: np.ndarray, h: np.ndarray, trace: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window, and the last one; ``trace`` is filled with what gradients need."""
-    across, u = p["across"], UNITS
-    given = p["inward"][symbol]
-    states = np.empty((*symbol.shape, u), np.float32)
+    """States (step, unit, lane) of a window, and the last one; ``trace`` is filled with what gradients need."""
+    across, u = np.ascontiguousarray(p["across"].T), UNITS
+    given = by_unit(p["inward"][symbol])
+    keep = (~start).astype(np.float32)
+    steps, n = symbol.shape
+    states, gates = np.empty((steps, u, n), np.float32), np.empty((steps, 2 * u, n), np.float32)
+    fresh, before, inner = (np.empty_like(states) for _ in range(3))
+    for t in range(steps):
+        h = np.multiply(h, keep[t], out=before[t])
+        a, b, gate, f, s = given[t], across @ h, gates[t], fresh[t], states[t]
+        np.add(a[: 2 * u], b[: 2 * u], out=gate)
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        inner[t] = b[2 * u :]
+        np.multiply(gate[u:], b[2 * u :], out=f)
+        f += a[2 * u :]
+        np.tanh(f, out=f)
+        np.subtract(h, f, out=s)
+        s *= gate[:u]
+        s += f
+        h = s
     if trace is not None:
-        trace |= {k: np.empty_like(states) for k in ("before", "fresh", "inner")} | {"gate": np.empty((*symbol.shape, 2 * u), np.float32)}
-    cleared = start.any(axis=1)
-    for t in range(len(symbol)):
-        if cleared[t]:
-            h = np.where(start[t][:, None], np.float32(0), h)
-        a, b = given[t], h @ across
-        gate = _sigmoid(a[:, : 2 * u] + b[:, : 2 * u])
-        z, r = gate[:, :u], gate[:, u:]
-        fresh = np.tanh(a[:, 2 * u :] + r * b[:, 2 * u :])
-        if trace is not None:
-            trace["before"][t], trace["fresh"][t], trace["inner"][t], trace["gate"][t] = h, fresh, b[:, 2 * u :], gate
-        states[t] = fresh + z * (h - fresh)
-        h = states[t]
+        trace |= {"before": before, "fresh": fresh, "inner": inner, "gate": gates, "keep": keep}
     return states, h
 
 
+SAFE = 60.0  # logits within it need no shift before they are raised: sums stay inside single precision
+
+
 def _picked(x: np.ndarray, at: np.ndarray, gradient: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """The log softmax of each row at one place and, if asked for, its gradient with the sign of a loss. Overwrites ``x``."""
     rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
+    if len(x) and not (x.max() < SAFE and x.min() > -SAFE):
+        x -= x.max(axis=1, keepdims=True)
     own = x[rows, at]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], np.float32)
     if not gradient:
         return own - np.log(total), None
-    x /= total[:, None]
+    x *= (1 / total)[:, None]
     x[rows, at] -= 1
     return own - np.log(total), x
 
@@ -148,25 +165,29 @@ def class_of(target: np.ndarray) -> np.ndarray:
 
 def emit(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural-log probability of each target given its state; with ``grad``, also the loss gradient by state."""
-    which = class_of(target)
+    which = class_of(target).astype(np.int16)
     order = np.argsort(which, kind="stable")
     which, sorted_h, column = which[order], h[order], target[order] % WIDTH
-    logs, d = _picked(sorted_h @ p["to_class"] + p["class_bias"], which, grad is not None)
+    logits = sorted_h @ p["to_class"]
+    logits += p["class_bias"]
+    logs, d = _picked(logits, which, grad is not None)
     if grad is not None:
         grad["to_class"] += sorted_h.T @ d
         grad["class_bias"] += d.sum(axis=0)
         d = d @ p["to_class"].T
     edges = np.searchsorted(which, np.arange(CLASSES + 1))
-    for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        if lo == hi:
-            continue
-        own = sorted_h[lo:hi]
-        inner, e = _picked(own @ p["to_word"][c] + p["word_bias"][c], column[lo:hi], grad is not None)
-        logs[lo:hi] += inner
-        if grad is not None:
-            grad["to_word"][c] += own.T @ e
-            grad["word_bias"][c] += e.sum(axis=0)
-            d[lo:hi] += e @ p["to_word"][c].T
+    parts = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi]
+    words = np.empty((edges[-1], WIDTH), np.float32)
+    for c, part in parts:
+        np.matmul(sorted_h[part], p["to_word"][c], out=words[part])
+        words[part] += p["word_bias"][c]
+    inner, e = _picked(words, column[: len(words)], grad is not None)
+    logs[: len(words)] += inner
+    if grad is not None:
+        for c, part in parts:
+            grad["to_word"][c] += sorted_h[part].T @ e[part]
+            grad["word_bias"][c] += e[part].sum(axis=0)
+            d[part] += e[part] @ p["to_word"][c].T
     out = np.empty(len(target))
     out[order] = logs
     back = None
@@ -192,14 +213,14 @@ def score(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 512, wind
     # no more lanes than the longest text leaves room for: the tables stay within a few times the tokens
     sizes = [len(t) + 1 for t in texts]
     lane = lanes(texts, min(most_lanes, -(-sum(sizes) // max(sizes))))
-    h = np.zeros((len(lane.length), UNITS), np.float32)
+    h = np.zeros((UNITS, len(lane.length)), np.float32)
     for lo in range(0, len(lane.symbol), window):
         busy = int(np.searchsorted(-lane.length, -lo, "left"))
         cut = (slice(lo, lo + window), slice(0, busy))
-        states, h = recur(p, lane.symbol[cut], lane.start[cut], h[:busy])
+        states, h = recur(p, lane.symbol[cut], lane.start[cut], h[:, :busy])
         text = lane.text[cut].ravel()
         real = text >= 0
-        logs, _ = emit(p, states.reshape(-1, UNITS)[real], lane.target[cut].ravel()[real])
+        logs, _ = emit(p, by_row(states)[real], lane.target[cut].ravel()[real])
         total += np.bincount(text[real], logs, len(texts))
     return total * LOG10
 
@@ -211,38 +232,37 @@ def train(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 128, wind
         return flat
     p, lane = unpacked(flat), stream(texts, most_lanes)
     square = np.full(len(flat), 1e-2, np.float32)
-    h = np.zeros((len(lane.length), UNITS), np.float32)
-    u = UNITS
+    h = np.zeros((UNITS, len(lane.length)), np.float32)
+    u, across = UNITS, p["across"]
     for lo in range(0, len(lane.symbol), window):
         cut = slice(lo, lo + window)
-        symbol, start, trace = lane.symbol[cut], lane.start[cut], {}
-        states, h = recur(p, symbol, start, h, trace)
+        symbol, trace = lane.symbol[cut], {}
+        states, h = recur(p, symbol, lane.start[cut], h, trace)
         real = lane.text[cut].ravel() >= 0
         gradient = np.zeros(len(flat), np.float32)
         grad = unpacked(gradient)
-        _, back = emit(p, states.reshape(-1, u)[real], lane.target[cut].ravel()[real], grad)
+        _, back = emit(p, by_row(states)[real], lane.target[cut].ravel()[real], grad)
         outward = np.zeros((len(real), u), np.float32)
         outward[real] = back
-        outward = outward.reshape(*symbol.shape, u)
-        before, fresh, inner, z, r = trace["before"], trace["fresh"], trace["inner"], trace["gate"][..., :u], trace["gate"][..., u:]
+        outward = by_unit(outward.reshape(*symbol.shape, u))
+        before, fresh, inner, z, r = trace["before"], trace["fresh"], trace["inner"], trace["gate"][:, :u], trace["gate"][:, u:]
         by_fresh, by_z, by_r = (1 - z) * (1 - fresh * fresh), (before - fresh) * z * (1 - z), inner * r * (1 - r)
-        inward = np.empty((*symbol.shape, 3 * u), np.float32)
+        inward = np.empty((len(symbol), 3 * u, symbol.shape[1]), np.float32)
         through = np.empty_like(inward)
-        back_across, cleared = np.ascontiguousarray(p["across"].T), start.any(axis=1)
         dh = np.zeros_like(h)
         for t in reversed(range(len(symbol))):
-            dh = dh + outward[t]
-            d = inward[t]
-            d[:, :u] = dh * by_z[t]
-            d[:, 2 * u :] = dh * by_fresh[t]
-            d[:, u : 2 * u] = d[:, 2 * u :] * by_r[t]
-            through[t] = d
-            through[t, :, 2 * u :] *= r[t]
-            dh = dh * z[t] + through[t] @ back_across
-            if cleared[t]:
-                dh = np.where(start[t][:, None], np.float32(0), dh)
-        grad["across"] += before.reshape(-1, u).T @ through.reshape(-1, 3 * u)
-        _add_rows(grad["inward"], symbol.ravel(), inward.reshape(-1, 3 * u))
+            dh += outward[t]
+            d, m = inward[t], through[t]
+            np.multiply(dh, by_z[t], out=d[:u])
+            np.multiply(dh, by_fresh[t], out=d[2 * u :])
+            np.multiply(d[2 * u :], by_r[t], out=d[u : 2 * u])
+            m[: 2 * u] = d[: 2 * u]
+            np.multiply(d[2 * u :], r[t], out=m[2 * u :])
+            dh *= z[t]
+            dh += across @ m
+            dh *= trace["keep"][t]
+        grad["across"] += np.matmul(before, through.transpose(0, 2, 1)).sum(axis=0)
+        _add_rows(grad["inward"], symbol.ravel(), by_row(inward))
         gradient /= max(int(real.sum()), 1)
         norm = float(np.sqrt(gradient @ gradient))
         if norm > 1:

@@ -4,6 +4,7 @@ Counting: words of all training texts, summed per task and then by one shuffle.
 list) are known to every task; the counts of all others meet the texts in a join on the word, which
 no frequent word enters. Training: every training text once, dealt to ``ROUNDS`` rounds by hash; in each round
 every partition runs truncated backpropagation on its own texts and the parameters are averaged by tokens.
+Every text is read once: its symbols are written, and training and scoring read those.
 Scoring: whole texts, states carried across windows.
 
 A word outside the model's own list is its class, predicted from the state, times its add-one share of the
@@ -140,21 +141,51 @@ class Reader:
         return [words[i] for i in new], at, symbol
 
 
-def trained(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Parameters after ``ROUNDS`` rounds. ``texts``: doc_id and text of training rows."""
-    flat = gru.initial(v.symbol_counts, SEED)
+def encoded(marked: DataFrame, v: Vocabulary) -> DataFrame:
+    """Every text read once: symbols, what its words add outside the model, and the words that no task knows, with counts.
+
+    ``marked`` has doc_id, text and held_out. ``turn`` is the round in which a training text takes part.
+    """
     turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), F.lit(ROUNDS)).cast("int").alias("turn")
-    dealt = texts.select(turn, "text")
+    span = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(v)
+        logs = np.log10(v.counts + 1.0)
+        room = np.log10(v.room)
+        inside = np.where(np.arange(len(logs)) < gru.HEAD - 1, 0.0, logs - room[reader.rare])  # of known words in rare classes
         for batch in batches:
-            symbols = [reader.read(t)[2] for t in utf8(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("turn"), pa.array(symbols, pa.list_(pa.int32()))], names=["turn", "symbols"])
+            read = [reader.read(t) for t in utf8(batch)]
+            known = [at[at >= 0] for _, at, _ in read]
+            rare = [Counter(new) for new, _, _ in read]
+            words = pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string())
+            spans = pa.StructArray.from_arrays([words, pa.array([n for c in rare for n in c.values()], pa.int64())], fields=list(span))
+            made = {
+                "n_tokens": pa.array([len(at) + 1 for _, at, _ in read], pa.int64()),
+                "n_seen": pa.array([len(k) + (v.end > 0) for k in known], pa.int64()),
+                "seen": pa.array([float(logs[k].sum()) + math.log10(v.end + 1) for k in known], pa.float64()),
+                "inside": pa.array([float(inside[k].sum() - room[s[at < 0] - gru.HEAD].sum()) for k, (_, at, s) in zip(known, read)], pa.float64()),
+                "symbols": pa.array([s for _, _, s in read], pa.list_(pa.int32())),
+                "rare": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), spans),
+            }
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "held_out", "turn")), *made.values()], names=["doc_id", "held_out", "turn", *made])
+
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    kinds = "n_tokens long, n_seen long, seen double, inside double, symbols array<int>, rare array<struct<word:string,n:long>>"
+    return arrow_pass(marked.select("doc_id", "held_out", turn, "text"), rows, f"doc_id {kind}, held_out boolean, turn int, {kinds}")
+
+
+def symbols_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    cells = batch.column("symbols")
+    ends, values = cells.offsets.to_numpy(), cells.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
 
-    rows = staged(arrow_pass(dealt, encoded, "turn int, symbols array<int>"))
+def trained(lessons: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Parameters after ``ROUNDS`` rounds. ``lessons``: turn and symbols of training texts, written."""
+    flat = gru.initial(v.symbol_counts, SEED)
     for k in range(ROUNDS):
-        flat = _round(rows.where(F.col("turn") == k), flat)
+        flat = _round(lessons.where(F.col("turn") == k), flat)
     return flat
 
 
@@ -164,14 +195,13 @@ def _round(rows: DataFrame, flat: np.ndarray) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tokens, held, size = flat, 0, [], 0
         for batch in batches:
-            cells = batch.column("symbols")
-            ends, values = cells.offsets.to_numpy(), cells.values.to_numpy()
-            held += [values[a:b] for a, b in zip(ends, ends[1:])]
-            size = sum(map(len, held)) + len(held)
+            more = symbols_of(batch)
+            held += more
+            size += sum(map(len, more)) + len(more)
             if size >= BUFFER_TOKENS:
-                now, tokens, held = gru.train(now, held), tokens + size, []
+                now, tokens, held, size = gru.train(now, held), tokens + size, [], 0
         if held:
-            now, tokens = gru.train(now, held), tokens + sum(map(len, held)) + len(held)
+            now, tokens = gru.train(now, held), tokens + size
         if tokens:
             blob = (now.astype(np.float64) * tokens).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob]), pa.array([tokens], pa.int64())], names=["part", "sum", "tokens"])
@@ -194,67 +224,46 @@ def _round(rows: DataFrame, flat: np.ndarray) -> np.ndarray:
     return (sum(np.frombuffer(r.sum, np.float64) for r in some) / tokens).astype(np.float32)
 
 
-PARTS = "n_tokens long, n_seen long, seen double, model double, rare array<struct<word:string,n:long>>"
-
-
 def scored(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     marked = docs.select("doc_id", "text").withColumn("held_out", remainder(held_out_of) == held_out)
-    lessons = marked.where(~F.col("held_out"))
-    counts = staged(word_counts(lessons))
+    counts = staged(word_counts(marked.where(~F.col("held_out"))))
     v = vocabulary(counts)
-    flat = trained(lessons, v)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    # the written table fixes the row numbers
+    found = staged(encoded(marked, v).withColumn("_row", F.monotonically_increasing_id()))
+    flat = trained(found.where(~F.col("held_out")), v)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(v)
-        logs = np.log10(v.counts + 1.0)
-        inside = np.where(np.arange(len(logs)) < gru.HEAD - 1, 0.0, logs - np.log10(v.room)[reader.rare])  # of known words in rare classes
-        room = np.log10(v.room)
-        span = pa.struct([("word", pa.string()), ("n", pa.int64())])
-        held: list = []
-        size = 0
+        ids, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            model = gru.score(flat, [r[-1] for r in held]) + np.array([r[5] for r in held])
-            rare = [r[4] for r in held]
-            words = pa.array([w for c in rare for w in c], pa.binary()).cast(pa.string())
-            spans = pa.StructArray.from_arrays([words, pa.array([n for c in rare for n in c.values()], pa.int64())], fields=list(span))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), spans)
-            columns = [pa.array([r[k] for r in held], t) for k, t in enumerate((ids, pa.bool_()))]
-            n = [pa.array([len(r[-1]) + 1 for r in held], pa.int64()), pa.array([r[2] for r in held], pa.int64()), pa.array([r[3] for r in held], pa.float64())]
-            return pa.RecordBatch.from_arrays([*columns, *n, pa.array(model, pa.float64()), lists], names=["doc_id", "held_out", "n_tokens", "n_seen", "seen", "model", "rare"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gru.score(flat, held), pa.float64())], names=["_row", "model"])
 
         for batch in batches:
-            ids = batch.schema.field("doc_id").type
-            for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), utf8(batch)):
-                new, at, symbol = reader.read(text)
-                known = at[at >= 0]
-                own = symbol[at < 0] - gru.HEAD
-                held.append((
-                    doc, out, len(known) + (v.end > 0), float(logs[known].sum()) + math.log10(v.end + 1), Counter(new),
-                    float(inside[known].sum() - room[own].sum()), symbol,
-                ))
-                size += len(symbol) + 1
+            # a buffer may end inside a batch, so that few long texts do not fill it many times over
+            for row, symbols in zip(batch.column("_row").to_pylist(), symbols_of(batch)):
+                ids.append(row)
+                held.append(symbols)
+                size += len(symbols) + 1
                 if size >= BUFFER_TOKENS:
                     yield flush()
-                    held, size = [], 0
+                    ids, held, size = [], [], 0
         if held:
             yield flush()
 
-    # the written table fixes the row numbers
-    found = staged(arrow_pass(marked, rows, f"doc_id {kind}, held_out boolean, {PARTS}").withColumn("_row", F.monotonically_increasing_id()))
+    models = arrow_pass(found.select("_row", "symbols"), rows, "_row long, model double")
     rare = found.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n")
     joined = rare.join(counts.select("word", F.col("n").alias("c")).hint("shuffle_hash"), "word", "left")
     sums = joined.groupBy("_row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("_logs"),
     )
-    whole = found.join(sums, "_row", "left")
+    own = found.select("_row", "doc_id", "held_out", "n_tokens", "n_seen", "seen", "inside")
+    whole = own.join(staged(models), "_row").join(sums, "_row", "left")
     logs = F.coalesce("_logs", F.lit(0.0))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_seen") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("seen") + logs - F.col("n_tokens") * math.log10(v.tokens + v.types + 1)).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (F.col("model") + F.col("inside") + logs).alias("score"),
     )
