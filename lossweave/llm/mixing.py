@@ -9,7 +9,7 @@ seeded by the node, so any shard can work out its own counts again. Shards then
 of the permuted blocks and shuffle locally.
 
 A null source is a source of its own, the last one. Null texts have no words and are never taken. Rows that are
-repeated are taken one by one; rows without an id share a block. An empty table gives an empty result.
+repeated are taken one by one; rows that share an id or have none are dealt by their texts too. An empty table gives an empty result.
 The driver holds a few numbers for each source, never documents or blocks.
 """
 
@@ -30,7 +30,9 @@ from .common import n_words, text_of
 
 WEIGHTS, SHARE, MOST_PASSES = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK_ROWS, SHARDS, SEED = 1024, 64, 20_240
-SOURCE = "_source"
+MOST_BITS = 1 << 17  # of the exact filling: words, or units of a wide room
+MOST_DRAWN = 900_000_000  # block draws in all: numpy's exact hypergeometric draw holds up to a billion
+SOURCE, CONTENT = "_source", "_content"
 
 
 def source_key(column: str = "source") -> Column:
@@ -82,27 +84,17 @@ def split(held: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     for i, n in enumerate(held.tolist()):
         rest -= n
         if take and n:
-            out[i] = _hypergeometric(rng, n, rest, take)
+            out[i] = rng.hypergeometric(n, rest, take)
             take -= int(out[i])
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """numpy's draw holds up to a billion; above, its normal limit, rounded into the possible range."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, take))
-    n = good + bad
-    mean = take * good / n
-    spread = math.sqrt(max(mean * (bad / n) * ((n - take) / max(n - 1, 1)), 0.0))
-    return min(max(round(rng.normal(mean, spread)), max(0, take - bad)), min(good, take))
-
-
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", n_words(text_of())).withColumn(SOURCE, source_key())
+    return docs.withColumn("size", n_words(text_of())).withColumn(SOURCE, source_key()).withColumn(CONTENT, F.xxhash64("text"))
 
 
 def plan(digest: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """``digest`` (a written table of doc_id, size, source key) with its block, source size and target, and the draws.
+    """``digest`` (a written table of doc_id, size, content hash, source key) with its block, source size and target, and the draws.
 
     Draws: (source key, block, pass, shard, rank, whole): which pass over a source takes a block for which shard.
     """
@@ -110,12 +102,14 @@ def plan(digest: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS,
     stats = digest.groupBy(SOURCE).agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     words = {r[SOURCE]: r.words for r in stats}
     goal = targets(words)
+    # above 3 x 10^11 documents blocks get longer, so that all draws stay exact
+    block_rows = max(block_rows, math.ceil(sum(r.rows for r in stats) * (MOST_PASSES + 1) / MOST_DRAWN))
     blocks = {r[SOURCE]: max(1, math.ceil(r.rows / block_rows)) for r in stats}
     passes = {k: int(goal[k] // words[k]) if words[k] else 0 for k in words}
     table = [(k, words[k], float(goal[k]), blocks[k], passes[k], float(goal[k] - passes[k] * words[k])) for k in sorted(words)]
     info = spark.createDataFrame(table, f"{SOURCE} string, source_size long, target double, _blocks long, _passes int, _rest double")
     rows = lookup_join(digest, info, [SOURCE])
-    rows = staged(rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_blocks"))))
+    rows = staged(rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", CONTENT), F.col("_blocks"))))
 
     sums = staged(rows.groupBy(SOURCE, "_block", "_blocks", "_passes", "_rest").agg(F.sum("size").alias("_words")))
     order = lambda p: F.xxhash64(F.lit(seed), p, SOURCE, "_block")
@@ -149,30 +143,40 @@ def fill(size: np.ndarray, order: np.ndarray, room: float, open_end: int = 16) -
     """Which sizes to take so that their sum comes close to, and not above, ``room``.
 
     Sizes are taken in the given order while they fit; then the last few of them are given back and the room is
-    filled as well as the sizes not taken can: the reachable sums are the bits of one integer.
+    filled as well as the sizes not taken can: the reachable sums are the bits of one integer. It has at most
+    ``MOST_BITS``; a wider room is counted in units of several words, sizes rounded up, and what rounding
+    leaves is filled in order once more. So the work is bounded however long the texts are.
     """
     taken, left = np.zeros(len(size), bool), int(room)
     fits = []
-    for i in order:
-        if 0 < size[i] <= left:
-            taken[i], left = True, left - int(size[i])
-            fits.append(i)
+
+    def take_in_order() -> None:
+        nonlocal left
+        for i in order:
+            if not taken[i] and 0 < size[i] <= left:
+                taken[i], left = True, left - int(size[i])
+                fits.append(i)
+
+    take_in_order()
     for i in fits[-open_end:]:
         taken[i], left = False, left + int(size[i])
-    reach, mask, last = 1, (1 << left + 1) - 1, {}
+    unit = -(-(left + 1) // MOST_BITS)
+    wide = left // unit
+    reach, mask, last = 1, (1 << wide + 1) - 1, np.zeros(wide + 1, np.int64)
     for i in order:
-        if taken[i] or not 0 < size[i] <= left or reach >> left & 1:
+        step = -(-int(size[i]) // unit)
+        if taken[i] or not 0 < step <= wide or reach >> wide & 1:
             continue
-        fresh = (reach << int(size[i])) & mask & ~reach
-        reach |= fresh
-        while fresh:
-            bit = fresh & -fresh
-            last[bit.bit_length() - 1] = i
-            fresh ^= bit
+        fresh = (reach << step) & mask & ~reach
+        if fresh:
+            reach |= fresh
+            bits = np.frombuffer(fresh.to_bytes(wide // 8 + 1, "little"), np.uint8)
+            last[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = i
     total = reach.bit_length() - 1
     while total:
         i = last[total]
-        taken[i], total = True, total - int(size[i])
+        taken[i], left, total = True, left - int(size[i]), total + int(size[i]) // -unit
+    take_in_order()
     return taken
 
 
@@ -185,13 +189,13 @@ def fitting(draws: DataFrame, rows: DataFrame) -> DataFrame:
         taken = fill(size, np.lexsort((size, key)), table.column("_room")[0].as_py())
         return pa.table({"_row": table.column("_row").filter(pa.array(taken))})
 
-    keyed = part.select("_row", "size", "_room", SOURCE, "_block", F.xxhash64(F.lit("fit"), "doc_id", "size").alias("_key"))
+    keyed = part.select("_row", "size", "_room", SOURCE, "_block", F.xxhash64(F.lit("fit"), "doc_id", CONTENT).alias("_key"))
     return keyed.groupBy(SOURCE, "_block").applyInArrow(choose, "_row long")
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and draws (pass, shard), one for each time it is taken."""
-    return _drawn(staged(sized(docs).select("doc_id", "size", SOURCE).withColumn("_row", F.monotonically_increasing_id())), shards, block_rows, seed).drop("_row")
+    return _drawn(staged(sized(docs).select("doc_id", "size", SOURCE, CONTENT).withColumn("_row", F.monotonically_increasing_id())), shards, block_rows, seed).drop("_row")
 
 
 def _drawn(digest: DataFrame, shards: int, block_rows: int, seed: int) -> DataFrame:
@@ -211,7 +215,7 @@ def sampled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     Rows are numbered in a written copy, so that the plan fits the rows it is applied to.
     """
     held = staged(sized(docs.select([F.col(c).alias(f"d_{c}") for c in docs.columns] + ["text", "source", "doc_id"])).withColumn("_row", F.monotonically_increasing_id()).drop("text", "source"))
-    drawn = _drawn(held.select("doc_id", "size", SOURCE, "_row"), shards, BLOCK_ROWS, seed).where(F.size("draws") > 0).select("_row", F.explode("draws").alias("_d"))
+    drawn = _drawn(held.select("doc_id", "size", SOURCE, CONTENT, "_row"), shards, BLOCK_ROWS, seed).where(F.size("draws") > 0).select("_row", F.explode("draws").alias("_d"))
     rows = held.join(drawn, "_row").select("_row", "_d.shard", "_d.pass", *[F.col(f"d_{c}").alias(f"d_{c}") for c in docs.columns])
     local = F.xxhash64(F.lit(seed), "shard", "pass", "_row")
     return rows.repartition("shard", F.pmod(local, F.lit(8))).sortWithinPartitions("shard", local).select([F.col(f"d_{c}").alias(c) for c in docs.columns])
