@@ -2,11 +2,11 @@
 
 Public vocabularies measure a text: code points per token (byte-level BPE), the share of its bytes that a
 piece vocabulary can only spell byte by byte, and the entropy of its tokens. A text outside the band of
-its language, or of its script where the language has no band, is rejected. Words are encoded once per
+its language is rejected; texts without a language have one band for each script. Words are encoded once per
 worker and looked up afterwards; the tokens of a text are those of its words, each with one leading space.
 
-Null texts have no words and fail; a null or unknown language falls back to the script's band; repeated
-rows are judged alike; an empty table gives an empty result; further columns are ignored.
+Null texts have no words and fail; rows without a language are grouped by script, apart from every named language;
+repeated rows are judged alike, rows that share an id each by its own text; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossweave.session import lookup_join, staged
@@ -92,6 +92,13 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(covered.sum())
 
 
+DIGESTS = ("_first", "_second")  # 128 bits tell texts apart
+
+
+def digests() -> list[Column]:
+    return [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+
+
 def window_share(ids: np.ndarray, width: int = ENTROPY_WINDOW) -> float:
     """Mean entropy of consecutive windows of ``width`` tokens over the whole text, as a share of the most possible.
 
@@ -137,19 +144,21 @@ def measure(text: str, vocabulary: Vocabulary) -> tuple:
 
 
 def measured(docs: DataFrame, bpe: str | None = None, pieces: str | None = None) -> DataFrame:
-    """doc_id, lang and the measures of every whole text."""
+    """doc_id, lang, two digests of the text and the measures of every whole text."""
     bpe, pieces = bpe or public_tokenizers.path(VOCABULARY), pieces or public_tokenizers.path(PIECES)
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang")]
     fields = [(x.split()[0], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]]) for x in METRICS.split(", ")]
 
+    own = ["doc_id", "lang", *DIGESTS]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(bpe, pieces)
         for batch in batches:
             found = [measure(t or "", vocabulary) for t in batch.column("text").to_pylist()]
             columns = [pa.array([r[k] for r in found], kind) for k, (_, kind) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns], names=["doc_id", "lang", *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), *columns], names=[*own, *(n for n, _ in fields)])
 
-    return arrow_pass(docs.select("doc_id", "lang", "text"), rows, ", ".join([*kinds, METRICS]))
+    return arrow_pass(docs.select("doc_id", "lang", "text", *(c.alias(n) for n, c in zip(DIGESTS, digests()))), rows, ", ".join([*kinds, *(f"{n} long" for n in DIGESTS), METRICS]))
 
 
 def language_bands(good: DataFrame, spread: float) -> DataFrame:
@@ -176,9 +185,13 @@ def language_bands(good: DataFrame, spread: float) -> DataFrame:
 
 def judged(docs: DataFrame, spread: float = SPREAD, **paths: str) -> DataFrame:
     """The measures with base_failed, the first limit a text breaks (``rejected_by``) and kept."""
-    script = F.when(F.col("latin"), "latin").otherwise("other")
+    return _judged(docs, spread, **paths).drop(*DIGESTS)
+
+
+def _judged(docs: DataFrame, spread: float = SPREAD, **paths: str) -> DataFrame:
+    script = F.when(F.col("latin"), "~latin").otherwise("~other")  # texts without a language are a group of their script
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    m = staged(measured(docs, **paths).withColumn("base_failed", failed).withColumn("_band", F.coalesce("lang", script)))
+    m = staged(measured(docs, **paths).withColumn("base_failed", failed).withColumn("_band", F.coalesce(F.concat(F.lit("="), "lang"), script)))
     bands = language_bands(m.where("not base_failed"), spread)
     outer = [F.when(F.col("latin"), x).otherwise(y) for x, y in zip(OUTER["latin"], OUTER["other"])]
     rejected = (
@@ -192,6 +205,12 @@ def judged(docs: DataFrame, spread: float = SPREAD, **paths: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with; of rows that share an id, all or none stay. Rows without an id stay."""
-    bad = judged(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents that the rules keep, with the columns they came with.
+
+    The verdict follows from language and text, so rows that share an id, or have none, are told apart by both.
+    """
+    bad = _judged(docs, **options).where("not kept").select(*[F.col(c).alias(f"bad_{c}") for c in ("doc_id", "lang", *DIGESTS)]).distinct()
+    keys = {"doc_id": F.col("doc_id"), "lang": F.col("lang"), **dict(zip(DIGESTS, digests()))}
+    made = docs.select(F.struct(*docs.columns).alias("_d"), *[c.alias(f"own_{n}") for n, c in keys.items()])
+    same = [F.col(f"own_{n}").eqNullSafe(F.col(f"bad_{n}")) for n in keys]
+    return made.join(bad, same, "left_anti").select("_d.*")
