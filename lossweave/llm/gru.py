@@ -199,13 +199,13 @@ def emit(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -
 
 def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """``into[at] += rows`` with repeats in ``at``: rows of one place are summed next to each other first."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def score(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 512, window: int = 32) -> np.ndarray:
+def score(flat: np.ndarray, texts: list[np.ndarray], most_lanes: int = 512, window: int = 16) -> np.ndarray:
     """log10 probability of each text's symbols and its end."""
     p, total = unpacked(flat), np.zeros(len(texts))
     if not texts:

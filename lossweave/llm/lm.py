@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,7 @@ class Reader:
 
     def read(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         words = text.lower().split()
-        at = np.array([self.place.get(w, -1) for w in words], np.int32)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
         new = np.flatnonzero(at < 0)
         symbol = np.empty(len(at), np.int32)
         if len(self.symbol):
@@ -165,7 +166,7 @@ def encoded(marked: DataFrame, v: Vocabulary) -> DataFrame:
                 "n_seen": pa.array([len(k) + (v.end > 0) for k in known], pa.int64()),
                 "seen": pa.array([float(logs[k].sum()) + math.log10(v.end + 1) for k in known], pa.float64()),
                 "inside": pa.array([float(inside[k].sum() - room[s[at < 0] - gru.HEAD].sum()) for k, (_, at, s) in zip(known, read)], pa.float64()),
-                "symbols": pa.array([s for _, _, s in read], pa.list_(pa.int32())),
+                "symbols": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for _, _, s in read)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(s for _, _, s in read)]))),
                 "rare": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), spans),
             }
             yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "held_out", "turn")), *made.values()], names=["doc_id", "held_out", "turn", *made])
