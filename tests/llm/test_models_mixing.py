@@ -118,6 +118,29 @@ def test_fill_comes_as_near_as_sizes_allow():
         assert size[got].sum() == max(s for s in sums if s <= room) and not got[size == 0].any()
 
 
+def test_fill_is_bounded_for_long_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    size = np.minimum(np.exp(rng.normal(9, 2, 1024)).astype(np.int64), 200_000)
+    for share in (0.1, 0.5, 0.9):
+        room = float(size.sum() * share)
+        got = mixing.fill(size, rng.permutation(1024), room)
+        assert 0 <= room - size[got].sum() <= 1e-3 * room
+    monkeypatch.setattr(mixing, "MOST_BITS", 32)
+    for _ in range(50):
+        size = rng.integers(0, 5_000, 40)
+        room = float(rng.uniform(0, size.sum() + 1))
+        got = mixing.fill(size, rng.permutation(40), room)
+        assert size[got].sum() <= room and not got[size == 0].any() and not (size[~got & (size > 0)] <= room - size[got].sum()).any()
+
+
+def test_mix_deals_rows_without_an_id(docs):
+    same = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    digest = mixing.staged(mixing.sized(same).select("doc_id", "size", mixing.SOURCE, mixing.CONTENT).withColumn("_row", F.monotonically_increasing_id()))
+    rows, _ = mixing.plan(digest, shards=4, block_rows=8)
+    lost = rows.where("doc_id is null").groupBy(mixing.SOURCE, "_block").count()
+    assert lost.agg(F.max("count")).first()[0] <= 16 and lost.count() > 4
+
+
 def test_mix_edges(odd, empty):
     got = mixing.mixed(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 2 * r.size for r in got)

@@ -137,6 +137,22 @@ def test_fertility_rejects_what_leaves_its_band(spark, docs, odd, empty):
     assert fertility.judged(empty).count() == 0 and fertility.keep_good(odd).columns == odd.columns
 
 
+def test_fertility_decides_on_rows(docs):
+    named = fertility.judged(docs).collect()
+    want = sorted(r.doc_id for r in named if r.kept)
+    # a third of the rows lack an id, the others share few; n_chars tells them apart here
+    mixed = docs.withColumn("n_chars", F.col("doc_id").cast("long")).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5))
+    kept = fertility.keep_good(mixed)
+    assert sorted(r.n_chars for r in kept.collect()) == want and 0 < len(want) < len(named) and kept.columns == docs.columns
+
+
+def test_fertility_language_named_like_a_script(docs):
+    with_null = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    apart = fertility.judged(with_null.withColumn("lang", F.when(F.col("lang").isNotNull(), "elsewhere")))
+    alike = fertility.judged(with_null.withColumn("lang", F.when(F.col("lang").isNotNull(), "latin")))
+    assert {(r.doc_id, r.kept) for r in apart.collect()} == {(r.doc_id, r.kept) for r in alike.collect()}
+
+
 def test_long_clean_texts_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en'").limit(1400)
     vocabulary = fertility.Vocabulary(fertility.public_tokenizers.path(fertility.VOCABULARY), fertility.public_tokenizers.path(fertility.PIECES))
