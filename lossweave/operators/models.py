@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -362,6 +362,30 @@ def boosted_trees(train: DataFrame, numeric: Sequence[str], seed: int, categoric
     return Pipeline(stages=stages).fit(rows)
 
 
+def stopped_trees(train: DataFrame, validation: DataFrame, numeric: Sequence[str], seed: int, categorical: Sequence[str] = ("loan_type", "size_band", "age_group"),
+                  limit: int = 200, depth: int = 4, tolerance: float = 1e-3):
+    """Boosted trees that stop on later rows; returns the model and its number of rounds.
+
+    Medians and categories come from training rows alone. Boosting ends when a round lowers the loss on the validation rows by less
+    than ``tolerance``, relative to that loss, or at ``limit``; trees after the best round are cut off, so what remains is the
+    fit of the training rows at the chosen number of rounds. ``boosted_trees(rounds=...)`` repeats it on other rows.
+    """
+    lacking = sorted({*numeric, *categorical} - (set(train.columns) & set(validation.columns)))
+    if lacking:
+        raise ValueError(f"training or validation rows lack {', '.join(lacking)}")
+    inputs = [F.col("Y").cast("double").alias("label"), *numeric, *categorical]
+    rows = staged(train.select(*inputs, F.lit(False).alias("_later")).unionByName(validation.select(*inputs, F.lit(True).alias("_later"))))
+    shape = Pipeline(stages=[
+        Imputer(inputCols=list(numeric), outputCols=[f"_n_{c}" for c in numeric], strategy="median"),
+        StringIndexer(inputCols=list(categorical), outputCols=[f"_c_{c}" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
+        VectorAssembler(inputCols=[f"_n_{c}" for c in numeric] + [f"_c_{c}" for c in categorical], outputCol="features"),
+    ]).fit(rows.where("not _later"))
+    trees = GBTClassifier(labelCol="label", maxDepth=depth, maxIter=limit, stepSize=0.1, minInstancesPerNode=50, subsamplingRate=0.8,
+                          featureSubsetStrategy="all", seed=seed, validationIndicatorCol="_later", validationTol=tolerance)
+    model = trees.fit(staged(shape.transform(rows).select("label", "features", "_later")))
+    return PipelineModel([*shape.stages, model]), model.getNumTrees
+
+
 def tree_scores(model, df: DataFrame, name: str = "p") -> DataFrame:
     scored = model.transform(df.withColumn("label", F.lit(0.0)))
     extra = [c for c in scored.columns if c not in df.columns and c != "probability"]

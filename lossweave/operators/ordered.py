@@ -15,9 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import BROADCAST_ROWS, lookup_join, staged
 
 SAMPLE_PER_BUCKET = 16
+CUTS = 64
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -113,16 +114,58 @@ def kth_key(df: DataFrame, order: Sequence[str], k: int, small: int = 10_000) ->
             return tuple(rest.select(*order).orderBy(*order).limit(k).agg(F.max(key)).first()[0])
 
 
-def lowest_fraction(df: DataFrame, order: Sequence[str], fraction: float) -> DataFrame:
-    """Exactly ``floor(fraction * n)`` rows, lowest in ``order`` first; ``order`` must identify rows.
+def boundary_keys(df: DataFrame, order: Sequence[str], fraction: float, by: Sequence[str], small: int = 10_000) -> DataFrame:
+    """``(_g, _last)``: for every group the key of its ``floor(fraction * n)``-th row; groups with no such row are left out.
 
-    Once the boundary key is known, acceptance is a filter: no sort and no shuffle of the table.
+    All groups are narrowed down together. A round draws a bounded sample of keys from each group that is still large, counts
+    the intervals between them and keeps one interval a group, so the number of passes follows the largest group and not
+    the number of groups. Keys equal to a cut are an interval of their own. Only keys are written; nulls in ``by`` are a group.
     """
-    df = staged(df)
-    k = math.floor(fraction * df.count())
+    rest = staged(df.select(F.struct(*[F.col(c) for c in by]).alias("_g"), F.struct(*order).alias("_k")))
+    sizes = rest.groupBy("_g").agg(F.count("*").alias("_n"))
+    wanted = staged(sizes.select("_g", F.floor(F.lit(float(fraction)) * F.col("_n")).alias("_want")).where("_want > 0"))
+    rest, turn, most = rest.join(wanted.select("_g"), "_g", "left_semi"), 0, BROADCAST_ROWS // CUTS
+    run = F.sum("count").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+
+    def holding(counts: DataFrame) -> DataFrame:
+        """The interval of each group that holds the wanted row, and the position of the row inside it."""
+        placed = counts.withColumn("_run", run).join(wanted, "_g")
+        return placed.where("_run >= _want and _run - count < _want").select("_g", "_b", (F.col("_want") - F.col("_run") + F.col("count")).alias("_want"))
+
+    while True:
+        ends = rest.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+        large = staged(ends.where((F.col("_n") > small) & (F.col("_lo") < F.col("_hi"))).select("_g", "_n"))
+        if large.isEmpty():
+            break
+        share = F.lit(float(SAMPLE_PER_BUCKET * CUTS)) / F.col("_n")
+        drawn = lookup_join(rest, large, ["_g"], "inner").where(F.pmod(F.xxhash64(F.lit(turn), "_k"), F.lit(1 << 30)) < share * float(1 << 30))
+        pool = drawn.groupBy("_g").agg(F.sort_array(F.collect_set("_k")).alias("_s"))
+        step = F.greatest(F.ceil(F.size("_s") / CUTS).cast("int"), F.lit(1))
+        cuts = pool.select("_g", F.filter("_s", lambda _, i: i % step == 0).alias("_c"))
+        marked = lookup_join(rest, cuts, ["_g"], "left", most)
+        spot = F.size(F.filter("_c", lambda c: c < F.col("_k"))) + F.size(F.filter("_c", lambda c: c <= F.col("_k")))
+        marked = marked.select("_g", "_k", F.when(F.col("_c").isNull(), 0).otherwise(spot).alias("_b"))
+        kept = staged(holding(marked.groupBy("_g", "_b").count()))
+        rest = staged(lookup_join(marked, kept.select("_g", "_b"), ["_g", "_b"], "inner").select("_g", "_k"))
+        wanted, turn = kept.select("_g", "_want"), turn + 1
+    return holding(rest.groupBy("_g", F.col("_k").alias("_b")).count()).select("_g", F.col("_b").alias("_last"))
+
+
+def lowest_fraction(df: DataFrame, order: Sequence[str], fraction: float, by: Sequence[str] = (), small: int = 10_000) -> DataFrame:
+    """Exactly ``floor(fraction * n)`` rows, of the table or of every group, lowest in ``order`` first; ``order`` must identify rows.
+
+    Once the boundary key is known, acceptance is a filter: no sort and no shuffle of the table. ``df`` is read twice, for its
+    keys and for the result, so it should come from a written table.
+    """
+    if by:
+        group = F.struct(*[F.col(c) for c in by])
+        marked = lookup_join(df.withColumn("_g", group), boundary_keys(df, order, fraction, by, small), ["_g"], "inner")
+        return marked.where(F.struct(*order) <= F.col("_last")).select(*df.columns)
+    keys = staged(df.select(*order))
+    k = math.floor(fraction * keys.count())
     if k == 0:
         return df.where(F.lit(False))
-    last = kth_key(df, order, k)
+    last = kth_key(keys, order, k, small)
     return df.where((F.col(order[0]) <= F.lit(last[0])) & (F.struct(*order) <= _literal(last, order)))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attempts, bootstrap, models
+from ..config import CATEGORICAL, NUMERIC
+from ..operators import attempts, bootstrap, elastic, models
 from ..operators.design import Design, fit_design
 from ..session import scratch_path
 from .bindings import TEST
@@ -76,6 +77,28 @@ def boosted_trees(spark, sf):
     return scored_rows.groupBy("role").agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("Y").alias("recorded_rate"))
 
 
+@query("g03b_elastic_net_path")
+def elastic_net_path(spark, sf):
+    """The full grid of 10 strengths and 5 ratios on all inputs, and the loss of each setting on the tuning years."""
+    rows = loans(spark, sf)
+    train, tune = rows.where("role = 'train'"), rows.where("role = 'tune'")
+    design = fit_design(train, list(NUMERIC), list(CATEGORICAL), TEST.pooling_threshold)
+    carried = [F.col("ProjectState").alias("state"), "Y"]
+    data, later = (models.LogitData(design.rows(part, carried), len(design.columns)) for part in (train, tune))
+    strengths = [10.0 ** (-4 + 6 * k / 9) for k in range(10)]
+    return elastic.selected_path(spark, data, later, elastic.grid(strengths, [0, 0.25, 0.5, 0.75, 1]))[0]
+
+
+@query("g04b_stopped_trees")
+def stopped_trees(spark, sf):
+    rows = loans(spark, sf)
+    model, rounds = models.stopped_trees(rows.where("role = 'train'"), rows.where("role = 'tune'"), _NUM, TEST.seed, limit=60)
+    later = models.tree_scores(model, rows.where("role in ('crisis', 'oot')"))
+    return later.groupBy("role").agg(
+        F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("Y").alias("recorded_rate"), F.lit(rounds).alias("rounds"), F.lit(60).alias("limit")
+    )
+
+
 @query("g05_sigmoid_calibration")
 def sigmoid_calibration(spark, sf):
     rows = scored(spark, sf)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -201,8 +200,8 @@ def acceptance_diagnostic(spark, sf):
     rows = scored(spark, sf)
     severity = loss.severity_table(rows.where("role = 'train'"), TEST)
     needed = rows.select("role", "p", "row_id", "Y", "guarantee_share", "GrossApproval", "loan_type", "size_band")
-    accepted = [ordered.lowest_fraction(needed.where(F.col("role") == c), ["p", "row_id"], TEST.accept_fraction) for c in ("crisis", "oot")]
-    out = loss.accepted_summary(reduce(lambda a, b: a.unionByName(b), accepted), severity, keys=["role"])
+    accepted = ordered.lowest_fraction(needed.where(LATER), ["p", "row_id"], TEST.accept_fraction, by=["role"])
+    out = loss.accepted_summary(accepted, severity, keys=["role"])
     return _rounded(_rounded(out, 6, "recorded_rate", "mean_pd"), 2, "exposure", "expected_loss", "sponsor_loss", "lender_loss")
 
 

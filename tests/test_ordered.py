@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lossweave.operators import design, drift, metrics, ordered
+from lossweave.session import staged
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,30 @@ def test_lowest_fraction_breaks_ties_by_id(skewed):
         assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("small", [5, 300, 10_000])
+def test_lowest_fraction_of_all_groups_at_once(spark, skewed, small):
+    pdf, df = skewed
+    rare = spark.createDataFrame([("r:1", 0.9, 1, None), ("r:2", 0.1, 0, None), ("r:3", 0.1, 0, None), ("q:1", 0.3, 0, "one")], "row_id string, p double, Y long, g string")
+    rows = df.select("row_id", "p", "Y", "g").unionByName(rare)
+    got = ordered.lowest_fraction(rows, ["p", "row_id"], 0.7, by=["g"], small=small).toPandas()
+    for g, part in rows.toPandas().groupby("g", dropna=False):
+        want = part.sort_values(["p", "row_id"]).row_id[: int(np.floor(0.7 * len(part)))]
+        mine = got[got.g.isna()] if pd.isna(g) else got[got.g == g]
+        assert sorted(mine.row_id) == sorted(want)
+    assert ordered.lowest_fraction(rows.where("false"), ["p", "row_id"], 0.7, by=["g"]).count() == 0
+
+
+def test_passes_do_not_depend_on_the_number_of_groups(spark, monkeypatch):
+    def writes(groups):
+        rows = spark.range(24_000).select(F.concat(F.lit("i"), F.col("id")).alias("row_id"), (F.col("id") * 7919 % 9973).cast("double").alias("p"), (F.col("id") % groups).alias("g"))
+        seen = []
+        monkeypatch.setattr(ordered, "staged", lambda d: seen.append(1) or staged(d))
+        assert ordered.lowest_fraction(rows, ["p", "row_id"], 0.5, by=["g"], small=200).count() == 12_000
+        return len(seen)
+
+    assert writes(40) <= writes(2)
+
+
 def test_kth_key_refines_below_its_threshold(skewed):
     pdf, df = skewed
     keys = list(pdf.sort_values(["p", "row_id"])[["p", "row_id"]].itertuples(index=False, name=None))

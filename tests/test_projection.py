@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -61,3 +62,18 @@ def test_incomplete_scenarios_are_refused(spark):
 def test_trees_refuse_a_table_without_an_input(spark):
     with pytest.raises(ValueError, match="lack u0"):
         models.boosted_trees(inputs.loans(spark, SF_DIR), ["log_approval", "u0"], 1)
+
+
+def test_trees_stop_on_later_rows(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=2400), rng.normal(size=2400)
+    y = (rng.random(2400) < np.where(x > 0, 0.8, 0.2)).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"x": x, "z": np.where(z > 1.5, np.nan, z), "Y": y, "kind": rng.choice(["a", "b"], 2400), "later": np.arange(2400) >= 1600}))
+    train, later = rows.where("not later"), rows.where("later").withColumn("kind", F.lit("unseen"))
+    model, rounds = models.stopped_trees(train, later, ["x", "z"], 1, ["kind"], limit=80, depth=2)
+    assert 1 <= rounds < 80 and len(model.stages[-1].trees) == rounds
+    fixed = models.boosted_trees(train, ["x", "z"], 1, ["kind"], rounds=rounds, depth=2)
+    a, b = (models.tree_scores(m, later).agg(F.avg("p")).first()[0] for m in (model, fixed))
+    assert abs(a - b) < 0.02
+    with pytest.raises(ValueError, match="lack"):
+        models.stopped_trees(train, later.drop("z"), ["x", "z"], 1, ["kind"])
