@@ -94,6 +94,26 @@ def claims(table: DataFrame, cells: Cells) -> DataFrame:
     return grouped.withColumn("source", unique).select(*named.columns)
 
 
+def source_digest(table: DataFrame) -> DataFrame:
+    """One row ``digest`` for the content of a table: column names, and rows in any order, repeats counted.
+
+    Every cell carries its length, so no two rows read alike; row hashes are added up, each as four 32-bit numbers. Numbers that
+    were summed in another order may differ in the last digit, so digest a written table. An empty table has a digest too.
+    """
+    names = sorted(table.columns)
+    cells = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in names]
+    rows = table.select(F.md5(F.concat_ws(",", *cells)).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(4)]
+    totals = rows.agg(F.count("*").alias("n"), *parts)
+    seal = F.concat_ws("/", F.lit("|".join(names)), F.col("n"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(4)])
+    return totals.select(F.sha2(seal, 256).alias("digest"))
+
+
+def sealed_claims(table: DataFrame, cells: Cells) -> DataFrame:
+    """Claims of a written table together with the digest of the table they were read from."""
+    return claims(table, cells).withColumn("source_digest", source_digest(table).scalar())
+
+
 def typed_scalar(raw: Column) -> Column:
     """Kind and number of a raw cell: blank is null, non-finite stays text, whole numbers are integers."""
     number = F.nullif(raw, F.lit("")).try_cast("double")
@@ -116,24 +136,60 @@ def derived(claims_table: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def verification(published: DataFrame, source: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Counts of published claims against freshly unpivoted sources: verified, missing, altered, repeated."""
-    fresh = source.select("id", F.col("value").alias("_v"), F.col("lower").alias("_lo"), F.col("upper").alias("_hi"), F.col("unit").alias("_u"), F.lit(True).alias("_found"))
-    counted = published.groupBy("id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("value", "lower", "upper", "unit")])
-    rows = counted.join(fresh, "id", "left")
+    """Counts of published claims against freshly unpivoted sources: verified, missing, altered, repeated.
 
-    def same(a: str, b: str) -> Column:
-        return F.col(a).eqNullSafe(F.col(b)) | holds(F.abs(F.col(a) - F.col(b)) <= tolerance)
-
-    found, value = holds(F.col("_found")), same("value", "_v")
-    bounds, unit = same("lower", "_lo") & same("upper", "_hi"), F.col("unit").eqNullSafe(F.col("_u"))
+    If both sides carry a ``source_digest``, a claim read from another state of its table counts under ``digest_mismatch``.
+    A claim published twice in different words is held against its source in each of its words.
+    """
+    sealed = "source_digest" in published.columns and "source_digest" in source.columns
+    compared = ["value", "lower", "upper", "unit", *(["source_digest"] if sealed else [])]
+    fresh = source.select("id", F.struct(*compared).alias("_s"), F.lit(True).alias("_found"))
+    said = published.groupBy("id").agg(F.count("*").alias("_n"), F.collect_set(F.struct(*compared)).alias("_p"))
+    rows = said.join(fresh, "id", "left")
+
+    def same(field: str) -> Column:
+        def one(p: Column) -> Column:
+            near = holds(F.abs(p[field] - F.col("_s")[field]) <= tolerance) if field in ("value", "lower", "upper") else F.lit(False)
+            return p[field].eqNullSafe(F.col("_s")[field]) | near
+
+        return F.forall("_p", one)
+
+    found, value = holds(F.col("_found")), same("value")
+    bounds, unit = same("lower") & same("upper"), same("unit")
+    seal = same("source_digest") if sealed else F.lit(True)
     checks = {
-        "claims": F.lit(True), "verified": found & value & bounds & unit & (F.col("_n") == 1), "missing_source": ~found,
+        "claims": F.lit(True), "verified": found & value & bounds & unit & seal & (F.col("_n") == 1), "missing_source": ~found,
         "value_mismatch": found & ~value, "interval_mismatch": found & ~bounds, "unit_mismatch": found & ~unit, "repeated_id": F.col("_n") > 1,
     }
+    if sealed:
+        checks["digest_mismatch"] = found & ~seal
     wide = rows.agg(*[count_where(c).alias(n) for n, c in checks.items()])
     return stacked(wide, [], ["check", "n"], [(n, F.col(n)) for n in checks])
 
 
+def closures(claims_table: DataFrame, levels: str, changes: str, tolerance: float = 1e-5) -> DataFrame:
+    """``(check, n)`` over projection claims of source ``levels``: groups whose two parts miss the total by more than
+    ``tolerance``, and claims of source ``changes`` that are not adverse minus baseline. A missing cell counts as a miss."""
+    key = F.col("selector")
+    cells = claims_table.where(F.col("column") == "value").select(
+        "source", *[key[k].alias(k) for k in ("scenario", "lgd_variant", "group_name", "group_value", "metric")], "value"
+    ).distinct()
+    at = cells.where(F.col("source") == levels)
+    metric = {m: F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("expected_loss", "sponsor_loss", "lender_loss")}
+    sums = at.groupBy("scenario", "lgd_variant", "group_name", "group_value").agg(*metric.values())
+    shut = holds(F.abs(F.col("expected_loss") - F.col("sponsor_loss") - F.col("lender_loss")) <= tolerance)
+    primary = at.where(F.col("lgd_variant") == "primary").where(F.col("metric").isin(*metric))
+    pair = primary.groupBy("group_name", "group_value", F.concat("metric", F.lit("_change")).alias("metric")).agg(
+        *[F.max(F.when(F.col("scenario") == s, F.col("value"))).alias(s) for s in ("adverse", "baseline")]
+    )
+    moved = cells.where((F.col("source") == changes) & F.col("metric").isin(*[f"{m}_change" for m in metric])).select("group_name", "group_value", "metric", "value")
+    equal = holds(F.abs(F.col("adverse") - F.col("baseline") - F.col("value")) <= tolerance)
+    both = pair.join(moved, ["group_name", "group_value", "metric"], "full")
+    return sums.agg(count_where(~shut).alias("n")).select(F.lit("open_allocations").alias("check"), "n").unionByName(
+        both.agg(count_where(~equal).alias("n")).select(F.lit("unequal_changes").alias("check"), "n")
+    )
+
+
 def allocation_identities(projection: DataFrame, keys: Sequence[str], tolerance: float = 1e-5) -> DataFrame:
     """Groups whose parts fail to add up to the total."""
     wide = pivoted(projection, keys, ["expected_loss", "sponsor_loss", "lender_loss"])

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import accounting, comparison, profile, registry, textscan
+from ..operators import accounting, comparison, loss, profile, registry, textscan
 from ..session import staged
 from .bindings import snapshot, table
 from .catalog import query
 from .inputs import loans, scored
 from .oracle_base import with_tables
-from .queries_panels import DRAW_SQL, draw_schedule
-from .queries_results import PROJECTION_SQL, projection
+from .queries_panels import _DRAW_RATES, DRAW_SQL, draw_means, draw_schedule
+from .queries_results import LATER, PROJECTION_SQL, projection
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
@@ -137,6 +137,87 @@ def registry_verification(spark, sf):
     return report.where(~F.col("check").isin("interval_mismatch", "repeated_id"))
 
 
+_CELL = ("scenario", "lgd_variant", "group_name", "group_value", "metric")
+_LEVELS, _CHANGES = registry.Cells("stress", _CELL, ("value",)), registry.Cells("stress_change", _CELL, ("value",))
+_BOUNDED = registry.Cells("intervals", ("role", "variant"), ("value", "effective_draws"), "lower", "upper")
+
+
+def sealed_registry(spark, sf):
+    """Projection levels, their changes and drawn intervals as claims with bounds, each with the digest of its written table."""
+    levels = staged(projection(spark, sf))
+    change = loss.scenario_difference(levels).select(F.lit("adverse_minus_baseline").alias("scenario"), F.lit("primary").alias("lgd_variant"), "*")
+    point = scored(spark, sf).where(LATER).groupBy("role").agg(F.avg("p").alias("with_rate"), F.avg("Y").alias("recorded"))
+    drawn = comparison.combine(point.unpivot(["role"], ["with_rate", "recorded"], "variant", "value"), staged(draw_means(spark, sf)), ["role", "variant"], attempted=40)
+    parts = [registry.sealed_claims(t, c) for t, c in ((levels, _LEVELS), (staged(change), _CHANGES), (staged(drawn), _BOUNDED))]
+    return staged(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def _sealed_sql() -> str:
+    def cell(source, keys, column, origin, unit, shown, bounds="null::double as lower, null::double as upper"):
+        text = " || '|' || ".join(f"'{k}=' || cast({k} as varchar)" for k in keys)
+        return (f"select '{source}' as source, {text} as selector_text, '{column}' as column_name, cast({column} as double) as value, {bounds}, {unit} as unit, "
+                + ", ".join(f"{k if shown else 'null'} as {k}" for k in _CELL) + f" from {origin}")
+
+    money = "when metric like '%expected_loss%' or metric like '%sponsor_loss%' or metric like '%lender_loss%' then 'USD'"
+    parts = [
+        cell("stress", _CELL, "value", "proj", f"case {money} else 'fraction' end", True),
+        cell("stress_change", _CELL, "value", "dif", f"case {money} when metric = 'pd_change_pp' then 'probability percentage points' else 'fraction' end", True),
+        cell("intervals", ("role", "variant"), "value", "iv", f"'{registry.OTHER_UNIT}'", False, "lower, upper"),
+        cell("intervals", ("role", "variant"), "effective_draws", "iv", "'count'", False, "lower, upper"),
+    ]
+    return (
+        with_tables("scored", "scenario") + f", {PROJECTION_SQL}, {DRAW_SQL}, dr as ({_DRAW_RATES}), "
+        f"pt as (select 'with_rate' as variant, role, avg(p) as value from scored where {LATER} group by 2 union all select 'recorded', role, avg(Y) from scored where {LATER} group by 2), "
+        "iv as (select pt.role, pt.variant, pt.value, quantile_cont(dr.value, 0.025) as lower, quantile_cont(dr.value, 0.975) as upper, count(dr.value) as effective_draws "
+        "from pt join dr on pt.role = dr.role and pt.variant = dr.variant group by pt.role, pt.variant, pt.value), "
+        "dif as (select 'adverse_minus_baseline' as scenario, 'primary' as lgd_variant, a.group_name, a.group_value, case when a.metric = 'pd' then 'pd_change_pp' else a.metric || '_change' end as metric, "
+        "(a.value - b.value) * case when a.metric = 'pd' then 100 else 1 end as value from proj a join proj b using (group_name, group_value, metric) "
+        "where a.scenario = 'adverse' and b.scenario = 'baseline' and a.lgd_variant = 'primary' and b.lgd_variant = 'primary'), "
+        "cl0 as (" + " union all ".join(parts) + "), cl as (select 'N' || left(sha256(source || chr(10) || selector_text || chr(10) || column_name), 14) as id, * from cl0) "
+    )
+
+
+_SEALED_SQL = _sealed_sql()
+
+
+@query("i01b_claims_with_bounds", _SEALED_SQL + f"select id, source, selector_text, column_name, {_ROUND} as value, round(lower, 6) as lower, round(upper, 6) as upper, unit from cl")
+def claims_with_bounds(spark, sf):
+    value = F.when(F.col("unit") == "USD", F.round("value", 2)).otherwise(F.round("value", 6))
+    return sealed_registry(spark, sf).select(
+        "id", "source", "selector_text", F.col("column").alias("column_name"), value.alias("value"), F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "unit"
+    )
+
+
+@query(
+    "i05b_sealed_registry",
+    _SEALED_SQL + """, tg as (select *, left(id, 2) as tag, source = 'intervals' and selector_text like 'role=oot|%' and column_name = 'value' as bent,
+      source = 'stress_change' and left(id, 2) = 'Nb' as stale, value + case when left(id, 2) = 'N1' then 1000 else 0 end as v from cl),
+    sums as (select scenario, lgd_variant, group_name, group_value, max(v) filter (metric = 'expected_loss') as t, max(v) filter (metric = 'sponsor_loss') as s,
+      max(v) filter (metric = 'lender_loss') as l from tg where source = 'stress' group by 1, 2, 3, 4),
+    prs as (select group_name, group_value, metric || '_change' as metric, max(v) filter (scenario = 'adverse') as a, max(v) filter (scenario = 'baseline') as b
+      from tg where source = 'stress' and lgd_variant = 'primary' and metric in ('expected_loss', 'sponsor_loss', 'lender_loss') group by 1, 2, 3)
+    select 'claims' as "check", count(*) as n from tg union all select 'verified', count(*) filter (tag not in ('N0', 'N1', 'Na', 'Nc') and not bent and not stale) from tg
+    union all select 'missing_source', count(*) filter (tag = 'N0') from tg union all select 'value_mismatch', count(*) filter (tag = 'N1') from tg
+    union all select 'interval_mismatch', count(*) filter (bent and tag <> 'N0') from tg union all select 'unit_mismatch', count(*) filter (tag = 'Na') from tg
+    union all select 'repeated_id', count(*) filter (tag = 'Nc') from tg union all select 'digest_mismatch', count(*) filter (stale) from tg
+    union all select 'open_allocations', count(*) filter (not coalesce(abs(t - s - l) <= 0.01, false)) from sums
+    union all select 'unequal_changes', count(*) filter (not coalesce(abs(prs.a - prs.b - c.v) <= 0.01, false)) from prs full join
+      (select group_name, group_value, metric, v from tg where source = 'stress_change' and metric in ('expected_loss_change', 'sponsor_loss_change', 'lender_loss_change')) c using (group_name, group_value, metric)""",
+)
+def sealed_verification(spark, sf):
+    """A registry with a planted fault of each kind; every check must count exactly its own."""
+    source = sealed_registry(spark, sf)
+    tag = F.substring("id", 1, 2)
+    bent = (F.col("source") == "intervals") & F.col("selector_text").startswith("role=oot|") & (F.col("column") == "value")
+    published = source.withColumns({
+        "value": F.when(tag == "N1", F.col("value") + 1000).otherwise(F.col("value")), "unit": F.when(tag == "Na", "wrong").otherwise(F.col("unit")),
+        "lower": F.when(bent, F.col("lower") + 0.5).otherwise(F.col("lower")),
+        "source_digest": F.when((F.col("source") == "stress_change") & (tag == "Nb"), "stale").otherwise(F.col("source_digest")),
+    })
+    published = published.unionByName(published.where(tag == "Nc"))
+    return registry.verification(published, source.where(tag != "N0")).unionByName(registry.closures(published, "stress", "stress_change", 0.01))
+
+
 _WIDE = ("pd", "expected_loss", "sponsor_loss", "lender_loss", "loss_rate")
 
 

@@ -123,6 +123,46 @@ def test_claims_verify_and_tampering_fails(spark):
         registry.claims(stress(spark).union(stress(spark)), CELLS).collect()
 
 
+def test_source_digest_sees_content_and_not_order(spark):
+    def digest(df):
+        return registry.source_digest(df).first().digest
+
+    whole = digest(stress(spark))
+    assert whole == digest(stress(spark).orderBy(F.desc("metric")).repartition(3)) == digest(stress(spark).select(*reversed(stress(spark).columns)))
+    others = [stress(spark).withColumn("value", F.col("value") + 1), stress(spark).where("metric <> 'pd'"), stress(spark).union(stress(spark)), stress(spark).limit(0),
+              stress(spark).withColumn("lower", F.coalesce("lower", F.lit(0.0))), stress(spark).withColumnRenamed("lower", "low")]
+    assert len({whole, *map(digest, others)}) == 1 + len(others)
+    pairs = [("a", "b,1:c"), ("a,1:b", "c"), (None, "-"), ("-", None), ("", None), (None, "")]
+    assert len({digest(spark.createDataFrame([p], "x string, y string")) for p in pairs}) == len(pairs)
+
+
+def test_a_changed_table_unseals_its_claims(spark):
+    published = registry.sealed_claims(stress(spark), CELLS)
+    registry.require_verified(registry.verification(published, registry.sealed_claims(stress(spark), CELLS)))
+    longer = stress(spark).union(spark.createDataFrame([("adverse", "lgd", 0.3, 5, None, None)], STRESS))
+    report = {r["check"]: r["n"] for r in registry.verification(published, registry.sealed_claims(longer, CELLS)).collect()}
+    assert (report["claims"], report["digest_mismatch"], report["verified"], report["value_mismatch"]) == (6, 6, 0, 0)
+    twice = {r["check"]: r["n"] for r in registry.verification(published.union(published.withColumn("value", F.col("value") + 1)), published).collect()}
+    assert (twice["repeated_id"], twice["value_mismatch"], twice["verified"]) == (6, 6, 0)
+
+
+def test_closures_count_open_groups_and_unequal_changes(spark):
+    keys = ("scenario", "lgd_variant", "group_name", "group_value", "metric")
+    schema = ", ".join(f"{k} string" for k in keys) + ", value double"
+    metrics_ = {"expected_loss": 10.0, "sponsor_loss": 6.0, "lender_loss": 4.0}
+    levels = [(s, "primary", "overall", g, m, v * k) for s, k in (("baseline", 1), ("adverse", 2)) for g in "ab" for m, v in metrics_.items()]
+    changes = [("d", "primary", "overall", g, f"{m}_change", v) for g in "ab" for m, v in metrics_.items()]
+
+    def report(lv, ch):
+        both = [registry.claims(spark.createDataFrame(rows, schema), registry.Cells(name, keys, ("value",))) for name, rows in (("x", lv), ("y", ch))]
+        return {r["check"]: r["n"] for r in registry.closures(both[0].unionByName(both[1]), "x", "y").collect()}
+
+    assert report(levels, changes) == {"open_allocations": 0, "unequal_changes": 0}
+    assert report([(*levels[0][:5], 11.0), *levels[1:]], changes) == {"open_allocations": 1, "unequal_changes": 1}
+    assert report(levels, changes[1:]) == {"open_allocations": 0, "unequal_changes": 1}
+    assert report(levels[1:], changes) == {"open_allocations": 1, "unequal_changes": 1}
+
+
 def test_derived_claims_and_single_selection(spark):
     claims = registry.claims(stress(spark), CELLS).where(F.col("column") == "value")
     ids = {r.selector["metric"]: r.id for r in claims.collect()}
