@@ -5,15 +5,21 @@ is hash-joined to the digests of known licence texts, which go through the same
 are matched, as the method asks; short standard notices that stand on a line of their own are looked
 up the same way, so that a document which carries a notice is reported too.
 
-Null and empty texts have the digest of the empty text and match nothing; repeated rows are reported
-alike; an empty table gives an empty result; further columns are ignored.
+``scanned`` takes further known texts as a table ``(license, text)`` of any size; ``license_files`` makes one of a folder. A text known
+under several names is reported under all of them. A line is a copyright line if it starts with the word or sign, unless the word goes on as in
+"copyright notice" or "copyright holders", where a wrapped sentence may have put it.
+
+Null and empty texts have the digest of the empty text and match nothing; repeated rows are reported alike; an empty table gives an
+empty result; very long texts and lines are normalised whole, inside the JVM; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossweave.session import lookup_join
+
 from .common import text_of
 
 # Equivalent spellings, each (pattern, replacement), in the order in which they are applied.
@@ -28,7 +34,7 @@ SPELLINGS = (
     ("per cent", "percent"),
     ("https", "http"),
 )
-COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"(?m)^[ \t]*(copyright\b(?![ \t]+(?:notices?|holders?|owners?|laws?|and|or|licen[cs]es?)\b)|\(c\)|©)[^\n]*$"
 
 # Public licence texts and standard notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -65,25 +71,30 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark) -> DataFrame:
-    """(digest, license) of the known texts, made by the same expressions; unique by digest."""
+def license_files(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text) of the files of a folder that all executors can read, named by the files."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("license"), F.col("value").alias("text"))
+
+
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """(digest, license) of the built-in texts and those of ``known``, made by the same expressions; each digest once."""
     rows = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").distinct()
+    if known is not None:
+        rows = rows.unionByName(known.select("license", "text"))
+    named = rows.select(digest(F.col("text")).alias("digest"), "license").where(F.col("digest") != digest(F.lit("")))
+    return named.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("license"))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, canonical_sha256, license (of the entire text, else null) and notices (licences of whole lines, sorted).
 
-    The known table is a fixed list, so it is broadcast. Lines are looked up only where they are no longer
-    than the longest known notice, and only matching ones are gathered, inside their own row.
+    The table of known texts is counted and broadcast only within the bound of ``lookup_join``. Lines are looked up in the built-in list,
+    which is short and fixed, inside their own row, whatever their length.
     """
     spark = docs.sparkSession
-    known = F.broadcast(known_digests(spark))
-    notices = {r.digest: r.license for r in known_digests(spark).collect()}
-    by_digest = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
-    longest = max(len(text) for _, text in KNOWN if "\n" not in text and len(text) < 200) + 40
-    marked = F.regexp_extract_all(F.lower(text_of()), F.lit(rf"(?m)^[^\n]{{0,{longest}}}(?:licen[cs]e|rights reserved)[^\n]{{0,{longest}}}$"), F.lit(0))
+    by_digest = F.create_map(*[F.lit(x) for r in sorted(known_digests(spark).collect()) for x in r])
+    marked = F.regexp_extract_all(F.lower(text_of()), F.lit(r"(?m)^[^\n]*(?:licen[cs]e|rights reserved)[^\n]*$"), F.lit(0))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(marked, lambda x: F.try_element_at(by_digest, digest(x))), lambda x: x.isNotNull())))
     rows = docs.select("doc_id", digest(text_of()).alias("canonical_sha256"), found.alias("notices"))
-    matched = rows.join(known.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
+    matched = lookup_join(rows, known_digests(spark, known).withColumnRenamed("digest", "canonical_sha256"), ["canonical_sha256"])
     return matched.select("doc_id", "canonical_sha256", "license", F.array_join("notices", ",").alias("notices"))

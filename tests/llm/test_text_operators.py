@@ -1,5 +1,6 @@
 import hashlib
 import math
+import pathlib
 import re
 from collections import Counter
 
@@ -318,3 +319,30 @@ def test_license_digests(spark, odd, empty):
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scanned(frame).collect()}
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0")}
     assert licenses.scanned(odd).count() == odd.count() and licenses.scanned(empty).count() == 0
+
+
+def test_license_files_are_recognised_after_edits(spark, tmp_path):
+    wrapped = "Terms. The above\ncopyright notice stays.\nFavour the licence, the\nCOPYRIGHT HOLDERS say."
+    texts = {"One-1.0": wrapped, "Two-2.0": "Licence two.\n\nIt is long " + "and long " * 50_000, "Empty": ""}
+    system = pathlib.Path("/usr/share/common-licenses")
+    texts |= {p.name: p.read_text() for p in system.glob("*")} if system.is_dir() else {}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    known = licenses.license_files(spark, str(tmp_path))
+
+    def edited(text):
+        return "Copyright (c) 2001 A. Person\n© others\n" + text.upper().replace(",", " ; ").replace("LICENSE", "LICENCE").replace("\n", "\n  ")
+
+    rows = [(i, edited(text), name) for i, (name, text) in enumerate(texts.items())]
+    rows += [(1000, texts["Two-2.0"] + "more", None), (1001, None, None), (1002, " ".join(wrapped.split()), "One-1.0"), (1003, licenses.MIT, "MIT")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = {r.doc_id: r.license for r in licenses.scanned(docs, known).collect()}
+    assert len(got) == len(rows)
+    for i, _, name in rows:
+        assert got[i] is None if name in (None, "Empty") else name in (got[i] or "").split(","), (i, name)
+    assert licenses.scanned(docs.limit(0), known).count() == 0
+
+
+def test_notices_in_long_lines(spark):
+    frame = spark.createDataFrame([(1, "x\n" + "-" * 5_000 + " All rights reserved. " + "*" * 200_000), (2, "license " * 200_000)], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licenses.scanned(frame).collect()} == {1: "reserved", 2: ""}
