@@ -55,11 +55,16 @@ def test_penalised_score_vanishes_and_gradient_is_right(spark, sample):
     assert all(objective(fit.beta) >= objective(fit.beta + s * e * 1e3) for e in eye for s in (-1, 1))
 
 
-def test_separation_is_finite_when_penalised_and_reported_when_not(spark):
-    x = np.c_[np.ones(100), np.repeat([0.0, 1.0], 50)]
-    data = data_of(spark, x, x[:, 1], np.array(["a", "b"] * 50))
+def test_one_factor_fits_have_a_closed_form_also_where_a_level_is_pure(spark):
+    """With one dummy per level each fitted rate is (events + 1/2) / (rows + 1), whatever the other levels hold."""
+    rows, events = np.array([17, 42, 23]), np.array([0, 11, 23])
+    level = np.repeat(np.arange(3), rows)
+    y = np.concatenate([np.arange(n) < k for n, k in zip(rows, events)]).astype(float)
+    x = np.c_[np.ones(len(y)), level == 1, level == 2].astype(float)
+    data = data_of(spark, x, y, np.array(["u", "v", "w"])[np.arange(len(y)) % 3])
     fit = models.fit_penalised(data)[0]
-    assert fit.converged and sigma(fit.beta[0]) == pytest.approx(0.5 / 51, abs=1e-6)
+    assert fit.converged
+    np.testing.assert_allclose(sigma(fit.beta[0] + np.r_[0, fit.beta[1:]]), (events + 0.5) / (rows + 1), atol=1e-6)
     plain = models.fit_clustered(data)
     assert not plain.fit.converged and np.isnan(plain.covariance).all()
     with pytest.raises(ValueError):
