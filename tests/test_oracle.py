@@ -28,7 +28,7 @@ def test_query_matches_oracle(spark, cons, name):
 
 
 def test_registry_is_consistent():
-    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 119
+    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 123
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
