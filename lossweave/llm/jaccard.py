@@ -189,7 +189,8 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def sized(spots: DataFrame) -> DataFrame:
-    """key, node, size and leader of groups with several nodes. ``spots`` has each (key, node) once."""
+    """key, node, size and leader of groups with several nodes. ``spots`` has each (key, node) once; they are shuffled once for the count and the join."""
+    spots = spots.repartition("key")
     several = spots.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
     return staged(spots.join(several, "key"))
 
@@ -274,14 +275,28 @@ def recentred(large: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame,
     return staged(certain.select(*pair("node", "to")).distinct()), again.select(F.xxhash64("leader", "t").alias("key"), "node").distinct()
 
 
-def node_links(nodes: DataFrame, docs: DataFrame, rule: Rule, few: int) -> DataFrame | None:
-    """(node, root) of all linked nodes. ``nodes``: node, content, digest and keys, each set once."""
-    live = sized(nodes.select("node", F.explode("keys").alias("key"))).withColumn("root", F.col("node"))
+def led(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first node of each group of documents (doc_id, key) with its others."""
+    members = staged(groups.join(nodes.select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("key", "node").distinct())
+    leaders = members.groupBy("key").agg(F.min("node").alias("leader"))
+    return members.join(leaders, "key").where("node <> leader").select(*pair("node", "leader"))
+
+
+def node_links(nodes: DataFrame, keys: DataFrame, docs: DataFrame, rule: Rule, few: int, first: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of all linked nodes. ``nodes``: node, first_id, content and digest, each set once; ``keys``: node and its keys.
+
+    Candidates of another join come in as ``first``, groups (doc_id, key): they are tested first, and signatures whose sets
+    they bring into one component are not looked at again.
+    """
+    live = sized(keys.select("node", F.explode("keys").alias("key"))).withColumn("root", F.col("node"))
     if live.isEmpty():
         return None
     wanted = live.select("node").distinct()
     sets = staged(token_sets(docs, nodes.select("node", "content", "digest").join(wanted, "node", "left_semi"), rule))
     links, turn = Links(sets, rule), 0
+    if first is not None:
+        links.test(led(first, nodes))  # sets without a signature in common have no row in ``sets`` and drop out
+        live = links.mixed_groups(live)
     while not live.isEmpty():
         small, large = live.where(F.col("size") <= few), live.where((F.col("size") > few) & (F.col("node") != F.col("leader")))
         left, right = small.select("key", F.col("node").alias("x"), "root"), small.select("key", F.col("node").alias("y"), F.col("root").alias("other"))
@@ -299,11 +314,12 @@ def node_links(nodes: DataFrame, docs: DataFrame, rule: Rule, few: int) -> DataF
     return links.roots
 
 
-def components(docs: DataFrame, rule: Rule = Rule(), few: int | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that links lead to, of every row."""
+def components(docs: DataFrame, rule: Rule = Rule(), few: int | None = None, first: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that links lead to, of every row. ``first``: see ``node_links``."""
     prints = staged(with_signatures(docs, rule).withColumn("row", F.monotonically_increasing_id()))
-    nodes = staged(prints.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("content").alias("content"), F.first("keys").alias("keys")))
-    roots = node_links(nodes, docs, rule, few or rule.few)
+    nodes = staged(prints.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("content").alias("content")))
+    keys = prints.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi")  # signatures are written once, with the rows
+    roots = node_links(nodes, keys, docs, rule, few or rule.few, first)
     names = nodes.select("digest", "node", "first_id")
     if roots is None:
         named = names.withColumn("component_id", F.col("first_id"))

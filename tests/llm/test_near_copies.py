@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from lossweave.llm import nearcopies
+from lossweave.llm import jaccard, nearcopies
 
 
 def plain(text):
@@ -71,3 +71,19 @@ def test_rows_without_an_id_are_copies_too(spark):
     text = " ".join(f"t{k}" for k in range(80))
     frame = spark.createDataFrame([(None, text)] * 3 + [(None, text + " x"), (7, text), (7, text), (9, "else")], "doc_id long, text string")
     assert sorted(map(tuple, nearcopies.keep_one(frame).collect())) == [(7, text), (9, "else")]
+
+
+def test_candidates_come_from_the_tries_of_the_same_shingles(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = list(enumerate(family(rng, 3, 900, 1) + family(rng, 2, 60, 0) + family(rng, 1, 60, 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for r in nearcopies.candidates(frame, 5).collect():
+        groups.setdefault(r.key, set()).add(r.doc_id)
+    assert {0, 1, 2} in groups.values() and {3, 4} in groups.values()
+    tested = []
+    plain_test = jaccard.Links.test
+    monkeypatch.setattr(jaccard.Links, "test", lambda self, pairs: (tested.append(sorted(map(tuple, pairs.distinct().collect()))), plain_test(self, pairs))[1])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == brute(rows) == [0, 3, 5]
+    assert len(tested[0]) == 2  # both near copies with the first, from the tries; equal texts are one node
+    assert not any(tested[1:])  # nothing is left for the signatures
