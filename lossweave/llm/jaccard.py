@@ -163,17 +163,46 @@ def with_signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     return arrow_pass(docs.select("doc_id", "text", F.xxhash64("text").alias("content")), rows, f"doc_id {kind}, content long, n long, digest binary, keys array<long>")
 
 
+def outline(tokens: np.ndarray, rule: Rule) -> np.ndarray:
+    """32 bits of the tokens in the lowest part of the hash range, each once.
+
+    Outlines differ in no more places than the sets, so one difference too many refutes a link; half as large a share again
+    as may differ is enough for that in sets with little in common.
+    """
+    low = tokens[: np.searchsorted(tokens, np.uint64(min(2**64 - 1, 3 * rule.near * 2**63 // rule.far)))]
+    return np.unique(low.astype(np.uint32)).view(np.int32)
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, tokens) of the wanted nodes (node, content, digest), from the whole texts with their content hashes."""
+    """(node, tokens, n, outline) of the wanted nodes (node, content, digest), from the whole texts with their content hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [ngrams(t, rule.width) for t in utf8(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists([signed(s) for s in sets])], names=["digest", "tokens"])
+            columns = [
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists([signed(s) for s in sets]),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([outline(s, rule) for s in sets], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "tokens", "n", "outline"])
 
     texts = docs.select("text", F.xxhash64("text").alias("content")).join(wanted.select("content").distinct(), "content", "left_semi")
-    once = arrow_pass(texts.groupBy("content").agg(F.first("text").alias("text")).select("text"), rows, "digest binary, tokens array<long>")
-    return wanted.select("node", "digest").join(once.groupBy("digest").agg(F.first("tokens").alias("tokens")), "digest").select("node", "tokens")
+    once = arrow_pass(texts.groupBy("content").agg(F.first("text").alias("text")).select("text"), rows, "digest binary, tokens array<long>, n long, outline array<int>")
+    found = once.groupBy("digest").agg(F.first(F.struct("tokens", "n", "outline")).alias("set"))
+    return wanted.select("node", "digest").join(found, "digest").select("node", "set.*")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Those pairs (a, b) that outlines do not refute: what is shuffled for every pair is a small part of a set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
+            apart = np.array([len(np.setxor1d(x, y, assume_unique=True)) for x, y in zip(arrays(batch, "x"), arrays(batch, "y"))], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(rule.near * (m + n) >= rule.far * apart, pa.bool_()))
+
+    short = sets.select("node", "outline", "n")
+    both = pairs.join(short.toDF("a", "x", "m"), "a").join(short.toDF("b", "y", "n"), "b")
+    return arrow_pass(both.select("a", "b", "x", "y", "m", "n"), rows, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -184,7 +213,8 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             keep = [rule.linked(x, y) for x, y in zip(arrays(batch, "x"), arrays(batch, "y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sets, left = sets.select("node", "tokens"), staged(possible(pairs, sets, rule))
+    both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return arrow_pass(both.select("a", "b", "x", "y"), rows, "a long, b long")
 
 
@@ -306,7 +336,7 @@ def node_links(nodes: DataFrame, keys: DataFrame, docs: DataFrame, rule: Rule, f
         if large.isEmpty():
             break
         if turn:
-            certain, groups = recentred(large, sets, rule)
+            certain, groups = recentred(large, sets.select("node", "tokens"), rule)
             links.add(certain)
         else:
             groups = refined(large, sets, rule).distinct()

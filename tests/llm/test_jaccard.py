@@ -111,3 +111,20 @@ def test_edges(spark, odd, empty):
     assert jaccard.components(empty).count() == 0
     blank = spark.createDataFrame([(1, ""), (2, None), (3, " \n")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.components(blank).collect())) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
+def test_outlines_refute_only_what_is_not_linked():
+    rng = np.random.default_rng(3)
+    for rule in (jaccard.Rule(), jaccard.Rule(5, 80, 100)):
+        refuted = 0
+        for size in (1, 2, 9, 40, 300, 2000):
+            for share in (0, 1, 2, 5, 10, 12, 30, 100):
+                a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+                b = np.unique(np.concatenate((a[len(a) * share // 100 :], rng.integers(0, 2**64, size * share // 200 + 1, np.uint64))))
+                apart = len(np.setxor1d(jaccard.outline(a, rule), jaccard.outline(b, rule)))
+                possible = rule.near * (len(a) + len(b)) >= rule.far * apart
+                assert possible or not rule.linked(a, b)
+                refuted += not possible
+                assert share < 100 or size < 300 or not possible
+        assert refuted
+    assert len(jaccard.outline(a, jaccard.Rule())) < len(a) // 8
