@@ -37,7 +37,12 @@ def count_where(condition: Column) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.btrim(F.coalesce(column, F.lit("")), F.lit(WHITESPACE))
+    """Trims white space at both ends. Text that begins with visible ASCII and ends with no white space passes
+    on comparisons of its ends alone; only the rest is trimmed character by character."""
+    bare = (column >= "!") & (column < "\x7f")
+    for c in WHITESPACE:
+        bare = bare & ~column.endswith(c)
+    return F.when(bare, column).otherwise(F.btrim(F.coalesce(column, F.lit("")), F.lit(WHITESPACE)))
 
 
 def normalized(df: DataFrame, upper: bool = False) -> DataFrame:
@@ -190,10 +195,11 @@ def typed_snapshot(raw: DataFrame, protocol: Protocol) -> DataFrame:
 def with_reason(typed_loans: DataFrame, protocol: Protocol) -> DataFrame:
     """Adds ``reason``, the first exclusion that claims the row (NULL for none).
 
-    The one-element explode keeps a later filter on ``reason`` from being pushed into the text
-    parsing below it, where every predicate would parse the same dates again.
+    The first branch never holds. Being non-deterministic in name it keeps a later filter on ``reason``
+    from being pushed into the text parsing below it, where every predicate would parse the same dates again.
     """
-    return typed_loans.withColumn("reason", F.explode(F.array(first_reason(exclusion_flags(protocol)))))
+    kept_above = F.when(F.monotonically_increasing_id() < 0, F.lit(""))
+    return typed_loans.withColumn("reason", F.coalesce(kept_above, first_reason(exclusion_flags(protocol))))
 
 
 def eligible(typed_loans: DataFrame, protocol: Protocol) -> DataFrame:

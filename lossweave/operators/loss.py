@@ -14,6 +14,7 @@ from ..session import lookup_join
 
 VARIANTS = ("primary", "capped", "downturn")
 PROJECTED = (("baseline", ("primary",)), ("adverse", VARIANTS))
+SEVERITY_INPUTS = ("Y", "year", "loan_type", "size_band", "GrossChargeOffAmount", "GrossApproval")
 METRICS = ("pd", "expected_loss", "sponsor_loss", "lender_loss", "loss_rate")
 
 

@@ -34,7 +34,7 @@ _CONTRACT = (
 
 @query("f01_numeric_contract", with_tables("elig") + f", {_CONTRACT} select feature, round(median, 6) as median, round(mean, 6) as mean, round(scale, 6) as scale from contract")
 def numeric_contract(spark, sf):
-    return _rounded(design.numeric_contract(loans(spark, sf).where("role = 'train'"), FEATURES), "median", "mean", "scale")
+    return _rounded(design.numeric_contract(loans(spark, sf, *FEATURES).where("role = 'train'"), FEATURES), "median", "mean", "scale")
 
 
 _MAP = (
@@ -49,7 +49,7 @@ _MAP = (
 
 @query("f02_frequency_pooling", with_tables("elig") + f", {_MAP} select feature, level, training_n, round(frequency, 6) as frequency, pooled_level from pmap")
 def frequency_pooling(spark, sf):
-    out = design.pooling_map(loans(spark, sf).where("role = 'train'"), CATEGORICAL, TEST.pooling_threshold, TEST.pooling_exempt)
+    out = design.pooling_map(loans(spark, sf, *CATEGORICAL).where("role = 'train'"), CATEGORICAL, TEST.pooling_threshold, TEST.pooling_exempt)
     return _rounded(out, "frequency")
 
 
@@ -62,8 +62,8 @@ def frequency_pooling(spark, sf):
     ),
 )
 def apply_pooling(spark, sf):
-    rows = loans(spark, sf)
     features = ["BusinessType", "ProjectState", "naics2"]
+    rows = loans(spark, sf, *features)
     mapping = design.pooling_map(rows.where("role = 'train'"), features, TEST.pooling_threshold, TEST.pooling_exempt)
     pooled = design.apply_pooling(rows, mapping, features)
     from ..functions.shapes import stacked
@@ -74,8 +74,8 @@ def apply_pooling(spark, sf):
 _DESIGN_NUM, _DESIGN_CAT = ("log_approval", "guarantee_share", "log_jobs"), ("loan_type", "size_band", "age_group")
 
 
-def small_design(spark, sf, numeric=_DESIGN_NUM, categorical=_DESIGN_CAT):
-    rows = loans(spark, sf)
+def small_design(spark, sf, *keys, numeric=_DESIGN_NUM, categorical=_DESIGN_CAT):
+    rows = loans(spark, sf, *keys, *numeric, *categorical)
     return rows, design.fit_design(rows.where("role = 'train'"), numeric, categorical, TEST.pooling_threshold)
 
 
@@ -100,7 +100,7 @@ _MAP_SMALL = _MAP.replace("select 'ProcessingMethod' as feature", "select 'size_
     "from dl where val <> 0 and col_name in (select col_name from dl where role = 'train' group by 1 having sum(abs(val)) > 0) group by 1, 2",
 )
 def design_long_form(spark, sf):
-    rows, fitted = small_design(spark, sf)
+    rows, fitted = small_design(spark, sf, "row_id")
     long = design.design_long(rows, fitted, ["row_id", "role"])
     return long.groupBy("role", F.col("column").alias("col_name")).agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares")
@@ -123,7 +123,7 @@ def gram_matrix(spark, sf):
 
 @query("f06_rank_revealing_selection")
 def rank_revealing_selection(spark, sf):
-    rows = loans(spark, sf).withColumn("share_copy", F.col("guarantee_share") * 2)
+    rows = loans(spark, sf, "log_approval", "guarantee_share", "ProjectState", "loan_type").withColumn("share_copy", F.col("guarantee_share") * 2)
     train = rows.where("role = 'train'")
     fitted = design.fit_design(train, ["log_approval", "guarantee_share", "share_copy"], ["ProjectState", "loan_type"])
     kept = set(fitted.keep)
@@ -146,7 +146,7 @@ _SUPPORT_NUM, _SUPPORT_CAT = ("log_approval", "log_jobs", "TermInMonths"), ("Pro
     ),
 )
 def training_support(spark, sf):
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, *_SUPPORT_NUM, *_SUPPORT_CAT)
     return design.support_report(rows.where("role = 'train'"), rows.where(LATER), _SUPPORT_NUM, _SUPPORT_CAT, ["role"])
 
 
@@ -161,7 +161,7 @@ def training_support(spark, sf):
     ),
 )
 def preprocessing_counts(spark, sf):
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, *NUMERIC, *CATEGORICAL)
     mapping = design.pooling_map(rows.where("role = 'train'"), CATEGORICAL, TEST.pooling_threshold, TEST.pooling_exempt)
     later = rows.where(LATER).withColumn("cohort", F.col("role"))
     return design.preprocessing_counts(later, mapping, NUMERIC, CATEGORICAL, ["cohort"])
@@ -237,13 +237,13 @@ _PSI_NUM, _PSI_CAT = ("log_approval", "guarantee_share", "TermInMonths"), ("Busi
 
 @query("f10_numeric_stability", with_tables("elig") + " union all ".join(_psi_numeric(c) for c in _PSI_NUM))
 def numeric_stability(spark, sf):
-    rows = loans(spark, sf).withColumn("cohort", F.col("role"))
+    rows = loans(spark, sf, *_PSI_NUM).withColumn("cohort", F.col("role"))
     return _rounded(drift.numeric_psi(rows.where("role = 'train'"), rows.where(LATER), _PSI_NUM, "cohort"), "psi")
 
 
 @query("f11_categorical_stability", with_tables("elig") + " union all ".join(_psi_categorical(c) for c in _PSI_CAT))
 def categorical_stability(spark, sf):
-    rows = loans(spark, sf).withColumn("cohort", F.col("role"))
+    rows = loans(spark, sf, *_PSI_CAT).withColumn("cohort", F.col("role"))
     return _rounded(drift.categorical_psi(rows.where("role = 'train'"), rows.where(LATER), _PSI_CAT, "cohort"), "psi")
 
 
@@ -252,7 +252,7 @@ def categorical_stability(spark, sf):
     with_tables("elig") + " union all ".join([_psi_numeric(c) for c in (*NUMERIC, "TermInMonths")] + [_psi_categorical(c) for c in CATEGORICAL]),
 )
 def drift_table(spark, sf):
-    rows = loans(spark, sf).withColumn("cohort", F.col("role"))
+    rows = loans(spark, sf, *FEATURES, *CATEGORICAL).withColumn("cohort", F.col("role"))
     return _rounded(drift.drift_table(rows.where("role = 'train'"), rows.where(LATER), (*NUMERIC, "TermInMonths"), CATEGORICAL, "cohort"), "psi")
 
 

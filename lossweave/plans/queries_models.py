@@ -15,6 +15,7 @@ from .oracle_base import with_tables
 from .queries_rows import grouped_sql
 
 _NUM, _CAT = ["log_approval", "guarantee_share", "log_jobs"], ["loan_type", "size_band"]
+_FITTED_ON, _TREE_CAT = ("ProjectState", "Y", *_NUM, *_CAT), ("loan_type", "size_band", "age_group")
 
 # a scorecard with fixed coefficients, so that SQL can repeat every step
 CARD = Design(
@@ -39,7 +40,7 @@ _CARD_SQL = f", cs as (select *, {_ETA} as eta from elig)"
 
 
 def _train_data(spark, sf):
-    train = loans(spark, sf).where("role = 'train'")
+    train = loans(spark, sf, *_FITTED_ON).where("role = 'train'")
     design = fit_design(train, _NUM, _CAT, TEST.pooling_threshold)
     rows = design.rows(train, [F.col("ProjectState").alias("state"), "Y"])
     return design, models.LogitData(rows, len(design.columns))
@@ -62,7 +63,7 @@ def penalised_logit(spark, sf):
 
 @query("g03_elastic_net_grid")
 def elastic_net_grid(spark, sf):
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, "row_id", *_FITTED_ON)
     train, tune = rows.where("role = 'train'"), rows.where("role = 'tune'")
     design = fit_design(train, _NUM, _CAT, TEST.pooling_threshold)
     table, _ = models.elastic_net_grid(models.labelled(design, train), models.labelled(design, tune), [0.001, 0.1, 10.0], [0.0, 0.5, 1.0])
@@ -71,7 +72,7 @@ def elastic_net_grid(spark, sf):
 
 @query("g04_boosted_trees")
 def boosted_trees(spark, sf):
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, "Y", *_NUM, *_TREE_CAT)
     model = models.boosted_trees(rows.where("role = 'train'"), _NUM, TEST.seed)
     scored_rows = models.tree_scores(model, rows.where("role in ('crisis', 'oot')"))
     return scored_rows.groupBy("role").agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("Y").alias("recorded_rate"))
@@ -80,7 +81,7 @@ def boosted_trees(spark, sf):
 @query("g03b_elastic_net_path")
 def elastic_net_path(spark, sf):
     """The full grid of 10 strengths and 5 ratios on all inputs, and the loss of each setting on the tuning years."""
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, "ProjectState", "Y", *NUMERIC, *CATEGORICAL)
     train, tune = rows.where("role = 'train'"), rows.where("role = 'tune'")
     design = fit_design(train, list(NUMERIC), list(CATEGORICAL), TEST.pooling_threshold)
     carried = [F.col("ProjectState").alias("state"), "Y"]
@@ -91,7 +92,7 @@ def elastic_net_path(spark, sf):
 
 @query("g04b_stopped_trees")
 def stopped_trees(spark, sf):
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, "Y", *_NUM, *_TREE_CAT)
     model, rounds = models.stopped_trees(rows.where("role = 'train'"), rows.where("role = 'tune'"), _NUM, TEST.seed, limit=60)
     later = models.tree_scores(model, rows.where("role in ('crisis', 'oot')"))
     return later.groupBy("role").agg(
@@ -101,7 +102,7 @@ def stopped_trees(spark, sf):
 
 @query("g05_sigmoid_calibration")
 def sigmoid_calibration(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored(spark, sf, "Y", "ProjectState")
     line = models.calibration_table(rows.where("role = 'calibrate'"), "role", "ProjectState").first()
     frozen = rows.where("role in ('crisis', 'oot')").withColumn("q", models.calibrated(F.col("p"), line["calibration_intercept"], line["calibration_slope"]))
     return frozen.groupBy("role").agg(
@@ -125,7 +126,7 @@ def batch_scoring(spark, sf):
 
 @query("g07_multiplier_draws")
 def multiplier_draws(spark, sf):
-    counts = loans(spark, sf).where("role = 'train'").groupBy(F.col("ProjectState").alias("state")).agg(F.count("*").alias("n"))
+    counts = loans(spark, sf, "ProjectState").where("role = 'train'").groupBy(F.col("ProjectState").alias("state")).agg(F.count("*").alias("n"))
     levels = bootstrap.cluster_levels(counts)
     schedule = bootstrap.draw_table(spark, levels, bootstrap.multiplier_draws(levels, TEST.refit_attempts, TEST.seed))
     return bootstrap.normalized_weights(schedule, counts)
@@ -139,7 +140,7 @@ def multiplier_draws(spark, sf):
     select draw, state, n, round(w * (sum(n) over (partition by draw)) / (sum(w * n) over (partition by draw)), 9) as weight from d""" % (TEST.seed, TEST.refit_attempts),
 )
 def counter_multipliers(spark, sf):
-    counts = loans(spark, sf).where("role = 'train'").groupBy(F.col("ProjectState").alias("state")).agg(F.count("*").alias("n"))
+    counts = loans(spark, sf, "ProjectState").where("role = 'train'").groupBy(F.col("ProjectState").alias("state")).agg(F.count("*").alias("n"))
     out = bootstrap.normalized_weights(bootstrap.counter_multipliers(counts, TEST.refit_attempts, TEST.seed), counts)
     return out.withColumn("weight", F.round("weight", 9))
 

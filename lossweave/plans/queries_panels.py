@@ -31,7 +31,7 @@ def _r(*columns):
     min(du) as du, round(max(dh), 6) as dh from matched group by 1, 2""",
 )
 def panel_join(spark, sf):
-    return matched(spark, sf).groupBy(F.col("ProjectState").alias("state"), "month").agg(
+    return matched(spark, sf, "ProjectState").groupBy(F.col("ProjectState").alias("state"), "month").agg(
         F.count("*").alias("n"), F.count("u0").alias("with_u"), F.count("du").alias("with_du"), F.count("peak_du").alias("with_peak"),
         F.min("du").alias("du"), F.round(F.max("dh"), 6).alias("dh"),
     )
@@ -44,7 +44,7 @@ def panel_join(spark, sf):
     from elig e left join scenario s using (ProjectState) where e.role = 'reference' group by 1, 2""",
 )
 def scenario_application(spark, sf):
-    rows = linking.apply_scenarios(loans(spark, sf).where("role = 'reference'"), scenarios(spark, sf))
+    rows = linking.apply_scenarios(loans(spark, sf, "ProjectState", "GrossApproval").where("role = 'reference'"), scenarios(spark, sf))
     return rows.groupBy("scenario", F.col("ProjectState").alias("state")).agg(
         F.count("*").alias("n"), F.round(F.sum("GrossApproval"), 2).alias("exposure"),
         F.round(F.min("u0"), 6).alias("u0"), F.round(F.max("peak_du"), 6).alias("peak_du"),
@@ -60,7 +60,7 @@ def scenario_application(spark, sf):
 def severity_lookup(spark, sf):
     from ..operators import loss
 
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, *loss.SEVERITY_INPUTS)
     severity = loss.severity_table(rows.where("role = 'train'"), TEST)
     out = loss.assign_severity(rows, severity, ["primary"])
     return out.groupBy("role", "loan_type", "size_band").agg(F.count("*").alias("n"), F.round(F.avg("lgd_primary"), 6).alias("lgd"))
@@ -130,7 +130,7 @@ def draw_schedule(spark, sf, draws: int = 40):
 
 def draw_means(spark, sf):
     """Weighted means of score and outcome per draw: loans are reduced to states before draws multiply them."""
-    per_state = scored(spark, sf).where(F.col("role").isin("crisis", "oot")).groupBy("role", F.col("ProjectState").alias("state")).agg(
+    per_state = scored(spark, sf, "Y", "ProjectState").where(F.col("role").isin("crisis", "oot")).groupBy("role", F.col("ProjectState").alias("state")).agg(
         F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("Y").alias("y")
     )
     rows = per_state.join(draw_schedule(spark, sf), "state").groupBy("role", "draw").agg(

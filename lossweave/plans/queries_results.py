@@ -6,13 +6,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..config import GROUP_KEYS
 from ..operators import attempts, bootstrap, comparison, linking, loss, metrics, models, ordered, paired, panel
 from ..operators.design import Design
 from ..operators.ordered import bin_index
 from ..session import staged
 from .bindings import TEST
 from .catalog import query
-from .inputs import complete, loans, scenarios, scored, stressed
+from .inputs import STRESSED_ON, complete, loans, scenarios, scored, stressed
 from .oracle_base import with_tables
 from .queries_design import CUTS_SQL, LATER
 from .queries_panels import _DRAW_RATES, DRAW_SQL, draw_means, draw_schedule
@@ -33,22 +34,22 @@ _SWEEP = (
 @query("h01_auc", with_tables("scored") + _SWEEP + "select role, cast(max(tp) as bigint) as events, cast(max(tn) as bigint) as non_events, "
        "round(sum(pos * (tn - cumneg + 0.5 * neg)) / (max(tp) * max(tn)), 6) as auc from sw group by 1")
 def auc(spark, sf):
-    return _rounded(metrics.ranking_metrics(scored(spark, sf), ["role"]), 6, "auc").drop("average_precision")
+    return _rounded(metrics.ranking_metrics(scored(spark, sf, "Y"), ["role"]), 6, "auc").drop("average_precision")
 
 
 @query("h02_average_precision", with_tables("scored") + _SWEEP + "select role, round(sum(pos / tp * cumpos / (cumpos + cumneg)), 6) as average_precision from sw group by 1")
 def average_precision(spark, sf):
-    return _rounded(metrics.ranking_metrics(scored(spark, sf), ["role"]), 6, "average_precision").select("role", "average_precision")
+    return _rounded(metrics.ranking_metrics(scored(spark, sf, "Y"), ["role"]), 6, "average_precision").select("role", "average_precision")
 
 
 @query("h03_brier", with_tables("scored") + "select role, count(*) as n, round(avg((Y - p) * (Y - p)), 6) as brier from scored group by 1")
 def brier(spark, sf):
-    return _rounded(metrics.brier(scored(spark, sf), ["role"]), 6, "brier")
+    return _rounded(metrics.brier(scored(spark, sf, "Y"), ["role"]), 6, "brier")
 
 
 @query("h04_calibration_line")
 def calibration_line(spark, sf):
-    return models.calibration_table(scored(spark, sf), "role", "ProjectState")
+    return models.calibration_table(scored(spark, sf, "Y", "ProjectState"), "role", "ProjectState")
 
 
 @query(
@@ -57,13 +58,13 @@ def calibration_line(spark, sf):
     select role, count(*) as n, count(*) filter (s is null) as non_finite, count(*) filter (s < 0 or s > 1) as out_of_range, min(Y) = max(Y) as one_class from v group by 1""",
 )
 def score_validity(spark, sf):
-    rows = scored(spark, sf).withColumn("s", F.when(F.col("row_id").endswith("7"), None).when(F.col("row_id").endswith("13"), 1.5).otherwise(F.col("p")))
+    rows = scored(spark, sf, "row_id").withColumn("s", F.when(F.col("row_id").endswith("7"), None).when(F.col("row_id").endswith("13"), 1.5).otherwise(F.col("p")))
     return metrics.score_validity(rows, ["role"], "s")
 
 
 @query("h06_cluster_bootstrap")
 def cluster_bootstrap(spark, sf):
-    draws = bootstrap.metric_draws(scored(spark, sf).where(LATER), "role", "ProjectState", draws=TEST.draws, seed=TEST.seed)
+    draws = bootstrap.metric_draws(scored(spark, sf, "Y", "ProjectState").where(LATER), "role", "ProjectState", draws=TEST.draws, seed=TEST.seed)
     return bootstrap.metric_intervals(draws)
 
 
@@ -79,7 +80,7 @@ _BINS = (
 
 @query("h07_calibration_bins", with_tables("scored") + _BINS + "select pt.*, iv.lower, iv.upper, iv.effective_draws from pt left join iv using (role, bin)")
 def calibration_bins(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored(spark, sf, "Y", "ProjectState")
     train, later = rows.where("role = 'train'"), rows.where(LATER)
     point = metrics.calibration_table(train, later, ["role"])
     cuts = metrics.training_cuts(train, "p")
@@ -169,7 +170,7 @@ def percentile_interval(spark, sf):
     "count(dr.value) as effective_draws, 0::bigint as undefined_draws, 40 as attempted_draws, 40 as successful_draws from pt join dr on pt.role = dr.role and pt.variant = dr.variant group by pt.role, pt.variant, pt.value",
 )
 def combine_point_and_draws(spark, sf):
-    point = scored(spark, sf).where(LATER).groupBy("role").agg(F.avg("p").alias("with_rate"), F.avg("Y").alias("recorded"))
+    point = scored(spark, sf, "Y", "ProjectState").where(LATER).groupBy("role").agg(F.avg("p").alias("with_rate"), F.avg("Y").alias("recorded"))
     long = point.unpivot(["role"], ["with_rate", "recorded"], "variant", "value")
     out = comparison.combine(long, staged(draw_means(spark, sf)), ["role", "variant"], attempted=40)
     return _rounded(out, 6, "value", "lower", "upper")
@@ -183,7 +184,7 @@ def combine_point_and_draws(spark, sf):
     where guarantee_share is not null group by 1""",
 )
 def loss_allocation(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored(spark, sf, *loss.SEVERITY_INPUTS)
     severity = loss.severity_table(rows.where("role = 'train'"), TEST)
     out = loss.accepted_summary(rows, severity, keys=["role"])
     return _rounded(out.select("role", "n", "expected_loss", "sponsor_loss", "lender_loss"), 2, "expected_loss", "sponsor_loss", "lender_loss")
@@ -197,7 +198,7 @@ def loss_allocation(spark, sf):
     from rk e join lgd l on l.variant = 'primary' and l.loan_type = e.loan_type and l.size_band = e.size_band where rn <= floor(0.7::double * total) and guarantee_share is not null group by 1""",
 )
 def acceptance_diagnostic(spark, sf):
-    rows = scored(spark, sf)
+    rows = scored(spark, sf, "row_id", *loss.SEVERITY_INPUTS)
     severity = loss.severity_table(rows.where("role = 'train'"), TEST)
     needed = rows.select("role", "p", "row_id", "Y", "guarantee_share", "GrossApproval", "loan_type", "size_band")
     accepted = ordered.lowest_fraction(needed.where(LATER), ["p", "row_id"], TEST.accept_fraction, by=["role"])
@@ -231,9 +232,13 @@ def _round_metric(df):
     return df.withColumns({"value": F.when(small, F.round("value", 6)).otherwise(F.round("value", 2)), "exposure": F.round("exposure", 2)})
 
 
+PROJECTED_ON = tuple(dict.fromkeys((*loss.SEVERITY_INPUTS, *GROUP_KEYS, *STRESSED_ON)))
+
+
 def projection(spark, sf):
-    severity = loss.severity_table(loans(spark, sf).where("role = 'train'"), TEST)
-    return loss.projection_metrics(loss.projection_totals(stressed(spark, sf), severity))
+    rows = loans(spark, sf, *PROJECTED_ON)
+    severity = loss.severity_table(rows.where("role = 'train'"), TEST)
+    return loss.projection_metrics(loss.projection_totals(stressed(spark, sf, *PROJECTED_ON), severity))
 
 
 @query("h13_scenario_projection", with_tables("elig", "scenario") + f", {PROJECTION_SQL} select * replace ({_ROUND_SQL} as value, round(exposure, 2) as exposure) from proj")
@@ -301,9 +306,9 @@ def refit_projection(spark, sf):
 
 @query("h16_tree_projection")
 def tree_projection(spark, sf):
-    rows = loans(spark, sf)
+    rows = loans(spark, sf, "log_jobs", "d", *PROJECTED_ON)
     severity = loss.severity_table(rows.where("role = 'train'"), TEST)
-    model = models.boosted_trees(complete(spark, sf).where("role = 'train'"), models.TREE_FEATURES, TEST.seed)
+    model = models.boosted_trees(complete(spark, sf, "log_jobs", *PROJECTED_ON).where("role = 'train'"), models.TREE_FEATURES, TEST.seed)
     inputs = linking.apply_scenarios(rows.where("role = 'reference'"), panel.complete_scenarios(scenarios(spark, sf)))
     scored_trees = models.tree_scores(model, inputs)
     return loss.projection_metrics(loss.projection_totals(scored_trees, severity))

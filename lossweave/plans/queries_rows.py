@@ -95,7 +95,7 @@ def exclusion_waterfall(spark, sf):
       count(*) filter (ChargeOffDate > w) as later_events, max(w) as last_window from elig group by 1, 2""",
 )
 def event_label(spark, sf):
-    return loans(spark, sf).groupBy("year", F.month("d").alias("month")).agg(
+    return loans(spark, sf, "year", "d", "w", "Y", "ChargeOffDate").groupBy("year", F.month("d").alias("month")).agg(
         F.count("*").alias("n"), F.sum("Y").alias("events"), F.count_if(F.col("ChargeOffDate") > F.col("w")).alias("later_events"),
         F.max("w").alias("last_window"),
     )
@@ -106,7 +106,7 @@ def event_label(spark, sf):
     with_tables("elig") + "select role, cast(year as int) as year, count(*) as n, min(d) as first_d, max(d) as last_d from elig group by 1, 2",
 )
 def chronological_role(spark, sf):
-    return loans(spark, sf).groupBy("role", "year").agg(
+    return loans(spark, sf, "year", "d").groupBy("role", "year").agg(
         F.count("*").alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d")
     )
 
@@ -125,7 +125,7 @@ COHORT_SQL = (
     "from elig join cohorts on d between lo and hi group by 1, 2, 3",
 )
 def cohort_membership(spark, sf):
-    member = accounting.cohort_membership(loans(spark, sf), TEST)
+    member = accounting.cohort_membership(loans(spark, sf, "d", "Y", "ProjectState"), TEST)
     return member.groupBy("layer", "cohort", F.col("ProjectState").alias("state")).agg(
         F.count("*").alias("n"), F.sum("Y").alias("events")
     )
@@ -225,7 +225,7 @@ def selector(spark, sf):
       cast(sum(1 - Y) as bigint) as non_events from elig group by 1, 2, 3""",
 )
 def cohort_counts(spark, sf):
-    out = accounting.cohort_counts(loans(spark, sf), ["year", "LoanStatus", "role"])
+    out = accounting.cohort_counts(loans(spark, sf, "year", "LoanStatus", "Y"), ["year", "LoanStatus", "role"])
     return out.withColumn("non_events", F.col("n") - F.col("events"))
 
 
@@ -235,7 +235,7 @@ def cohort_counts(spark, sf):
     max(w) as latest_window from elig group by 1""",
 )
 def split_counts(spark, sf):
-    return accounting.split_counts(loans(spark, sf))
+    return accounting.split_counts(loans(spark, sf, "Y", "d", "w"))
 
 
 _REPORTED = (*NUMERIC, "TermInMonths")
@@ -249,7 +249,7 @@ _REPORTED = (*NUMERIC, "TermInMonths")
     ),
 )
 def missingness(spark, sf):
-    out = accounting.missing_by(loans(spark, sf), ["role"], _REPORTED)
+    out = accounting.missing_by(loans(spark, sf, *_REPORTED), ["role"], _REPORTED)
     return out.withColumn("missing_share", F.round("missing_share", 6))
 
 
@@ -261,7 +261,7 @@ def missingness(spark, sf):
 )
 def duplicate_rows(spark, sf):
     key = ["LoanStatus", "ProjectState", "BusinessType", "d", "TermInMonths", "JobsSupported"]
-    return accounting.duplicate_rows(loans(spark, sf), key)
+    return accounting.duplicate_rows(loans(spark, sf, *key), key)
 
 
 @query(
@@ -271,7 +271,7 @@ def duplicate_rows(spark, sf):
 )
 def match_waterfall(spark, sf):
     ok = F.col("u0").isNotNull() & F.col("macro_complete")
-    return matched(spark, sf).groupBy("role").agg(
+    return matched(spark, sf, "Y").groupBy("role").agg(
         F.count("*").alias("eligible"), F.count_if(ok).alias("matched"), F.count_if(ok & (F.col("Y") == 1)).alias("events")
     )
 
@@ -289,7 +289,7 @@ def sample_waterfall(spark, sf):
     ok = F.col("macro_complete")
     for c in MACRO:
         ok = ok & F.col(c).isNotNull()
-    return accounting.sample_waterfall(matched(spark, sf), TEST, ok)
+    return accounting.sample_waterfall(matched(spark, sf, "Y"), TEST, ok)
 
 
 def _levels_sql(having: str = "") -> str:
@@ -306,13 +306,13 @@ def _levels_sql(having: str = "") -> str:
     where events = 0 or non_events = 0""")
 def separation_witnesses(spark, sf):
     name = "ProjectState x size_band x age_group"
-    rows = loans(spark, sf).where("role = 'train'").withColumn(name, F.concat_ws("|", "ProjectState", "size_band", "age_group"))
+    rows = loans(spark, sf, "Y", "ProjectState", "size_band", "age_group").where("role = 'train'").withColumn(name, F.concat_ws("|", "ProjectState", "size_band", "age_group"))
     return accounting.separation_witnesses(rows, [name])
 
 
 @query("e08_level_counts", with_tables("elig") + _levels_sql())
 def level_counts(spark, sf):
-    return accounting.level_outcomes(loans(spark, sf).where("role = 'train'"), CATEGORICAL)
+    return accounting.level_outcomes(loans(spark, sf, "Y", *CATEGORICAL).where("role = 'train'"), CATEGORICAL)
 
 
 @query(
@@ -321,7 +321,7 @@ def level_counts(spark, sf):
     round(avg(Y), 6) as recorded_rate, round(avg(p), 6) as mean_predicted from scored where role in ('crisis', 'oot') group by 1, 2""",
 )
 def state_validation(spark, sf):
-    rows = scored(spark, sf).where(F.col("role").isin("crisis", "oot"))
+    rows = scored(spark, sf, "Y", "ProjectState").where(F.col("role").isin("crisis", "oot"))
     out = comparison.calibration_means(rows, ["role", F.col("ProjectState").alias("state")])
     return out.select("role", "state", "n", "events", F.round("recorded_rate", 6).alias("recorded_rate"), F.round("mean_predicted", 6).alias("mean_predicted"))
 
@@ -506,7 +506,7 @@ def severity_sql(prefix: str = "") -> str:
     with_tables("elig") + ", " + severity_sql() + " select * replace (round(lgd, 6) as lgd) from lgd",
 )
 def pooled_severity(spark, sf):
-    rows = loans(spark, sf).where("role = 'train'")
+    rows = loans(spark, sf, *loss.SEVERITY_INPUTS).where("role = 'train'")
     return loss.severity_table(rows, TEST).withColumn("lgd", F.round("lgd", 6))
 
 
@@ -516,7 +516,7 @@ def pooled_severity(spark, sf):
     round(avg(p), 6) as mean_predicted, round(avg(Y), 6) as recorded_rate, min(d) as start_d, max(d) as end_d from scored group by role""",
 )
 def calibration_means(spark, sf):
-    rows = scored(spark, sf).select(F.lit("layer1").alias("variant"), F.lit("scorecard").alias("model"), F.col("role").alias("cohort"), "Y", "p", "d")
+    rows = scored(spark, sf, "Y", "d").select(F.lit("layer1").alias("variant"), F.lit("scorecard").alias("model"), F.col("role").alias("cohort"), "Y", "p", "d")
     out = comparison.calibration_means(rows, ["variant", "model", "cohort"])
     return out.withColumns({c: F.round(c, 6) for c in ("mean_predicted", "recorded_rate")})
 
@@ -527,7 +527,7 @@ def calibration_means(spark, sf):
     count(*) - count(guarantee_share) as excluded_invalid_share_n from elig group by 1""",
 )
 def loss_population(spark, sf):
-    return loss.loss_population(loans(spark, sf), ["role"])
+    return loss.loss_population(loans(spark, sf, "guarantee_share"), ["role"])
 
 
 _STATE_MEANS = "select ProjectState as state, count(*) as n, avg(p) as predicted, avg(Y) as recorded from scored where role = '{}' group by 1"
@@ -542,7 +542,7 @@ _STATE_MEANS = "select ProjectState as state, count(*) as n, avg(p) as predicted
     ),
 )
 def weighted_comparison(spark, sf):
-    means = comparison.calibration_means(scored(spark, sf), ["role", F.col("ProjectState").alias("state")]).select(
+    means = comparison.calibration_means(scored(spark, sf, "Y", "ProjectState"), ["role", F.col("ProjectState").alias("state")]).select(
         "role", "state", "n", F.col("mean_predicted").alias("predicted"), F.col("recorded_rate").alias("recorded")
     )
     out = comparison.weighted_comparison(means.where("role = 'crisis'"), means.where("role = 'oot'"), ["state"], "n", ["predicted", "recorded"])
@@ -587,7 +587,7 @@ _RULES = {
     ),
 )
 def integrity_rules(spark, sf):
-    return accounting.integrity_report(matched(spark, sf), {n: F.expr(r) for n, r in _RULES.items()})
+    return accounting.integrity_report(matched(spark, sf, "w", "GrossApproval", "Y", "ChargeOffDate"), {n: F.expr(r) for n, r in _RULES.items()})
 
 
 @query(

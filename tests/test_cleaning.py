@@ -139,3 +139,11 @@ def test_overlapping_cohorts_and_duplicates(spark):
     assert found == {("a", "layer2", "estimation"), ("a", "layer2", "reference"), ("b", "layer1", "oot"), ("b", "layer2", "oot"), ("c", "layer2", "estimation")}
     twice = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     assert accounting.duplicate_rows(twice, ["a", "b"]).first().indistinguishable_rows == 2
+
+
+def test_stripping_by_the_ends_of_a_text_equals_stripping_by_character(spark):
+    ends = ["", "a", "!", "~", "\x7f", "\u00e9", "\u2027", "\u200b", *cleaning.WHITESPACE]
+    texts = [a + m + b for a in ends for m in ("", "x y", " ", "\u3000z") for b in ends] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.btrim(F.coalesce("t", F.lit("")), F.lit(cleaning.WHITESPACE))
+    assert rows.where(~cleaning.strip(F.col("t")).eqNullSafe(plain)).isEmpty()
