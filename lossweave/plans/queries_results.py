@@ -58,7 +58,7 @@ def calibration_line(spark, sf):
     select role, count(*) as n, count(*) filter (s is null) as non_finite, count(*) filter (s < 0 or s > 1) as out_of_range, min(Y) = max(Y) as one_class from v group by 1""",
 )
 def score_validity(spark, sf):
-    rows = scored(spark, sf, "row_id").withColumn("s", F.when(F.col("row_id").endswith("7"), None).when(F.col("row_id").endswith("13"), 1.5).otherwise(F.col("p")))
+    rows = scored(spark, sf, "row_id", "Y").withColumn("s", F.when(F.col("row_id").endswith("7"), None).when(F.col("row_id").endswith("13"), 1.5).otherwise(F.col("p")))
     return metrics.score_validity(rows, ["role"], "s")
 
 

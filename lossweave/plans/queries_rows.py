@@ -321,7 +321,7 @@ def level_counts(spark, sf):
     round(avg(Y), 6) as recorded_rate, round(avg(p), 6) as mean_predicted from scored where role in ('crisis', 'oot') group by 1, 2""",
 )
 def state_validation(spark, sf):
-    rows = scored(spark, sf, "Y", "ProjectState").where(F.col("role").isin("crisis", "oot"))
+    rows = scored(spark, sf, "Y", "d", "ProjectState").where(F.col("role").isin("crisis", "oot"))
     out = comparison.calibration_means(rows, ["role", F.col("ProjectState").alias("state")])
     return out.select("role", "state", "n", "events", F.round("recorded_rate", 6).alias("recorded_rate"), F.round("mean_predicted", 6).alias("mean_predicted"))
 
@@ -542,7 +542,7 @@ _STATE_MEANS = "select ProjectState as state, count(*) as n, avg(p) as predicted
     ),
 )
 def weighted_comparison(spark, sf):
-    means = comparison.calibration_means(scored(spark, sf, "Y", "ProjectState"), ["role", F.col("ProjectState").alias("state")]).select(
+    means = comparison.calibration_means(scored(spark, sf, "Y", "d", "ProjectState"), ["role", F.col("ProjectState").alias("state")]).select(
         "role", "state", "n", F.col("mean_predicted").alias("predicted"), F.col("recorded_rate").alias("recorded")
     )
     out = comparison.weighted_comparison(means.where("role = 'crisis'"), means.where("role = 'oot'"), ["state"], "n", ["predicted", "recorded"])
