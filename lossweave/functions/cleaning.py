@@ -20,7 +20,7 @@ CANCELLED = ("CANCLD", "COMMIT")
 REVOLVER = {"N": "term", "0": "term", "Y": "revolving", "1": "revolving"}
 NO_FRANCHISE = ("00000", "000000")
 WHITESPACE = " \t\n\r\f\v\u0085\u00a0\u2028\u2029\u3000"
-ISO_DAY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+GAPS = " \t\n\v\f\r"
 NEW_BUSINESS = "startup|new business|new, less|2 or less"
 
 
@@ -37,12 +37,12 @@ def count_where(condition: Column) -> Column:
 
 
 def strip(column: Column) -> Column:
-    """Trims white space at both ends. Text that begins with visible ASCII and ends with no white space passes
-    on comparisons of its ends alone; only the rest is trimmed character by character."""
-    bare = (column >= "!") & (column < "\x7f")
-    for c in WHITESPACE:
-        bare = bare & ~column.endswith(c)
-    return F.when(bare, column).otherwise(F.btrim(F.coalesce(column, F.lit("")), F.lit(WHITESPACE)))
+    """Trims white space at both ends. Spaces go first; if visible ASCII is then at both ends, nothing is left to
+    trim, and only the rest is trimmed character by character. Few comparisons keep the pass in compiled methods."""
+    text = F.trim(column)
+    last = F.substring(text, -1, 1)
+    bare = (text == "") | ((text >= "!") & (text < "\x7f") & (last >= "!") & (last < "\x7f"))
+    return F.when(bare, text).otherwise(F.btrim(F.coalesce(column, F.lit("")), F.lit(WHITESPACE)))
 
 
 def normalized(df: DataFrame, upper: bool = False) -> DataFrame:
@@ -51,7 +51,7 @@ def normalized(df: DataFrame, upper: bool = False) -> DataFrame:
     if upper:
         text = {n: F.upper(c) for n, c in text.items()}
     if "LoanStatus" in text:
-        text["LoanStatus"] = F.regexp_replace(text["LoanStatus"], r"\s+", "")
+        text["LoanStatus"] = F.translate(text["LoanStatus"], GAPS, "")
     return df.withColumns(text)
 
 
@@ -61,14 +61,29 @@ def to_number(column: Column) -> Column:
 
 
 def to_day(column: Column) -> Column:
-    return F.when(column.rlike(ISO_DAY), column.try_cast("date"))
+    """Ten characters ``yyyy-mm-dd``. The cast checks the digits; it also reads longer years, days of one digit and what
+    follows a day, so both hyphens and a digit at the end must stand in their places."""
+    last = F.substring(column, 10, 1)
+    iso = (F.octet_length(column) == 10) & (F.locate("-", column) == 5) & (F.locate("-", column, 6) == 8) & (last >= "0") & (last <= "9")
+    return F.when(iso, column.try_cast("date"))
+
+
+def four_digit_year(day: Column) -> Column:
+    """Days whose text is ``yyyy-mm-dd``; the text of others is not read as a day."""
+    return F.when((day >= F.lit("0000-01-01").cast("date")) & (day <= F.lit("9999-12-31").cast("date")), day)
 
 
 def typed(df: DataFrame, protocol: Protocol) -> DataFrame:
-    """Casts that never fail, the marker for non-blank unreadable dates, origin ``d`` and window end ``w``."""
-    days = df.withColumns({f"_{c}": to_day(F.col(c)) for c in DATE_SOURCE})
-    bad = any_of(*[(F.col(c) != "") & F.col(f"_{c}").isNull() for c in DATE_SOURCE])
-    casts = {c: to_number(F.col(c)) for c in NUMERIC_SOURCE} | {c: F.col(f"_{c}") for c in DATE_SOURCE}
+    """Casts that never fail, the marker for non-blank unreadable dates, origin ``d`` and window end ``w``.
+
+    Text is read; dates and numbers of a source that has them pass as what their text would be read as.
+    """
+    types = dict(df.dtypes)
+    is_text = {c: types[c] == "string" for c in DATE_SOURCE + NUMERIC_SOURCE}
+    days = df.withColumns({f"_{c}": to_day(F.col(c)) if is_text[c] else four_digit_year(F.col(c)) for c in DATE_SOURCE})
+    bad = any_of(*[(F.col(c) != "" if is_text[c] else F.col(c).isNotNull()) & F.col(f"_{c}").isNull() for c in DATE_SOURCE])
+    numbers = {c: to_number(F.col(c)) if is_text[c] else F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in NUMERIC_SOURCE}
+    casts = numbers | {c: F.col(f"_{c}") for c in DATE_SOURCE}
     dated = days.withColumn("invalid_date", bad).withColumns(casts).drop(*[f"_{c}" for c in DATE_SOURCE])
     return dated.withColumn("d", F.col("FirstDisbursementDate")).withColumn(
         "w", F.add_months("d", protocol.horizon_months)

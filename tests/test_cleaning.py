@@ -147,3 +147,42 @@ def test_stripping_by_the_ends_of_a_text_equals_stripping_by_character(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = F.btrim(F.coalesce("t", F.lit("")), F.lit(cleaning.WHITESPACE))
     assert rows.where(~cleaning.strip(F.col("t")).eqNullSafe(plain)).isEmpty()
+
+
+def test_days_are_ten_characters_and_nothing_else(spark):
+    from lossweave.functions.cleaning import to_day
+
+    odd = ["2000-02-29", "2001-02-29", "0000-01-01", "9999-12-31", "2000-1-01T", "2000-01-1T", "2000-01-1 ", "2000-01-1\t", "20000-1-01", "02000-1-01", "200000-01-1",
+           "+2000-01-1", "-200-01-01", " 2000-01-1", "2000-1-1T5", "2000-01-01T", "2000-01-01 ", "2000-01", "2000", "", "2000/01/01", "2000-0a-01", "2000-01-١١",
+           "é000-01-01", "2000-00-10", "2000--1-01", "2000-01--1", "1-2000-0101", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    exact = F.when(F.col("t").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("t").try_cast("date"))
+    assert rows.where(~to_day(F.col("t")).eqNullSafe(exact)).collect() == []
+    assert rows.where(to_day(F.col("t")).isNotNull()).count() == 3
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    from lossweave.functions.cleaning import GAPS, WHITESPACE, strip
+
+    texts = [a + body + b for body in ("", "x", "P I F", "é", "a　b", "~", "!", "\x7f") for a in ("", *WHITESPACE, " \t ", "  ") for b in ("", *WHITESPACE, " \n ", "　 ")]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r.t: (r.s, r.g, r.r) for r in rows.select("t", strip(F.col("t")).alias("s"), F.translate("t", GAPS, "").alias("g"), F.regexp_replace("t", r"\s+", "").alias("r")).collect()}
+    assert all(got[t][0] == t.strip(WHITESPACE) and got[t][1] == got[t][2] for t in texts)
+    assert got[None][0] == ""
+
+
+def test_dates_and_numbers_pass_as_their_text_would_be_read(spark):
+    from lossweave.config import DATE_SOURCE, NUMERIC_SOURCE
+    from lossweave.functions.cleaning import typed
+    from lossweave.plans.bindings import TEST
+
+    amounts = ["cast(null as double)", "double('NaN')", "double('Infinity')", "-0e0", "0.1e0 + 0.2e0", "1e-320", "1.7e308"]
+    days = ["cast(null as date)", "date'1996-02-29'", "date'0000-01-01'", "date'9999-12-31'", "date'9999-12-31' + 1", "date'0000-01-01' - 1", "date'1899-12-31'"]
+    held = spark.sql(" union all ".join(
+        "select " + ", ".join([f"{a} as {c}" for c in NUMERIC_SOURCE] + [f"{d} as {c}" for c in DATE_SOURCE]) for a, d in zip(amounts, days)))
+    text = held.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in held.columns])
+    a, b = typed(held, TEST), typed(text, TEST)
+    assert a.dtypes == b.dtypes
+    a, b = (x.select(*[F.col(c).cast("string").alias(c) for c in x.columns]) for x in (a, b))  # Python has no year 0
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert a.where("invalid_date = 'true'").count() == 2
