@@ -200,24 +200,27 @@ def featured(df: DataFrame, protocol: Protocol) -> DataFrame:
         "age_group": age_group(F.col("BusinessAge")),
         "maturity_group": maturity_group(F.col("TermInMonths"), protocol),
     })
-    return out.withColumns({c: missing_token(F.col(c)) for c in CATEGORICAL})
+    return out.withColumns({c: missing_token(F.col(c)) for c in CATEGORICAL if c in out.columns})
 
 
 def typed_snapshot(raw: DataFrame, protocol: Protocol) -> DataFrame:
     return typed(normalized(raw), protocol)
 
 
-def with_reason(typed_loans: DataFrame, protocol: Protocol) -> DataFrame:
+def with_reason(typed_loans: DataFrame, protocol: Protocol, flags: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``reason``, the first exclusion that claims the row (NULL for none).
 
     The first branch never holds. Being non-deterministic in name it keeps a later filter on ``reason``
     from being pushed into the text parsing below it, where every predicate would parse the same dates again.
     """
     kept_above = F.when(F.monotonically_increasing_id() < 0, F.lit(""))
-    return typed_loans.withColumn("reason", F.coalesce(kept_above, first_reason(exclusion_flags(protocol))))
+    return typed_loans.withColumn("reason", F.coalesce(kept_above, first_reason(flags or exclusion_flags(protocol))))
 
 
-def eligible(typed_loans: DataFrame, protocol: Protocol) -> DataFrame:
-    """Loans that no exclusion claims, with label and features; one narrow pass, no shuffle."""
-    kept = with_reason(typed_loans, protocol).where("reason is null").drop("reason")
+def eligible(typed_loans: DataFrame, protocol: Protocol, flags: dict[str, Column] | None = None) -> DataFrame:
+    """Loans that no exclusion claims, with label and features; one narrow pass, no shuffle.
+
+    ``flags`` leaves out exclusions on columns that are joined later, to be applied there.
+    """
+    kept = with_reason(typed_loans, protocol, flags).where("reason is null").drop("reason")
     return featured(kept.withColumn("Y", event_label()), protocol)
