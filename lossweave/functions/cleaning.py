@@ -21,7 +21,7 @@ REVOLVER = {"N": "term", "0": "term", "Y": "revolving", "1": "revolving"}
 NO_FRANCHISE = ("00000", "000000")
 WHITESPACE = " \t\n\r\f\v\u0085\u00a0\u2028\u2029\u3000"
 GAPS = " \t\n\v\f\r"
-NEW_BUSINESS = "startup|new business|new, less|2 or less"
+NEW_BUSINESS = ("startup", "new business", "new, less", "2 or less")
 
 
 def holds(condition: Column) -> Column:
@@ -143,8 +143,13 @@ def not_negative(column: Column) -> Column:
     return F.when(column >= 0, column)
 
 
+def whole_code(column: Column) -> Column:
+    """A code without the ``.0`` that a spreadsheet left behind it."""
+    return F.when(column.endswith(".0"), F.substring(column, F.lit(1), F.length(column) - 2)).otherwise(column)
+
+
 def industry_sector(column: Column) -> Column:
-    code = F.regexp_replace(column, r"\.0$", "")
+    code = whole_code(column)
     return F.when(code.rlike("^[0-9]{6}$"), F.substring(code, 1, 2)).otherwise("")
 
 
@@ -154,7 +159,7 @@ def revolver_kind(column: Column) -> Column:
 
 
 def franchise_kind(column: Column) -> Column:
-    code = F.regexp_replace(column, r"\.0$", "")
+    code = whole_code(column)
     return F.when(code == "", "missing").when(code.isin(*NO_FRANCHISE), "absent").otherwise("present")
 
 
@@ -169,7 +174,7 @@ def age_group(column: Column) -> Column:
         F.when(text.contains("change of ownership"), "change_of_ownership")
         .when(text == "", "missing")
         .when(text.contains("unanswered"), "unanswered")
-        .when(text.rlike(NEW_BUSINESS), "new")
+        .when(any_of(*[text.contains(words) for words in NEW_BUSINESS]), "new")
         .otherwise("existing")
     )
 

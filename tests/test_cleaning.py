@@ -186,3 +186,15 @@ def test_dates_and_numbers_pass_as_their_text_would_be_read(spark):
     a, b = (x.select(*[F.col(c).cast("string").alias(c) for c in x.columns]) for x in (a, b))  # Python has no year 0
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert a.where("invalid_date = 'true'").count() == 2
+
+
+def test_codes_and_ages_are_read_as_by_patterns_without_any(spark):
+    from lossweave.functions.cleaning import age_group, whole_code
+
+    codes = ["722511.0", "722511", ".0", "0", "", "1.0.0", "1.00", "é.0", "12.0x", None]
+    ages = ["Startup, opens", "NEW BUSINESS or 2 years", "new, less than", "2 or less", "Existing", "new", None, "", "Unanswered", "Change of Ownership, startup"]
+    rows = spark.createDataFrame(list(zip(codes, ages)), "c string, a string")
+    same = rows.select(whole_code(F.col("c")).eqNullSafe(F.regexp_replace("c", r"\.0$", "")).alias("s"), age_group(F.col("a")).alias("g"))
+    text = same._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.s for r in same.collect()) and "RLIKE" not in text
+    assert [r.g for r in same.collect()] == ["new", "new", "new", "new", "existing", "existing", "existing", "missing", "unanswered", "change_of_ownership"]
