@@ -14,7 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .models import FIT_BATCH, OUT_OF_ROUNDS, Fit, LogitData, _logistic
+from .models import FIT_BATCH, OUT_OF_ROUNDS, Fit, LogitData, _logistic, each, triangles
 
 TOLERANCE = 1e-7
 SWEEPS = 2_000
@@ -110,15 +110,16 @@ def fit_settings(data: LogitData, settings: Sequence[tuple[float, float]], round
     else:
         first[:] = start
     runs = [Descent(i, c, ratio, first.copy(), rounds) for i, (c, ratio) in enumerate(settings)]
-    upper, p = np.triu_indices(data.columns), data.columns
+    p = data.columns
     while any(r.open for r in runs):
         asked = {r.fit.attempt: r.question for r in runs if r.open}
         asked = dict(list(asked.items())[:FIT_BATCH])
 
-        def kernel(k, x, y, code):
-            eta = x @ asked[k]  # noqa: B023
+        def kernel(keys, x, y, code):
+            eta = x @ np.array([asked[k] for k in keys]).T  # noqa: B023
             q = _logistic(eta)
-            return np.r_[np.dot(y, eta) - np.logaddexp(0, eta).sum(), x.T @ (y - q), ((x * (q * (1 - q))[:, None]).T @ x)[upper]]
+            height = y @ eta - np.logaddexp(0, eta).sum(axis=0)
+            return np.c_[height, (y[:, None] - q).T @ x, triangles(x, q * (1 - q))]
 
         for k, v in data._pass(kernel, list(asked)).items():
             runs[k].hear(float(v[0]), v[1 : p + 1], data.square(v[p + 1 :]), float(data.n.sum()))
@@ -132,7 +133,7 @@ def log_losses(data: LogitData, betas: Sequence[np.ndarray]) -> np.ndarray:
         q = np.clip(_logistic(x @ betas[k]), CLIP, 1 - CLIP)
         return np.array([-(y * np.log(q) + (1 - y) * np.log1p(-q)).sum()])
 
-    found = data._pass(kernel, range(len(betas)))
+    found = data._pass(each(kernel), range(len(betas)))
     return np.array([found[k][0] for k in range(len(betas))]) / data.n.sum()
 
 

@@ -65,6 +65,29 @@ def _logistic(eta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
 
 
+def triangles(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Upper triangles of X' diag(w) X, one row for each column w of ``v``, all weights in the same products.
+
+    A column meets the columns that are at least as full. Mostly empty ones, such as levels, are multiplied on their own rows alone.
+    """
+    p = x.shape[1]
+    spot, upper = np.empty((p, p), np.int64), np.triu_indices(p)
+    spot[upper] = spot.T[upper] = np.arange(len(upper[0]))
+    order = np.argsort(np.count_nonzero(x, axis=0), kind="stable")
+    x, out = x[:, order], np.empty((v.shape[1], len(upper[0])))
+    for at, i in enumerate(order):
+        rows = np.flatnonzero(x[:, at])
+        if 2 * len(rows) > len(x):
+            rows = slice(None)
+        out[:, spot[i, order[at:]]] = (v[rows] * x[rows, at, None]).T @ x[rows, at:]
+    return out
+
+
+def each(kernel):
+    """A kernel of one fit as one of all fits of a pass."""
+    return lambda keys, x, y, code: [kernel(k, x, y, code) for k in keys]
+
+
 class LogitData:
     """Design rows ``(state, Y, x)`` of one model, staged once, with the passes over them."""
 
@@ -89,13 +112,14 @@ class LogitData:
         return raw * (self.n.sum() / (raw @ self.n))[:, None]
 
     def _pass(self, kernel, keys: Sequence[int]) -> dict[int, np.ndarray]:
+        """``kernel`` returns an array for each of the keys, in their order; those of all batches are added."""
+
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals: dict[int, np.ndarray] = {}
             for batch in batches:
                 if batch.num_rows:
                     x, y, code = matrix(batch), batch.column("Y").to_numpy(), batch.column("code").to_numpy()
-                    for k in keys:
-                        part = kernel(k, x, y, code)
+                    for k, part in zip(keys, kernel(keys, x, y, code)):
                         totals[k] = part if k not in totals else totals[k] + part
             if totals:
                 own = TaskContext.get().partitionId()
@@ -123,7 +147,7 @@ class LogitData:
                 residual = residual + v * ((x @ inverse) * x).sum(axis=1) * (0.5 - q)
             return x.T @ residual
 
-        return self._pass(kernel, list(asked))
+        return self._pass(each(kernel), list(asked))
 
     def square(self, triangle: np.ndarray) -> np.ndarray:
         """The symmetric matrix with this upper triangle."""
@@ -150,7 +174,7 @@ class LogitData:
             info = (x * (q * (1 - q))[:, None]).T @ x
             return np.r_[np.dot(y, eta) - np.logaddexp(0, eta).sum(), x.T @ (y - q), info[upper]]
 
-        v = self._pass(kernel, [0])[0]
+        v = self._pass(each(kernel), [0])[0]
         return float(v[0]), v[1:p + 1], self.square(v[p + 1:])
 
     def state_scores(self, beta: np.ndarray) -> np.ndarray:
@@ -162,7 +186,7 @@ class LogitData:
             np.add.at(out, code, x * (y - _logistic(x @ beta))[:, None])
             return out.ravel()
 
-        return self._pass(kernel, [0])[0].reshape(size, p)
+        return self._pass(each(kernel), [0])[0].reshape(size, p)
 
 
 class Climb:

@@ -55,3 +55,12 @@ def test_all_settings_share_a_pass(cohorts, monkeypatch):
     monkeypatch.setattr(models.LogitData, "_pass", lambda self, kernel, keys: passes.append(len(keys)) or plain(self, kernel, keys))
     fits = elastic.fit_settings(train, SETTINGS)
     assert passes[0] == 50 and len(passes) <= max(f.iterations for f in fits) + 5
+
+
+def test_information_of_all_settings_comes_from_the_same_products():
+    rng = np.random.default_rng(4)
+    level = rng.integers(0, 7, 400)
+    x = np.c_[np.ones(400), rng.normal(size=(400, 3)), level[:, None] == np.arange(1, 7), np.zeros(400)]
+    v = rng.random((400, 9))
+    plain = [((x * w[:, None]).T @ x)[np.triu_indices(11)] for w in v.T]
+    np.testing.assert_allclose(models.triangles(x, v), plain, rtol=1e-12, atol=1e-12)
