@@ -365,8 +365,9 @@ def elastic_net_grid(train: DataFrame, validation: DataFrame, strengths: Sequenc
 
 
 def labelled(design: Design, df: DataFrame) -> DataFrame:
-    rows = design.rows(df.withColumn("label", F.col("Y").cast("double")), ["row_id", "label"])
-    return rows.select("row_id", "label", array_to_vector("x").alias("features"))
+    keep = [c for c in ("row_id", "label") if c == "label" or c in df.columns]
+    rows = design.rows(df.withColumn("label", F.col("Y").cast("double")), keep)
+    return rows.select(*keep, array_to_vector("x").alias("features"))
 
 
 def boosted_trees(train: DataFrame, numeric: Sequence[str], seed: int, categorical: Sequence[str] = ("loan_type", "size_band", "age_group"),

@@ -63,7 +63,7 @@ def penalised_logit(spark, sf):
 
 @query("g03_elastic_net_grid")
 def elastic_net_grid(spark, sf):
-    rows = loans(spark, sf, "row_id", *_FITTED_ON)
+    rows = loans(spark, sf, *_FITTED_ON)
     train, tune = rows.where("role = 'train'"), rows.where("role = 'tune'")
     design = fit_design(train, _NUM, _CAT, TEST.pooling_threshold)
     table, _ = models.elastic_net_grid(models.labelled(design, train), models.labelled(design, tune), [0.001, 0.1, 10.0], [0.0, 0.5, 1.0])
