@@ -100,8 +100,8 @@ _MAP_SMALL = _MAP.replace("select 'ProcessingMethod' as feature", "select 'size_
     "from dl where val <> 0 and col_name in (select col_name from dl where role = 'train' group by 1 having sum(abs(val)) > 0) group by 1, 2",
 )
 def design_long_form(spark, sf):
-    rows, fitted = small_design(spark, sf, "row_id")
-    long = design.design_long(rows, fitted, ["row_id", "role"])
+    rows, fitted = small_design(spark, sf)
+    long = design.design_long(rows, fitted, ["role"])  # entries are only counted and summed: no row needs its name
     return long.groupBy("role", F.col("column").alias("col_name")).agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares")
     )
