@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,29 +14,43 @@ from lossweave.session import staged
 FEW_EDGES = 50_000  # counted edges up to this number are contracted in one task, without shuffles
 
 
+def labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ends of the edges and, for each, the smallest one of its component."""
+    ends, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label, (i, j) = np.arange(len(ends)), np.split(at, 2)
+    while len(i):
+        x, y = label[i], label[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(after := label[label], label):
+            label = after
+    return ends, ends[label]
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); all nodes of a component share one root.
+    """(node, root) for every node of the edges (a, b), which are longs; all nodes of a component share one root.
 
     A level hooks every node to its smallest neighbour, itself included, and contracts the edges to the
-    hooks; hooks only lead downwards, so they never form a circle. The levels are then read back from the
-    last to the first. Smallest neighbours are combined before the shuffle, and a node with very many
-    neighbours only meets equi-joins, which adaptive execution splits.
+    hooks; hooks only lead downwards, so they never form a circle. What is left of few edges is contracted in one
+    task. The levels are then read back from the last to the first. Smallest neighbours are combined before the
+    shuffle, and a node with very many neighbours only meets equi-joins, which adaptive execution splits.
     """
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [[b.column(c).to_numpy() for c in ("a", "b")] for b in batches]
+        if own:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, labels(*map(np.concatenate, zip(*own))))), names=["node", "root"])
+
     live = staged(edges.select("a", "b").where("a <> b").distinct())
-    whole = (lambda df: df.coalesce(1)) if live.count() <= FEW_EDGES else (lambda df: df)
-    live = whole(live)
-    kind = live.schema["a"].dataType.simpleString()
     levels: list[DataFrame] = []
-    while not live.isEmpty():
+    while live.count() > FEW_EDGES:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hook")).withColumn("hook", F.least("node", "hook")))
         levels.append(hook)
-        left, right = whole(hook).toDF("a", "x"), whole(hook).toDF("b", "y")
-        moved = live.join(left, "a").join(right, "b").where("x <> y")
-        live = whole(staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
-    if not levels:
-        return live.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
-    roots = levels[-1].withColumnRenamed("hook", "root")
-    for hook in reversed(levels[:-1]):
+        moved = live.join(hook.toDF("a", "x"), "a").join(hook.toDF("b", "y"), "b").where("x <> y")
+        live = staged(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    roots = staged(live.coalesce(1).mapInArrow(rest, "node long, root long"))
+    for hook in reversed(levels):
         roots = staged(hook.join(roots.toDF("hook", "root"), "hook", "left").select("node", F.coalesce("root", "hook").alias("root")))
     return roots

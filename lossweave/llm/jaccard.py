@@ -1,5 +1,8 @@
 """Exact join of documents by the Jaccard similarity of their word n-grams, and its connected components.
 
+A set of which more tokens occur nowhere else than a link allows has no link. First the tokens in the lowest part of the hash range are
+counted, then all tokens of the sets that are left; only sets that pass both counts go on.
+
 Pigeonhole over a partition of the universe. Sizes fall into bands, so that a set and a partner at least as large lie in the same
 band or in neighbouring ones. Linked sets of a band differ in at most H tokens; a hash deals all tokens to 2P segments, in pairs,
 with 2P > H. So some pair of segments differs in at most one token: one half holds equal subsets, the other half equal ones or
@@ -11,18 +14,20 @@ Small groups of sets under a signature are compared, large ones never expanded i
 then one component is done, for nothing in it can be linked anew. What is still large is refined, and then recentred: with
 R the tokens of more than half the group, two sets differ exactly where their differences from R do. Sets
 close to R are linked to the closest one without a test; all other links need a common token in the differences. Such tokens
-make new groups, of at most half the size. So every link is found or already implied, however large a group of near copies is.
+make new groups, of at most half the size. What is mixed even then is compared whole, block by block: a task counts the common tokens
+of two blocks of sets in matrix products and returns a spanning forest. So every link is found or already implied, however large a group
+of near copies is; memory is bounded by the blocks, and the pairs of such a rest are spread over tasks.
 
 Equal sets are one node, by a 128-bit digest; tokens are 64-bit hashes of n-grams. A text with fewer words than n is one n-gram. Null
 and empty texts and such without words have no n-grams, and each is a component of its own. Rows that share an id are
 linked as separate rows and named by the same id; rows without an id take part but never name a component.
-Repeated rows are kept. Very long texts take about 30 bytes a word while their signatures are made. Further columns are left out, whatever
+Repeated rows are kept. Very long texts take about 30 bytes a word while their n-grams are made. Further columns are left out, whatever
 their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -35,10 +40,11 @@ from pyspark.sql import functions as F
 from lossweave.session import staged
 
 from .common import arrow_pass, utf8
-from .components import connected
+from .components import connected, labels
 
 SEED = 42
 KEPT_WORDS, LONGEST_KEPT = 400_000, 64
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS = 256, 400_000, 4096  # aimed at in a block; columns of a matrix
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: a 64-bit mixer
 
 
@@ -147,8 +153,16 @@ def arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at, at[1:])]
 
 
-def with_signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, content (hash of the text, made by Spark), n, digest and keys of every row."""
+def lowest(tokens: np.ndarray, above: int, below: int) -> np.ndarray:
+    """The tokens in the lowest ``above`` / ``below`` of the hash range."""
+    return tokens[: np.searchsorted(tokens, np.uint64(min(2**64 - 1, above * 2**64 // below)))]
+
+
+def with_digests(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, content (hash of the text, made by Spark), n, digest and the lowest tokens of every row.
+
+    Half as many tokens again as may differ are enough to refute a set that has little in common with any other.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +170,21 @@ def with_signatures(docs: DataFrame, rule: Rule) -> DataFrame:
             sets = [ngrams(t, rule.width) for t in utf8(batch)]
             columns = [
                 batch.column("doc_id"), batch.column("content"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists([signed(signatures(s, rule)[0]) for s in sets]),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists([signed(lowest(s, 3 * rule.near, 2 * rule.whole)) for s in sets]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "digest", "low"])
+
+    return arrow_pass(docs.select("doc_id", "text", F.xxhash64("text").alias("content")), rows, f"doc_id {kind}, content long, n long, digest binary, low array<long>")
 
-    return arrow_pass(docs.select("doc_id", "text", F.xxhash64("text").alias("content")), rows, f"doc_id {kind}, content long, n long, digest binary, keys array<long>")
+
+def alone(tokens: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Those sets of ``sizes`` (name, n) that cannot link: of ``n`` tokens ``part`` in ``whole`` must occur in other sets too.
+
+    ``tokens``: (name, t) of all sets, repeats allowed, of any part of the tokens that is the same for all sets.
+    """
+    lone = tokens.groupBy("t").agg(F.min("name").alias("name"), F.max("name").alias("last")).where("name = last")
+    own = lone.groupBy("name").agg(F.count("*").alias("own")).join(sizes, "name")
+    return own.where(F.lit(rule.whole) * F.col("own") > F.lit(rule.near) * F.col("n")).select("name")
 
 
 def outline(tokens: np.ndarray, rule: Rule) -> np.ndarray:
@@ -169,26 +193,42 @@ def outline(tokens: np.ndarray, rule: Rule) -> np.ndarray:
     Outlines differ in no more places than the sets, so one difference too many refutes a link; half as large a share again
     as may differ is enough for that in sets with little in common.
     """
-    low = tokens[: np.searchsorted(tokens, np.uint64(min(2**64 - 1, 3 * rule.near * 2**63 // rule.far)))]
+    low = lowest(tokens, 3 * rule.near, 2 * rule.far)
     return np.unique(low.astype(np.uint32)).view(np.int32)
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, tokens, n, outline) of the wanted nodes (node, content, digest), from the whole texts with their content hashes."""
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, digest, text) of nodes (node, content, digest), from the rows with their content hashes."""
+    texts = docs.select("text", F.xxhash64("text").alias("content")).join(nodes.select("content"), "content", "left_semi")
+    return nodes.select("node", "content", "digest").join(texts.groupBy("content").agg(F.first("text").alias("text")), "content").drop("content")
+
+
+def token_sets(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(node, tokens, n, outline) of the nodes with their whole texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [ngrams(t, rule.width) for t in utf8(batch)]
+            if [xxhash.xxh3_128_digest(s.tobytes()) for s in sets] != batch.column("digest").to_pylist():
+                raise ValueError("two different texts have one content hash")
             columns = [
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists([signed(s) for s in sets]),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([outline(s, rule) for s in sets], pa.list_(pa.int32())),
+                batch.column("node"), lists([signed(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([outline(s, rule) for s in sets], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["digest", "tokens", "n", "outline"])
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "tokens", "n", "outline"])
 
-    texts = docs.select("text", F.xxhash64("text").alias("content")).join(wanted.select("content").distinct(), "content", "left_semi")
-    once = arrow_pass(texts.groupBy("content").agg(F.first("text").alias("text")).select("text"), rows, "digest binary, tokens array<long>, n long, outline array<int>")
-    found = once.groupBy("digest").agg(F.first(F.struct("tokens", "n", "outline")).alias("set"))
-    return wanted.select("node", "digest").join(found, "digest").select("node", "set.*")
+    return arrow_pass(texts.select("node", "digest", "text"), rows, "node long, tokens array<long>, n long, outline array<int>")
+
+
+def with_signatures(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(node, key): the keys of each set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [signed(signatures(t.view(np.uint64), rule)[0]) for t in arrays(batch, "tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists(keys)], names=["node", "keys"])
+
+    return arrow_pass(sets.select("node", "tokens"), rows, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -230,13 +270,13 @@ class Links:
 
     def __init__(self, sets: DataFrame, rule: Rule):
         self.sets, self.rule = sets, rule
-        self.edges = self.tested = self.roots = None
+        self.tested = self.roots = None
 
     def add(self, edges: DataFrame) -> None:
         new = staged(edges)
         if self.roots is None or not new.isEmpty():
-            self.edges = new if self.edges is None else self.edges.unionByName(new)
-            self.roots = connected(self.edges)
+            # a forest of what was linked before stands for its edges
+            self.roots = connected(new if self.roots is None else self.roots.toDF("a", "b").unionByName(new))
 
     def test(self, pairs: DataFrame) -> None:
         """``pairs`` may repeat pairs that were tested before; those are left out."""
@@ -305,29 +345,75 @@ def recentred(large: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame,
     return staged(certain.select(*pair("node", "to")).distinct()), again.select(F.xxhash64("leader", "t").alias("key"), "node").distinct()
 
 
-def led(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the first node of each group of documents (doc_id, key) with its others."""
-    members = staged(groups.join(nodes.select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("key", "node").distinct())
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``x`` shares with each of ``y``."""
+    found, rows = np.zeros((len(x), len(y)), np.int64), [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    (values, at), (others, to) = (np.unique(np.concatenate(z), return_inverse=True) for z in (x, y))
+    _, left, right = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    columns = [np.full(len(v), -1) for v in (values, others)]
+    columns[0][left], columns[1][right] = np.arange(len(left)), np.arange(len(left))
+    cells = []
+    for own, column, place in ((rows[0], columns[0], at), (rows[1], columns[1], to)):
+        column = column[place]
+        order = np.argsort(column, kind="stable")[np.count_nonzero(column < 0) :]
+        cells.append((own[order], column[order]))
+    for low in range(0, len(left), COLUMNS):
+        parts = []
+        for (own, column), z in zip(cells, (x, y)):
+            a, b = np.searchsorted(column, (low, low + COLUMNS))
+            part = np.zeros((len(z), COLUMNS), np.float32)
+            part[own[a:b], column[a:b] - low] = 1
+            parts.append(part)
+        found += (parts[0] @ parts[1].T).astype(np.int64)
+    return found
+
+
+def in_blocks(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) whose components are those of all links inside groups (leader, node); groups with one leader are joined first."""
+
+    def join(table: pa.Table) -> pa.Table:
+        node, own, i = (table.column(c).to_numpy() for c in ("node", "own", "i"))
+        tokens = [t.values.to_numpy() for t in table.column("tokens")]
+        x = np.flatnonzero(own == i)
+        y = x if table.column("j")[0].as_py() == i[0] else np.flatnonzero(own != i)
+        m, n = (np.array([len(tokens[k]) for k in z], np.int64) for z in (x, y))
+        both = common([tokens[k] for k in x], [tokens[k] for k in y]) if len(x) and len(y) else np.zeros((len(x), len(y)), np.int64)
+        p, q = np.nonzero(rule.whole * both >= rule.part * (m[:, None] + n - both))
+        a, b = labels(node[x[p]], node[y[q]])
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    members = staged(live.select("leader", "node").distinct().join(sets.select("node", "n"), "node"))
+    parts = members.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    dealt = members.join(parts, "leader").withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    return dealt.join(sets.select("node", "tokens"), "node").groupBy("leader", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def led(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first node of each group (node, key) with its others."""
+    members = staged(groups.select("key", "node").distinct())
     leaders = members.groupBy("key").agg(F.min("node").alias("leader"))
     return members.join(leaders, "key").where("node <> leader").select(*pair("node", "leader"))
 
 
-def node_links(nodes: DataFrame, keys: DataFrame, docs: DataFrame, rule: Rule, few: int, first: DataFrame | None = None) -> DataFrame | None:
-    """(node, root) of all linked nodes. ``nodes``: node, first_id, content and digest, each set once; ``keys``: node and its keys.
+def node_links(sets: DataFrame, rule: Rule, few: int, first: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of all linked nodes. ``sets``: as ``token_sets`` makes them, each set once.
 
-    Candidates of another join come in as ``first``, groups (doc_id, key): they are tested first, and signatures whose sets
+    Candidates of another join come in as ``first``, groups (node, key): they are tested first, and signatures whose sets
     they bring into one component are not looked at again.
     """
-    live = sized(keys.select("node", F.explode("keys").alias("key"))).withColumn("root", F.col("node"))
+    live = sized(with_signatures(sets, rule)).withColumn("root", F.col("node"))
     if live.isEmpty():
         return None
-    wanted = live.select("node").distinct()
-    sets = staged(token_sets(docs, nodes.select("node", "content", "digest").join(wanted, "node", "left_semi"), rule))
     links, turn = Links(sets, rule), 0
     if first is not None:
-        links.test(led(first, nodes))  # sets without a signature in common have no row in ``sets`` and drop out
+        links.test(led(first))
         live = links.mixed_groups(live)
     while not live.isEmpty():
+        if turn > 1:
+            links.add(in_blocks(live, sets, rule))
+            break
         small, large = live.where(F.col("size") <= few), live.where((F.col("size") > few) & (F.col("node") != F.col("leader")))
         left, right = small.select("key", F.col("node").alias("x"), "root"), small.select("key", F.col("node").alias("y"), F.col("root").alias("other"))
         every = left.join(right, "key").where("x < y and root <> other").select(*pair("x", "y"))
@@ -344,12 +430,23 @@ def node_links(nodes: DataFrame, keys: DataFrame, docs: DataFrame, rule: Rule, f
     return links.roots
 
 
-def components(docs: DataFrame, rule: Rule = Rule(), few: int | None = None, first: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that links lead to, of every row. ``first``: see ``node_links``."""
-    prints = staged(with_signatures(docs, rule).withColumn("row", F.monotonically_increasing_id()))
-    nodes = staged(prints.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("content").alias("content")))
-    keys = prints.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi")  # signatures are written once, with the rows
-    roots = node_links(nodes, keys, docs, rule, few or rule.few, first)
+def components(docs: DataFrame, rule: Rule = Rule(), few: int | None = None, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that links lead to, of every row.
+
+    ``first`` makes groups (doc_id, key) of candidates from rows (doc_id, text): see ``node_links``. It gets each set once, of those that may link.
+    """
+    prints = staged(with_digests(docs, rule).withColumns({"row": F.monotonically_increasing_id(), "name": F.xxhash64("digest")}))
+    nodes = staged(prints.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("content").alias("content"), F.first("n").alias("n"), F.first("name").alias("name")))
+    refuted = alone(prints.select("name", F.explode("low").alias("t")), nodes.select("name", "n"), rule)
+    texts = staged(texts_of(docs, nodes.join(refuted, "name", "left_anti")))
+    sets = staged(token_sets(texts, rule))
+    tokens = sets.select(F.col("node").alias("name"), F.explode("tokens").alias("t"))
+    left = staged(sets.join(alone(tokens, sets.select(F.col("node").alias("name"), "n"), rule).toDF("node"), "node", "left_anti"))
+    groups = None
+    if first is not None:
+        rows = texts.join(left.select("node"), "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
+        groups = first(rows).withColumnRenamed("doc_id", "node")
+    roots = node_links(left, rule, few or rule.few, groups)
     names = nodes.select("digest", "node", "first_id")
     if roots is None:
         named = names.withColumn("component_id", F.col("first_id"))

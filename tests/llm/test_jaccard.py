@@ -128,3 +128,30 @@ def test_outlines_refute_only_what_is_not_linked():
                 assert share < 100 or size < 300 or not possible
         assert refuted
     assert len(jaccard.outline(a, jaccard.Rule())) < len(a) // 8
+
+
+def test_groups_that_stay_large_and_mixed_are_compared_in_blocks(spark, monkeypatch):
+    calls = []
+    for name in ("sized", "in_blocks"):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), n=name: calls.append(n) or f(*a))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(100)]
+    swaps = [(rng.randrange(100), f"x{k}") for k in range(9)]  # few edits, shared by many copies: groups overlap and halve slowly
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for at, word in rng.sample(swaps, rng.randrange(1, 5)):
+            own[at] = word
+        texts.append(" ".join(own))
+    compared(spark, texts, few=3)
+    assert "in_blocks" in calls and calls.count("sized") == 3
+
+
+def test_only_sets_that_cannot_link_are_left_out(spark):
+    rule, one = Rule(), [f"a{k}" for k in range(60)]
+    texts = [one, one[:58] + ["b", "c"], one[:30] + [f"d{k}" for k in range(30)], one[20:55]]
+    sets = [jaccard.ngrams(" ".join(t).encode(), rule.width).view(np.int64).tolist() for t in texts]
+    tokens = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "name long, t long")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "name long, n long")
+    assert [r.name for r in jaccard.alone(tokens, sizes, rule).collect()] == [2]
