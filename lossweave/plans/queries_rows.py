@@ -416,7 +416,8 @@ TIMING_SQL = (
     round(difference_months, 6) as difference_months, valid, match, after_window from tv""",
 )
 def timing_rows(spark, sf):
-    out = timing.timing_rows(loans(spark, sf), snapshot(spark, sf))
+    rows = loans(spark, sf, "row_id", "LoanStatus", "loan_type", "ApprovalDate", "PaidInFullDate", "ChargeOffDate", "d", "w")
+    out = timing.timing_rows(rows, snapshot(spark, sf))
     return out.select(
         "row_id", "date_status", "term_status", F.round("elapsed_months", 6).alias("elapsed_months"),
         F.round("difference_months", 6).alias("difference_months"), "valid", "match", "after_window",
