@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossweave.session import staged
+from lossweave.session import BROADCAST_ROWS, staged
 
 from .common import arrow_pass, utf8
 from .components import connected, labels
@@ -198,8 +198,13 @@ def outline(tokens: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, digest, text) of nodes (node, content, digest), from the rows with their content hashes."""
-    texts = docs.select("text", F.xxhash64("text").alias("content")).join(nodes.select("content"), "content", "left_semi")
+    """(node, digest, text) of nodes (node, content, digest), from the rows with their content hashes.
+
+    Up to a counted bound the hashes travel, so that only texts of these nodes are shuffled; beyond it all texts are.
+    """
+    wanted = nodes.select("content")
+    wanted = F.broadcast(wanted) if nodes.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select("text", F.xxhash64("text").alias("content")).join(wanted, "content", "left_semi")
     return nodes.select("node", "content", "digest").join(texts.groupBy("content").agg(F.first("text").alias("text")), "content").drop("content")
 
 
@@ -438,7 +443,7 @@ def components(docs: DataFrame, rule: Rule = Rule(), few: int | None = None, fir
     prints = staged(with_digests(docs, rule).withColumns({"row": F.monotonically_increasing_id(), "name": F.xxhash64("digest")}))
     nodes = staged(prints.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("content").alias("content"), F.first("n").alias("n"), F.first("name").alias("name")))
     refuted = alone(prints.select("name", F.explode("low").alias("t")), nodes.select("name", "n"), rule)
-    texts = staged(texts_of(docs, nodes.join(refuted, "name", "left_anti")))
+    texts = staged(texts_of(docs, staged(nodes.join(refuted, "name", "left_anti"))))
     sets = staged(token_sets(texts, rule))
     tokens = sets.select(F.col("node").alias("name"), F.explode("tokens").alias("t"))
     left = staged(sets.join(alone(tokens, sets.select(F.col("node").alias("name"), "n"), rule).toDF("node"), "node", "left_anti"))

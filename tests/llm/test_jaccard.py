@@ -155,3 +155,12 @@ def test_only_sets_that_cannot_link_are_left_out(spark):
     tokens = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "name long, t long")
     sizes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "name long, n long")
     assert [r.name for r in jaccard.alone(tokens, sizes, rule).collect()] == [2]
+
+
+def test_texts_of_left_out_sets_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    nodes = docs.where("doc_id < 3").selectExpr("doc_id as node", "xxhash64(text) as content", "cast(text as binary) as digest")
+    found = jaccard.texts_of(docs, nodes)
+    assert sorted((r.node, r.text) for r in found.collect()) == [(k, f"text {k}") for k in range(3)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi, BuildRight" in plan
